@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from .common import WORD, durable
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-REST, SLICE = 16_384, 1_000
+REST, SLICE = 16_384, 100
 
 
 def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
