@@ -196,7 +196,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     keyed = docs.withColumn("row key", F.xxhash64("doc_id", "text"))
     both = keyed.join(edits, F.col("doc_id").eqNullSafe(F.col("id of")) & (F.col("row key") == F.col("key of")), "left")
     both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort("edits").alias("edits made"))
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, "entities replaced"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,6 +210,6 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
                 counts.append(len(edits or []))
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32())], names=[*docs.columns, "entities replaced"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32())], names=names)
 
     return both.mapInArrow(run, T.StructType([*docs.schema.fields]).add("entities replaced", "integer"))
