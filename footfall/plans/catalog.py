@@ -1,4 +1,7 @@
 """Queries by name, and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from footfall.plans import advertising, logs, products, scalars, sessions
+
+FAMILIES = (sessions, products, advertising, logs, scalars)
+QUERIES = {k: q for family in FAMILIES for k, q in family.QUERIES.items()}
+SQL = {k: s for family in FAMILIES for k, s in family.SQL.items()}

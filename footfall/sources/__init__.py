@@ -45,6 +45,11 @@ def text_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.options(**options).text(path)
 
 
+def parquet_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A stream of rows from Parquet files; the schema is that of the files there."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(path)
+
+
 def generated_clicks(spark: SparkSession, per_second: int = 10) -> DataFrame:
     """A stream of made-up ad messages, for trying things out."""
     n = F.col("value")
@@ -114,9 +119,9 @@ def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), status.alias("extend_info"))
 
 
-def ad_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AD_CLICK rows from the click events: the user's region and nation, and one of ten ads."""
-    events = parquet(spark, sf_dir, "events").filter("event_type = 'click'")
+def ad_clicks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """AD_CLICK rows from the click events, or a stream of them: the user's region and nation, and one of ten ads."""
+    events = (parquet(spark, sf_dir, "events") if events is None else events).filter("event_type = 'click'")
     places = parquet(spark, sf_dir, "customer").join(city_info(spark, sf_dir), F.col("c_nationkey") == F.col("city_id")).select("c_custkey", "area", "city_name")
     ad = F.get_json_object("props", "$.k").cast("long") % 10
     return events.join(places, F.col("user_id") == F.col("c_custkey")).select(F.col("ts").cast("timestamp").alias("ts"), F.col("area").alias("province"), F.col("city_name").alias("city"), "user_id", ad.alias("ad_id"))
