@@ -112,8 +112,8 @@ def covering_masks(distance: int, n: int, bits: int = 64) -> list[list[int]]:
 
 
 def sampled_masks(distance: int, n: int, lanes: int, recall: float = 0.9, seed: int = 7) -> list[list[int]]:
-    """Random sets of bits, large enough for small buckets and as many as reach the recall for pairs at `distance`."""
-    width = min(24, max(12, math.ceil(math.log2(max(2, n))) - 2))
+    """Random sets of bits, so large that a bucket holds some 16 to 32 unrelated ones, and as many as reach the recall for pairs at `distance`."""
+    width = min(24, max(10, math.ceil(math.log2(max(2, n))) - 5))
     total = 64 * lanes
     agree = math.prod((total - distance - i) / (total - i) for i in range(width))
     rng = np.random.default_rng(seed)
