@@ -37,7 +37,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bucket_of(column: Column | str, modulus: int) -> Column:
     """crc32 of the value as text, modulo; a null counts as the empty string."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary")) % modulus
+    text = (F.col(column) if isinstance(column, str) else column).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % modulus
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,0 +1,407 @@
+"""The corpus operators against brute force, literal results and the cases that data can hold."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+from datetime import datetime
+
+import numpy as np
+import oracle
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from footfall.llm import common, decontam, langid, licenses, linededup, lm, mixing, pii, quality, queries, simhash, urlfilter
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i % 997}" for i in range(60_000))
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*(cols or df.columns)).collect()), key=str)
+
+
+def frame(spark, texts, first=0):
+    data = [(first + i, *(t if isinstance(t, tuple) else (t, "en", "web"))) for i, t in enumerate(texts)]
+    return spark.createDataFrame([(*d, len(d[1] or "")) for d in data], DOC)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and blank texts, a very long one, repeated rows."""
+    df = frame(spark, [None, "", "  \n\t\n ", "one", LONG, (None, None, None), ("12 34 !!", None, "web"), "a b c d e f"])
+    twice = df.union(df.filter("doc_id = 7"))
+    return twice.union(df.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return common.documents(spark, sf_dir)
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r for r in docs.collect()}
+
+
+def smallest_reachable(nodes, near):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if near(a, b):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def brute_print(text, shingle=4):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    k = min(shingle, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_is_brute_force(spark, sf_dir, texts):
+    want = {i: brute_print(r.text) for i, r in texts.items()}
+    parts = smallest_reachable(sorted(want), lambda a, b: (want[a] ^ want[b]).bit_count() <= 4)
+    found = queries.QUERIES["op1_simhash_pivots"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in found} == {i: (f"{p:016x}", parts[i]) for i, p in want.items()}
+
+
+def test_simhash_of_odd_rows(spark, odd):
+    found = simhash.near_duplicates(odd).collect()
+    assert len(found) == odd.count()
+    assert {r.component_id for r in found if r.fingerprint == "0" * 16} == {0}
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_large_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(0, 2**62))
+    prints = list(dict.fromkeys([base] + [base ^ sum(1 << int(b) for b in rng.choice(20, 3, replace=False)) for _ in range(900)] + [int(x) for x in rng.integers(0, 2**62, 100)]))
+    reps = spark.createDataFrame(list(enumerate(prints)), "rep long, fp0 long")
+    edges = simhash.links(reps, ["fp0"], 4, simhash.covering_masks(4, len(prints)))
+    found = dict(rows(common.components(edges)))
+    want = smallest_reachable(list(range(len(prints))), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    assert {i: found.get(i, i) for i in want} == want
+
+
+def test_components_of_chains_and_loops(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(7, 7), (3, 2), (100, 101), (101, 100)]
+    found = dict(rows(common.components(spark.createDataFrame(chain, "a long, b long"))))
+    assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(3000)]
+    base = [" ".join(rng.choice(words, 300)) for _ in range(20)]
+    near = [b.replace(b.split()[150], "changed", 1) for b in base]
+    df = frame(spark, base + near + base[:3])
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).orderBy("doc_id").collect()] == list(range(20))
+
+
+def test_language_accuracy(spark, sf_dir, texts):
+    found = queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").collect()
+    lang = {r.doc_id: r.lang for r in common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "lang").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in found)
+    held = [r for r in found if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def test_language_of_odd_rows(spark, odd):
+    learned = langid.train(frame(spark, [("the cat and the dog", "en", ""), ("der hund und die katze", "de", "")]))
+    found = langid.predict(odd, learned).collect()
+    assert {r.lang_pred for r in found if r.text is None or not any(c.isalpha() for c in r.text)} == {"und"}
+    assert langid.predict(frame(spark, ["die katze und der vogel"]), learned).first().lang_pred == "de"
+    nothing = langid.train(odd.limit(0))
+    assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+    assert langid.predict(odd.limit(0), learned).count() == 0
+
+
+def test_surrogates(spark):
+    made = [
+        "Mail Ann.Lee@Example.com or ann.lee@example.com, call +49 030 123 4567.", "ann.lee@example.com again; card 4111 1111 1111 1111, ip 10.0.0.1",
+        "Mrs Anna Schmidt met Mr. Thomas Braun and Herr Braun", "Господин Иван Петров", None, "", "nothing here 2024",
+    ]
+    out = [r.text for r in pii.replace(frame(spark, made), "key").orderBy("doc_id").collect()]
+    emails = [re.findall(r"[\w.]+@[\w.]+", t) for t in out[:2]]
+    assert emails[0][1] == emails[1][0] != "ann.lee@example.com" and emails[1][0].endswith(".com")
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", out[1])[0]
+    assert pii.luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111" and "10.0.0.1" not in out[1]
+    woman, man = re.match(r"Mrs (\w+) \w+ met Mr\. (\w+)", out[2]).groups()
+    assert woman in pii.GIVEN["f", "latin"] and man in pii.GIVEN["m", "latin"] and "Schmidt" not in out[2]
+    assert re.fullmatch("Господин [А-Яа-я]+ [А-Яа-я]+", out[3]) and "Петров" not in out[3]
+    assert out[4:] == [None, "", "nothing here 2024"]
+    assert out == [r.text for r in pii.replace(frame(spark, made), "key").orderBy("doc_id").collect()]
+    assert out != [r.text for r in pii.replace(frame(spark, made), "another").orderBy("doc_id").collect()]
+
+
+def test_surrogates_stay_distinct(spark):
+    made = [f"Mr Paul X{chr(97 + i)}" for i in range(26)] + [f"a{chr(97 + i)}@x.de" for i in range(26)]
+    entities = spark.createDataFrame([("person", t) if " " in t else ("email", t) for t in made], "kind string, canon string")
+    found = pii.surrogates(entities, "k").collect()
+    assert len({(r.kind, r.new) for r in found}) == len(made) and not {r.new for r in found} & set(made)
+
+
+def test_surrogates_in_odd_rows(spark, odd):
+    assert rows(pii.replace(odd, "k"), "doc_id", "text") == rows(odd, "doc_id", "text")
+    clash = frame(spark, ["mail a@b.com"]).withColumn("spans", F.lit(1)).withColumn("kind", F.lit("k"))
+    assert "a@b.com" not in pii.replace(clash, "k").first().text
+    assert pii.replace(odd.limit(0), "k").count() == 0
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, free, out = share * sum(sizes.values()), set(order), {}
+    while True:
+        each = left / sum(weight[s] for s in free) if free else 0
+        full = {s for s in free if each * weight[s] >= most * sizes[s]}
+        if not full:
+            return out | {s: each * weight[s] for s in free}
+        out |= {s: most * sizes[s] for s in full}
+        left -= sum(most * sizes[s] for s in full)
+        free -= full
+
+
+def test_mix(spark, sf_dir, texts):
+    found = queries.QUERIES["op4_mix_sources"](spark, sf_dir).collect()
+    size = {i: len(WORD.findall(r.text or "")) for i, r in texts.items()}
+    total, taken = Counter(), Counter()
+    for r in found:
+        total[texts[r.doc_id].source] += size[r.doc_id]
+        taken[texts[r.doc_id].source] += r.taken
+        assert r["size"] == size[r.doc_id] and r.taken <= 2 * r["size"]
+    want = brute_targets(total)
+    assert len(found) == len(texts)
+    for r in found:
+        s = texts[r.doc_id].source
+        assert r.source_size == total[s] and math.isclose(r.target, want[s], rel_tol=1e-9)
+    assert all(abs(taken[s] - want[s]) <= 2 for s in total)
+    assert rows(queries.QUERIES["op4_mix_sources"](spark, sf_dir)) == sorted((tuple(r) for r in found), key=str)
+
+
+def test_mix_of_odd_rows(spark, odd):
+    found = mixing.mix(odd)
+    assert found.count() == odd.count() and found.filter("size = 0 and taken <> 0").count() == 0
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("lengths", "counts", "budget", "total"), [([3, 5], [2, 1], 8, 8), ([4], [3], 5, 4), ([7], [1], 4, 7), ([], [], 5, 0), ([2, 9], [1, 1], 0, 0)])
+def test_nearest_sum(lengths, counts, budget, total):
+    got = mixing.nearest(lengths, counts, budget)
+    assert sum(k * n for k, n in got.items()) == total and all(n <= counts[lengths.index(k)] for k, n in got.items())
+
+
+def brute_lm(texts):
+    count = Counter()
+    words = {i: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")), None] for i, r in texts.items()}
+    for i, own in words.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(own)
+    n, v = sum(count.values()), len(count)
+    return words, count, n, {i: sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own) for i, own in words.items()}
+
+
+def test_lm(spark, sf_dir, texts):
+    found = queries.QUERIES["op5_lm_interpolation"](spark, sf_dir).collect()
+    words, count, n, base = brute_lm(texts)
+    assert len(found) == len(texts)
+    for r in found:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words[r.doc_id]), sum(count[w] > 0 for w in words[r.doc_id]), n)
+        assert math.isclose(r.base_score, base[r.doc_id], rel_tol=1e-9) and r.score < 0
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_in_many_blocks_is_the_same(spark, docs):
+    one = {r[0]: r for r in rows(lm.scores(docs))}
+    for r in rows(lm.scores(docs, block=40_000, shard=5_000)):
+        assert r[:5] == one[r[0]][:5] and math.isclose(r[5], one[r[0]][5], rel_tol=1e-9)
+
+
+def test_lm_of_odd_rows(spark, odd):
+    found = lm.scores(odd).collect()
+    assert len(found) == odd.count() and {r.n_tokens for r in found if r.doc_id in (0, 1, 2)} == {1}
+    assert lm.scores(odd.limit(0)).count() == 0
+    held = frame(spark, ["a"], next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2))
+    assert tuple(lm.scores(held).select("train_tokens", "n_known").first()) == (0, 0)
+
+
+def test_mixture_weights_sum_to_one():
+    w = lm.weights(np.array([[3, -8, -40, 10], [3, lm.NEVER, -16, 5], [5, -1, -30, 100]]), 1000)
+    assert np.allclose(w.sum(1), 1) and w[5, 0] > w[3, 0]
+
+
+def test_line_windows(spark):
+    made = ["a\nb\nc\nd", "x\na\nb\nc\nd\ny", "a\nb\nc\na\nb\nc", "q\nq\nq\nq\nq", None, "", "a\nb", "\n\n\n\n\n", "\n\n\n\n"]
+    out = linededup.drop_repeated_lines(frame(spark, made)).orderBy("doc_id").collect()
+    assert [(r.text, r["lines removed"]) for r in out] == [("a\nb\nc\nd", 0), ("x\ny", 4), ("", 6), ("q\nq\nq", 2), (None, 0), ("", 0), ("a\nb", 0), ("\n\n\n\n\n", 0), ("\n\n\n\n", 0)]
+
+
+def test_line_windows_of_odd_rows(spark, odd):
+    assert rows(linededup.drop_repeated_lines(odd), "doc_id", "text") == rows(odd, "doc_id", "text")
+    assert linededup.drop_repeated_lines(odd.limit(0)).count() == 0
+    clash = frame(spark, ["a\nb\nc", "a\nb\nc"]).withColumn("gone", F.lit(1)).withColumn("at", F.lit(2)).withColumn("h", F.lit(3))
+    assert [r.text for r in linededup.drop_repeated_lines(clash).orderBy("doc_id").collect()] == ["a\nb\nc", ""]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, sf_dir, name):
+    oracle.assert_same(queries.QUERIES[name](spark, sf_dir), queries.SQL[name], oracle.connect(sf_dir))
+
+
+def test_url_lists_over_time(spark):
+    day = lambda n: datetime(2024, 1, n)
+    entries = spark.createDataFrame([("Bad.com", "block", day(5)), ("bad.com", "remove", day(8)), ("bad.com/ok", "allow", day(1)), ("x.org", "allow", day(2)), ("x.org", "block", day(2)), (None, "block", day(1)), ("y.org", "what", day(1))], "pattern string, action string, at timestamp")
+    asked = [("http://bad.com/", 4, "allow"), ("http://www.BAD.com:80/x?y", 5, "block"), ("https://u@bad.com./x", 7, "block"), ("http://bad.com/ok/z", 6, "allow"), ("http://bad.com/okay", 6, "block"), ("http://bad.com", 8, "allow"), ("http://x.org", 3, "block"), ("no url", 6, "allow"), (None, 6, "allow"), ("http://notbad.com", 6, "allow"), ("http://y.org", 6, "allow")]
+    captures = spark.createDataFrame([(u, day(d), v) for u, d, v in asked], "url string, fetched timestamp, want string")
+    found = urlfilter.judge(captures.union(captures).withColumn("verdict", F.lit("old")), entries).collect()
+    assert len(found) == 2 * len(asked) and all(r.verdict == r.want for r in found)
+    assert {r.verdict for r in urlfilter.judge(captures, entries.limit(0)).collect()} == {"allow"}
+    assert urlfilter.judge(captures.limit(0), entries).count() == 0
+
+
+def brute_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    place = defaultdict(list)
+    for i in range(len(words) - 4):
+        place[tuple(words[i : i + 5])].append(i)
+    twice = {i + k for own in place.values() if len(own) > 1 for i in own for k in range(5)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(twice)
+
+
+def test_quality(spark, sf_dir, texts):
+    found = queries.QUERIES["op8_quality_fences"](spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        want = brute_quality(texts[r.doc_id].text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+    assert any(r.kept for r in found)
+
+
+def test_quality_fences(spark):
+    same = [f"word{i} " * 3 + " ".join(f"plain{i}x{k}" for k in range(30)) for i in range(120)]
+    df = frame(spark, [*same, " ".join(f"a{k} #####" for k in range(30))])
+    out = {r.doc_id: r.kept for r in quality.judged(df).collect()}
+    assert all(out[i] for i in range(120)) and not out[120]
+
+
+def test_quality_of_odd_rows(spark, odd):
+    found = quality.judged(odd).collect()
+    assert len(found) == odd.count() and all(not r.kept for r in found if r.doc_id in (0, 1, 2))
+    assert quality.judged(odd.limit(0)).count() == 0
+
+
+def test_quality_sketches_merge(spark, docs):
+    counts = quality.rates(quality.base(docs, ["doc_id", "lang", "source"]))
+    parts = quality.sketch(counts.filter("doc_id % 2 = 0"), ["lang", "source"]).union(quality.sketch(counts.filter("doc_id % 2 = 1"), ["lang", "source"]))
+    assert rows(quality.merged(parts, ["lang"]), "lang", "rule", "value", "n") == rows(quality.sketch(counts, ["lang"]), "lang", "rule", "value", "n")
+
+
+def test_licences(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    made = [("a/LICENSE", mit), ("a/x.txt", "some text"), ("a/b/c/y.txt", "other text"), ("a/b/LICENSE", licenses.TEMPLATES["Apache-2.0"]), ("z.txt", "none"), ("q/w.txt", f"intro line\n{mit}.\nrest"), (None, "no path"), ("a/n.txt", None), ("a/e.txt", "")]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "doc_id long, path string, text string")
+    out = {r.doc_id: (r.licence, r.licence_from) for r in licenses.scan(df.withColumn("cosine", F.lit(9)).withColumn("dir", F.lit("d"))).collect()}
+    assert out == {0: ("MIT", "a/LICENSE"), 1: ("MIT", "a/LICENSE"), 2: ("Apache-2.0", "a/b/LICENSE"), 3: ("Apache-2.0", "a/b/LICENSE"), 4: (None, None), 5: ("MIT", "q/w.txt"), 6: (None, None), 7: ("MIT", "a/LICENSE"), 8: ("MIT", "a/LICENSE")}
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def brute_licence(docs):
+    """The best cosine of any segment with any template, without cues."""
+    word = lambda t: re.findall(r"[^\W_]+", t.lower())
+    df = Counter(w for t in docs.values() for w in set(word(t or "")))
+    n = len(docs)
+    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
+    known = {w for t in licenses.TEMPLATES.values() for w in word(t)}
+    vector = lambda t: {w: c * (idf(w) if w in known else math.log(n + 1) + 1) for w, c in Counter(word(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = {k: vector(t) for k, t in licenses.TEMPLATES.items()}
+    out = {}
+    for i, text in docs.items():
+        best = (0.0, "")
+        for segment in re.split(r"\n|(?<=[.!?])\s+", text or ""):
+            if v := vector(segment):
+                best = max([best, *((sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), k) for k, t in templates.items())])
+        if best[0] >= licenses.COSINE:
+            out[i] = best[1]
+    return out
+
+
+def test_licences_are_brute_force(spark, sf_dir, texts):
+    found = queries.QUERIES["op9_license_scan"](spark, sf_dir).filter("cosine is not null").collect()
+    assert {r.doc_id: r.licence for r in found} == brute_licence({i: r.text for i, r in texts.items()})
+
+
+def test_every_window_with_two_errors_is_hit():
+    from itertools import combinations
+
+    for wrong in combinations(range(decontam.WINDOW), decontam.ERRORS):
+        assert any(not any(s + k in wrong for k in mask) for mask in decontam.MASKS for s in range(decontam.WINDOW - mask[-1]))
+
+
+def brute_overlaps(docs, items):
+    word = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bench = {i: word(t) for i, t in items.items()}
+    place = defaultdict(set)
+    for i, own in bench.items():
+        for k, w in enumerate(own):
+            place[w].add((i, k))
+    out = set()
+    for d, text in docs.items():
+        own = word(text)
+        lines = defaultdict(list)
+        for k, w in enumerate(own):
+            for i, at in place.get(w, ()):
+                lines[i, k - at].append(at)
+        for (i, shift), hits in lines.items():
+            size = len(bench[i])
+            if size < decontam.LEAST or len(hits) < min(size, decontam.WINDOW) - decontam.ERRORS:
+                continue
+            width = min(size, decontam.WINDOW)
+            low, high = max(0, -shift), min(size, len(own) - shift)
+            equal = [bench[i][k] == own[k + shift] for k in range(low, high)]
+            if any(sum(equal[k : k + width]) >= width - decontam.ERRORS for k in range(len(equal) - width + 1)):
+                out.add((d, i))
+    return out
+
+
+def test_overlaps_are_brute_force(spark, sf_dir, texts):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = queries.QUERIES["op10_spaced_seeds"](spark, sf_dir)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == brute_overlaps({i: r.text for i, r in texts.items()}, {r.item_id: r.text for r in bench.collect()})
+
+
+def test_overlaps_of_odd_rows(spark, odd):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "too short"), (4, None), (5, "")], "item_id long, text string")
+    off = item.replace("delta", "x").replace("iota", "y")
+    df = frame(spark, [f"pre {item} post", f"pre {off.upper()}", item.replace("beta", "x").replace("delta", "y").replace("zeta", "z").replace("iota", "u"), "too short"]).union(odd)
+    found = decontam.overlaps(df.withColumn("item_id", F.lit(0)).withColumn("place", F.lit(0)), bench)
+    assert rows(found, "doc_id", "item_id") == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.overlaps(df.limit(0), bench).count() == 0
+    stays = decontam.drop_contaminated(df, bench)
+    assert rows(stays, "doc_id") == rows(df.filter("doc_id is null or doc_id > 1"), "doc_id")
