@@ -9,7 +9,8 @@ or else in the nearest directory above.
 
 Templates are a parameter, a short list held by the driver. A null or empty text has no licence of
 its own; a null path inherits nothing. Of several licence files in a directory the one with the
-highest cosine counts, then the first path. Rows that agree in path and text give the same result;
+highest cosine counts, then the first path, then the first licence; cosines are rounded to nine
+digits, so that the order of additions decides no tie. Rows that agree in path and text give the same result;
 an empty table gives no rows. The columns of docs stay; names that clash are replaced.
 """
 
@@ -75,7 +76,7 @@ def own_licences(docs: DataFrame, templates: dict[str, str], least: float) -> Da
     tf = tf.withColumn("t", F.element_at(look, F.col("term"))).withColumn("w", F.col("tf") * F.coalesce("t.idf", F.lit(unseen)))
     dots = [F.sum(F.col("w") * F.coalesce(F.get("t.at", F.lit(k)), F.lit(0.0))).alias(f"d{k}") for k in range(len(vectors))]
     dotted = tf.groupBy("row_no", "seg").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
-    best = F.greatest(*[F.struct((F.col(f"d{k}") / F.col("norm")).alias("cosine"), F.lit(name).alias("licence")) for k, name in enumerate(vectors)])
+    best = F.greatest(*[F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 9).alias("cosine"), F.lit(name).alias("licence")) for k, name in enumerate(vectors)])
     found = dotted.select("row_no", best.alias("best")).groupBy("row_no").agg(F.max("best").alias("best"))
     return found.select("row_no", "best.cosine", "best.licence").filter(F.col("cosine") >= least)
 
@@ -93,9 +94,8 @@ def scan(docs: DataFrame, path_col: str = "path", templates: dict[str, str] | No
     own = durable(own_licences(rows.select("row_no", "text"), templates or TEMPLATES, least))
     own = own.select(F.col("row_no").alias("no_of"), "cosine", F.col("licence").alias("own"))
     files = rows.select("row_no", F.col(path_col).alias("file")).filter(F.col("file").rlike(LICENCE_FILE)).join(own, F.col("row_no") == F.col("no_of"))
-    first = F.struct(F.col("cosine"), F.col("own"))
-    granted = files.groupBy(above(F.col("file")).alias("holder"), "file").agg(F.max(first).alias("best"))
-    granted = granted.groupBy("holder").agg(F.max_by(F.struct("best.own", "file"), F.struct("best.cosine", -F.xxhash64("file"))).alias("grant"))
+    best = F.min(F.struct((-F.col("cosine")).alias("order"), "file", "own")).alias("grant")
+    granted = files.groupBy(above(F.col("file")).alias("holder")).agg(best)
 
     places = rows.select(above(F.col(path_col)).alias("dir")).filter("dir is not null").distinct()
     steps = F.split("dir", "/")
