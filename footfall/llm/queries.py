@@ -87,7 +87,7 @@ QUERIES = {
     "op10_spaced_seeds": op10,
 }
 
-SPACE = r"[^\x20\x09-\x0D]+"
+TEMPLATES = ", ".join(f"('{k}', '{t}')" for k, t in licenses.TEMPLATES.items())
 SQL = {
     "op6_line_windows": """
 with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
@@ -112,4 +112,77 @@ b as (select c.page_id, i.verdict, i.pattern, row_number() over (partition by c.
   and c.day >= i.since and (i.until is null or c.day < i.until) and i.verdict <> 'remove')
 select c.page_id, c.url, strftime(date '2024-01-01' + cast(c.day as integer), '%Y-%m-%d') as fetched,
   coalesce(b.verdict, 'allow') as verdict, b.pattern from c left join b on c.page_id = b.page_id and b.n = 1""",
+    "op8_quality_fences": r"""
+with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+p as (select rid, unnest(words) as word, unnest(range(0, len(words))) as i from w where len(words) > 5),
+q as (select rid, i, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o || ' ' || lead(word, 3) over o || ' ' || lead(word, 4) over o as gram
+  from p window o as (partition by rid order by i)),
+t as (select rid, i from (select rid, i, count(*) over (partition by rid, gram) as c from q where gram is not null) where c > 1),
+n as (select rid, count(distinct place) as n_repeat_words from (select rid, unnest(range(i, i + 5)) as place from t) group by rid),
+b as (select w.rid, doc_id, lang, source, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+  length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  len(lines) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join n on w.rid = n.rid),
+r as (select *, case when word_chars > 0 then n_symbols * 1000 // word_chars end as symbol_rate,
+  case when n_lines > 0 then n_dup_lines * 1000 // n_lines end as dup_line_rate,
+  case when n_words > 0 then word_chars * 100 // n_words end as word_length,
+  n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b),
+m as (select lang, source, 'symbol_rate' as rule, 40 as spread, symbol_rate as v from r
+  union all select lang, source, 'dup_line_rate', 100, dup_line_rate from r
+  union all select lang, source, 'word_length', 80, word_length from r),
+e as (select 'source' as level, lang, source, rule, spread, v from m where v is not null
+  union all select 'lang', lang, null, rule, spread, v from m where v is not null
+  union all select 'all', null, null, rule, spread, v from m where v is not null),
+s as (select level, lang, source, rule, spread, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) as value, count(*) as n from e group by all),
+c as (select *, sum(n) over (partition by level, lang, source, rule order by value) as upto, sum(n) over (partition by level, lang, source, rule) as total from s),
+f as (select level, lang, source, rule, spread, min(case when upto * 4 >= total then value end) as q1, min(case when upto * 4 >= total * 3 then value end) as q3, max(total) as total from c group by all),
+g as (select level, lang, source, max(total) as size, max(case when rule = 'symbol_rate' then q3 + 3 * greatest(q3 - q1, spread) end) as symbol_high,
+  max(case when rule = 'dup_line_rate' then q3 + 3 * greatest(q3 - q1, spread) end) as dup_high,
+  max(case when rule = 'word_length' then q3 + 3 * greatest(q3 - q1, spread) end) as length_high,
+  max(case when rule = 'word_length' then q1 - 3 * greatest(q3 - q1, spread) end) as length_low from f group by all),
+l as (select r.*, case when x.size >= 100 then 'source' when y.size >= 100 then 'lang' else 'all' end as level from r
+  left join g x on x.level = 'source' and x.lang is not distinct from r.lang and x.source is not distinct from r.source
+  left join g y on y.level = 'lang' and y.lang is not distinct from r.lang)
+select l.doc_id, l.lang, l.source, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, symbol_rate, dup_line_rate, word_length, base_failed, l.level,
+  not base_failed and coalesce(symbol_rate <= symbol_high, true) and coalesce(dup_line_rate <= dup_high, true)
+  and coalesce(word_length <= length_high, true) and coalesce(word_length >= length_low, true) as kept
+from l left join g on g.level = l.level and (l.level = 'all' or g.lang is not distinct from l.lang) and (l.level <> 'source' or g.source is not distinct from l.source)""",
+    "op9_license_scan": rf"""
+with tw as (select licence, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+')) as term
+  from (values {TEMPLATES}) as t(licence, body)),
+tt as (select licence, term, count(*) as tf from tw group by all),
+d as (select row_number() over () as rid, doc_id, text, array_to_string(list_concat([source],
+  ['a' || doc_id % 7, 'b' || doc_id // 7 % 5, 'c' || doc_id // 35 % 3][1:doc_id % 4], [case when doc_id % 20 = 0 then 'LICENSE' else doc_id || '.txt' end]), '/') as path from documents),
+f as (select *, regexp_replace(path, '/?[^/]*$', '') as dir from d),
+n as (select count(*) as n from d),
+dw as (select rid, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) as term from d),
+i as (select v.term, ln((n + 1) / (count(dw.rid) + 1)) + 1 as idf from (select distinct term from tt) v left join dw on v.term = dw.term, n group by v.term, n),
+tn as (select licence, sqrt(sum(tf * idf * tf * idf)) as norm from tt join i using (term) group by licence),
+s as (select rid, string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), chr(10)) as segments from d),
+e as (select rid, unnest(segments) as segment, unnest(range(0, len(segments))) as seg from s),
+sw as (select rid, seg, unnest(regexp_extract_all(lower(segment), '[\p{{L}}\p{{N}}]+')) as term from e),
+st as (select rid, seg, term, count(*) as tf from sw group by all),
+sn as (select rid, seg, sqrt(sum(pow(tf * coalesce(idf, ln(n + 1) + 1), 2))) as norm from st left join i using (term), n group by rid, seg),
+c as (select rid, seg, licence, sum(st.tf * idf * tt.tf * idf) as dot from st join i using (term) join tt using (term) group by rid, seg, licence),
+b as (select c.rid, licence, round(dot / sn.norm / tn.norm, 9) as cosine, row_number() over (partition by c.rid order by round(dot / sn.norm / tn.norm, 9) desc, licence desc) as k
+  from c join sn on c.rid = sn.rid and c.seg = sn.seg join tn using (licence)),
+own as (select rid, licence, cosine from b where k = 1 and cosine >= {licenses.COSINE}),
+g as (select dir as holder, path as file, licence, row_number() over (partition by dir order by cosine desc, path, licence) as k
+  from f join own using (rid) where regexp_matches(path, '{licenses.LICENCE_FILE}')),
+r as (select f.dir, file, licence, row_number() over (partition by f.dir order by length(holder) desc) as k
+  from (select distinct dir from f) f join g on g.k = 1 and (holder = '' or f.dir = holder or starts_with(f.dir, holder || '/')))
+select doc_id, path, coalesce(own.licence, r.licence) as licence, round(cosine, 6) as cosine, case when own.rid is not null then path else r.file end as licence_from
+from f left join own on f.rid = own.rid left join r on r.k = 1 and r.dir = f.dir""",
+    "op10_spaced_seeds": r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from documents),
+b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from benchmark),
+dt as (select rid, unnest(words) as word, unnest(range(0, len(words))) as i from d),
+bt as (select item_id, unnest(words) as word, unnest(range(0, len(words))) as j, least(len(words), 13) as width from b where len(words) >= 9),
+m as (select rid, item_id, i - j as diagonal, j, width, count(*) over (partition by rid, item_id, i - j) as matched from dt join bt using (word)),
+n as (select *, count(*) over (partition by rid, item_id, diagonal order by j range between current row and 12 following) as near from m where matched >= width - 2),
+g as (select rid, item_id, diagonal, any_value(matched) as matched, any_value(width) as width from n group by rid, item_id, diagonal having max(near) >= any_value(width) - 2),
+a as (select d.doc_id, g.item_id, g.matched, g.width, least(len(b.words), len(d.words) - diagonal) - greatest(0, -diagonal) as aligned
+  from g join d on d.rid = g.rid join b on b.item_id = g.item_id)
+select doc_id, item_id, max(matched) as matched, max(aligned) as aligned from a where aligned >= width group by doc_id, item_id""",
 }

@@ -336,10 +336,10 @@ def test_licences(spark):
 
 
 def test_licence_ties_go_to_the_first(spark):
-    made = [("a/LICENSE", licenses.TEMPLATES["MIT"]), ("a/LICENSE", licenses.TEMPLATES["GPL-3.0"]), ("a/COPYING", licenses.TEMPLATES["MPL-2.0"]), ("a/x.txt", "text")]
+    made = [("a/LICENSE", licenses.TEMPLATES["MIT"]), ("a/LICENSE", licenses.TEMPLATES["GPL-3.0"]), ("a/COPYING", licenses.TEMPLATES["BSD-3-Clause"]), ("a/x.txt", "text")]
     df = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "doc_id long, path string, text string")
     got = licenses.scan(df.repartition(3)).filter("doc_id = 3").first()
-    assert (got.licence, got.licence_from) == ("MPL-2.0", "a/COPYING")
+    assert (got.licence, got.licence_from) == ("BSD-3-Clause", "a/COPYING")
     got = licenses.scan(df.filter("doc_id <> 2").repartition(3)).filter("doc_id = 3").first()
     assert (got.licence, got.licence_from) == ("GPL-3.0", "a/LICENSE")
 
