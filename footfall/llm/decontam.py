@@ -5,9 +5,10 @@ the others; the selected tokens' hash at every place of every text joins the sam
 benchmark items. A hit names a diagonal, the difference of the two places; there the texts are
 aligned token by token, and the overlap counts if some window of `WINDOW` aligned tokens around the
 hit has at most `ERRORS` substitutions. The two masks hit every such window (tests prove it), so the
-seeds miss nothing that the check accepts. An item shorter than the window must match whole, with as
-many substitutions; items of fewer than nine tokens, the longer mask's span, are no evidence and are
-never reported.
+seeds miss nothing that the check accepts there. An item shorter than the window must match whole,
+with as many substitutions; the seeds surely find it with one substitution from ten tokens and with
+none at nine, and with more only where a mask hits. Items of fewer than nine tokens, the longer mask's
+span, are no evidence and are never reported.
 
 Items of the same text are searched once and all reported. Null and empty texts on either side
 match nothing; rows with a null id are searched, too. Rows that agree in id and text give one row
