@@ -5,8 +5,12 @@ Sources in code point order, null last, get the weights in turn; shares of the b
 often as its target allows. For the rest, documents are counted by exact size; each size gives its
 proportional part, long sizes fill up what is left to within `REST` words, and a bounded-knapsack
 table over the sizes' remaining counts picks the sum nearest to the target. Which documents of a size
-are taken is decided by a seeded hash, ranked in small slices, so a size that a third of all
-documents share needs no large sort in one task.
+are taken is decided by a seeded hash that deals them in slices: slices are taken whole up to one,
+and only in that one documents are ranked, so a size that a third of all documents share needs no
+large sort in one task.
+
+Plans (a row a source and size) and sources are counted and broadcast while they are few. Beyond that
+the plans' join shuffles, and sizes with many documents are salted.
 
 What one task holds of a source is its counts by size: with k different sizes the source has at least
 k * k / 2 words. A null text has size 0; documents of size 0 are in no mix (taken 0). Null ids are
@@ -25,7 +29,8 @@ from pyspark.sql import Window as W
 from .common import WORD, durable
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-REST, SLICE = 16_384, 100
+REST, SLICE, MOST_SLICES = 16_384, 100, 4096
+MOST_BROADCAST, SPREAD = 200_000, 100_000
 
 
 def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -109,24 +114,47 @@ def plan(seed: int):
     return run
 
 
-def mix(docs: DataFrame, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+def planned(rows: DataFrame, plans: DataFrame, most: int = MOST_BROADCAST, spread: int = SPREAD) -> DataFrame:
+    """rows with the plan of their source and size.
+
+    Beyond `most` plans, a size with over a thousandth of all documents (and over `spread`) is dealt
+    in so many parts that none has more; there are at most 1000 such sizes.
+    """
+    if plans.count() <= most:
+        return rows.join(F.broadcast(plans), ["source_no", "size"])
+    least = max(spread, plans.agg(F.sum("n")).first()[0] // 1000)
+    parts = F.when(F.col("n") > least, F.ceil(F.col("n") / least)).otherwise(1).cast("int")
+    hot = plans.filter(F.col("n") > least).select("source_no", "size", parts.alias("parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int")
+    salted = rows.join(F.broadcast(hot), ["source_no", "size"], "left").withColumn("salt", salt).drop("parts")
+    return salted.join(plans.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))), ["source_no", "size", "salt"]).drop("salt")
+
+
+def mix(docs: DataFrame, seed: int = 17, keep: tuple[str, ...] = (), most: int = MOST_BROADCAST, spread: int = SPREAD) -> DataFrame:
     """(doc_id, keep, size, source_size, target, taken) for every row of docs."""
     sizes = durable(sized(docs, ["doc_id", "source", *keep]))
-    wanted = targets(sizes).withColumnRenamed("source", "source of")
-    rows = sizes.join(wanted, F.col("source").eqNullSafe(F.col("source of"))).drop("source of")
-    counts = rows.groupBy("source_no", "size").agg(F.count("*").alias("n"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    plans = counts.groupBy("source_no").applyInPandas(plan(seed), "source_no int, size long, n long, source_size long, target double, passes long, take long")
-    plans = durable(plans)
-
-    rows = sizes.join(wanted.select("source of", "source_no"), F.col("source").eqNullSafe(F.col("source of"))).drop("source of")
-    rows = rows.join(plans, ["source_no", "size"]).withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
-    whole = rows.filter("take = 0 or take = n").withColumn("more", F.when(F.col("take") > 0, 1).otherwise(0))
-    part = rows.filter("take > 0 and take < n").withColumn("slice", F.pmod(F.col("draw"), F.ceil(F.col("n") / SLICE)))
-    slices = part.groupBy("source_no", "size", "slice").agg(F.count("*").alias("m"))
-    slices = slices.withColumn("before", F.sum("m").over(W.partitionBy("source_no", "size").orderBy("slice")) - F.col("m")).drop("m")
-    part = part.join(slices, ["source_no", "size", "slice"])
-    rank = F.row_number().over(W.partitionBy("source_no", "size", "slice").orderBy("draw", "doc_id"))
-    part = part.withColumn("more", F.when(F.col("before") + rank <= F.col("take"), 1).otherwise(0))
+    wanted = durable(targets(sizes)).withColumnRenamed("source", "source of")
+    numbers = wanted.select("source of", "source_no")
+    if numbers.count() <= most:
+        numbers = F.broadcast(numbers)
+    rows = sizes.join(numbers, F.col("source").eqNullSafe(F.col("source of"))).drop("source of").withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
+    counts = rows.groupBy("source_no", "size").agg(F.count("*").alias("n")).join(wanted.drop("source of"), "source_no")
+    plans = durable(counts.groupBy("source_no").applyInPandas(plan(seed), "source_no int, size long, n long, source_size long, target double, passes long, take long"))
+
+    slice_ = F.pmod(F.col("draw"), F.least(F.ceil(F.col("n") / SLICE), F.lit(MOST_SLICES)))
+    some = plans.filter("take > 0 and take < n").select("source_no", "size", "n", "take")
+    slices = planned(rows, some, most, spread).groupBy("source_no", "size", slice_.alias("cut"), "take").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(W.partitionBy("source_no", "size").orderBy("cut"))
+    cuts = slices.withColumn("rest", F.col("take") - upto + F.col("m")).filter("rest >= 0 and rest < m").select("source_no", "size", "cut", "rest")
+    plans = durable(plans.join(cuts, ["source_no", "size"], "left"))
+
+    rows = planned(rows, plans, most, spread).withColumn("slice", slice_)
+    ranked = F.col("slice") == F.col("cut")
+    clear = rows.filter(~F.coalesce(ranked, F.lit(False)))
+    clear = clear.withColumn("more", F.when(F.coalesce(F.col("slice") < F.col("cut"), F.col("take") > 0), 1).otherwise(0))
+    edge = rows.filter(ranked)
+    rank = F.row_number().over(W.partitionBy("source_no", "size").orderBy("draw", "doc_id"))
+    edge = edge.withColumn("more", F.when(rank <= F.col("rest"), 1).otherwise(0))
     taken = (F.col("size") * (F.col("passes") + F.col("more"))).cast("long").alias("taken")
     cols = ["doc_id", *keep, "size", "source_size", "target", taken]
-    return whole.select(*cols).union(part.select(*cols))
+    return clear.select(*cols).union(edge.select(*cols))

@@ -200,6 +200,12 @@ def test_mix(spark, sf_dir, texts):
     assert rows(queries.QUERIES["op4_mix_sources"](spark, sf_dir)) == sorted((tuple(r) for r in found), key=str)
 
 
+def test_mix_without_broadcasts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionAll(docs.filter("doc_id = 0").crossJoin(spark.range(1000)).withColumn("doc_id", -F.col("id")).drop("id"))
+    assert rows(mixing.mix(docs)) == rows(mixing.mix(docs, most=0, spread=20))
+
+
 def test_mix_of_odd_rows(spark, odd):
     found = mixing.mix(odd)
     assert found.count() == odd.count() and found.filter("size = 0 and taken <> 0").count() == 0
