@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import decontam, langid, linededup, mixing, simhash
+from footfall.llm import decontam, langid, linededup, mixing, nearcopies
 from footfall.llm.common import documents, shared_folder
 
 
@@ -24,7 +24,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.drop_near_duplicates(docs)
+    return nearcopies.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SimHash and naive Bayes have no SQL; tests compare the stages with brute-force versions.
+#: Near copies and naive Bayes have no SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 

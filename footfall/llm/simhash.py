@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, durable
+from .nearcopies import drop_near_duplicates as drop_near_duplicates
+from .nearcopies import shingle_hashes
 
 SMALL, CHUNK = 64, 2048
 PIVOTS = 8
@@ -57,17 +59,10 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="
 
 def fingerprint(text: bytes | None, shingle: int, lanes: int) -> list[int]:
     """A bit is 1 if it is set in over half of the shingles' hashes."""
-    import xxhash
-
-    words = (text or b"").lower().split()  # bytes: A-Z only, ASCII white space only
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
         return [0] * lanes
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    k = min(shingle, len(words))
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
-    take, n = xxhash.xxh64_intdigest, len(words) - k + 1
-    hashes = np.fromiter((take(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
     out = []
     for lane in range(lanes):
         total = np.zeros((8, 256), np.int64)
@@ -212,23 +207,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, lanes: int = 1, distance:
     labels = reps.join(found, reps.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     hexed = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names])
     return prints.join(labels, names, "left").select("doc_id", hexed.alias("fingerprint"), "component_id")
-
-
-def distance_for(similarity: float, lanes: int) -> int:
-    """Bits that texts of this Jaccard similarity differ in, on average and one deviation more."""
-    cosine = 2 * similarity / (1 + similarity)
-    p, n = math.acos(cosine) / math.pi, 64 * lanes
-    return math.ceil(n * p + math.sqrt(n * p * (1 - p)))
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
-    """docs with one document of each group, that of the smallest id.
-
-    Groups are the components of links between texts whose fingerprints of `lanes` x 64 bits are as
-    close as those of texts of the given similarity over word shingles. Of rows with one id (exact
-    repeats included) one stays; rows without an id stay.
-    """
-    groups = near_duplicates(docs, shingle, lanes, distance_for(similarity, lanes))
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return with_id.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))

@@ -114,6 +114,54 @@ def test_one_of_each_group_stays(spark):
     assert [r.doc_id for r in simhash.drop_near_duplicates(df).orderBy("doc_id").collect()] == list(range(20))
 
 
+def brute_copies(docs, similarity=0.8, shingle=5):
+    """Rows that stay of (id, text): the first of each group by id, rows without an id last."""
+
+    def own(text):
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+    docs = list(dict.fromkeys(docs))
+    parts = [own(t) for _, t in docs]
+    part = smallest_reachable(list(range(len(docs))), lambda a, b: len(parts[a] & parts[b]) >= similarity * len(parts[a] | parts[b]) - 1e-9)
+    groups = defaultdict(list)
+    for i, p in part.items():
+        groups[p].append(docs[i])
+    return list(groups.values())
+
+
+def check_copies(df):
+    groups = brute_copies([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+    left = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect()]
+    assert len(left) == len(groups)
+    for g in groups:
+        assert min((i is None, i or 0) for i, _ in g) in [(i is None, i or 0) for i, t in left if (i, t) in g]
+
+
+def test_near_copies_are_brute_force(spark, sf_dir, docs):
+    """Similarities of 0.7 to 0.9 around the threshold, chains, common passages, rows without ids and with one id."""
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(3000)]
+    common, made = " ".join(rng.choice(words, 40)), []
+    for i in range(60):
+        base = list(rng.choice(words, 150))
+        made.append(" ".join([*base, common]) if i % 3 else " ".join(base))
+        for k in range(1, 8):
+            changed = list(base)
+            for at in rng.choice(150, k, replace=False):
+                changed[at] = f"x{i}y{at}z{k}"
+            made.append(" ".join([*changed, common]) if i % 3 else " ".join(changed))
+    df = frame(spark, made)
+    check_copies(df)
+    check_copies(df.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7)))
+    check_copies(docs)
+
+
+def test_near_copies_of_odd_rows(spark, odd):
+    check_copies(odd)
+    assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
+
+
 def test_language_accuracy(spark, sf_dir, texts):
     found = queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "lang").collect()}
