@@ -56,8 +56,8 @@ def items(benchmark: DataFrame) -> DataFrame:
     return own.groupBy(F.col("coded").alias("item")).agg(F.collect_set("item_id").alias("ids"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, aligned): most tokens matched on one diagonal, of those aligned there."""
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, row_no, item_id, matched, aligned) of each diagonal that counts; row_no is the hash of doc_id and text."""
     bench = items(benchmark).withColumn("item_no", F.xxhash64("item"))
     sown = durable(seeds(bench.withColumn("coded", F.col("item")), "item_no").select("item_no", F.col("place").alias("own"), "seed").distinct())
     small = sown.count() <= MOST_BROADCAST
@@ -75,7 +75,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sequence(start, stop - 1),
         lambda i: F.when(F.get("item", i) == F.get("coded", i + F.col("diagonal")), 1).otherwise(0),
     )
-    found = found.select("doc_id", "ids", F.size("item").alias("size"), equal.alias("equal"))
+    found = found.select("doc_id", "row_no", "ids", F.size("item").alias("size"), equal.alias("equal"))
     width = F.least(F.lit(WINDOW), F.col("size"))
     running = F.aggregate(
         F.col("equal"),
@@ -85,11 +85,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.withColumn("running", running).filter(F.size("equal") >= width)
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("equal") - width), lambda i: F.get("running", i + width) - F.get("running", i)))
     found = found.filter(best >= width - ERRORS)
-    found = found.select("doc_id", F.explode("ids").alias("item_id"), F.element_at("running", -1).alias("matched"), F.size("equal").alias("aligned"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("aligned").alias("aligned"))
+    return found.select("doc_id", "row_no", F.explode("ids").alias("item_id"), F.element_at("running", -1).alias("matched"), F.size("equal").alias("aligned"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, aligned): most tokens matched on one diagonal, of those aligned there."""
+    return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("aligned").alias("aligned"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap any item; rows without an id stay only if their text overlaps none."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("bad id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad id")), "left_anti").select(*docs.columns)
+    """docs without those that overlap any item.
+
+    An id is one document: all rows of an id with an overlap go. Rows without an id go each by its
+    own text, so they stay if that overlaps none.
+    """
+    row = lambda row_no: F.when(F.col("doc_id").isNull(), row_no)
+    bad = matches(docs, benchmark).select(F.col("doc_id").alias("bad id"), row(F.col("row_no")).alias("bad row")).distinct()
+    keyed = docs.withColumn("own row", row(F.xxhash64("doc_id", "text")))
+    same = F.col("doc_id").eqNullSafe(F.col("bad id")) & F.col("own row").eqNullSafe(F.col("bad row"))
+    return keyed.join(bad, same, "left_anti").select(*docs.columns)

@@ -473,3 +473,11 @@ def test_overlaps_of_odd_rows(spark, odd):
     assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.overlaps(df.limit(0), bench).count() == 0
     stays = decontam.drop_contaminated(df, bench)
     assert rows(stays, "doc_id") == rows(df.filter("doc_id is null or doc_id > 1"), "doc_id")
+
+
+def test_clean_rows_without_an_id_stay_beside_a_contaminated_one(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = "some other text of its own that overlaps nothing at all"
+    df = spark.createDataFrame([(i, t) for i in (None, 5) for t in (item, clean, None)] + [(6, clean)], "doc_id long, text string")
+    assert rows(decontam.drop_contaminated(df, bench)) == sorted([(None, clean), (None, None), (6, clean)], key=str)
