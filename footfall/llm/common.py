@@ -58,7 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = sign
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written out, so that the join's other side is dealt for the join alone and Spark can split a star's centre
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         upward = now.select(F.col("b").alias("u"), F.col("a").alias("v"))  # a is always the greater one
         large = upward.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -1,22 +1,24 @@
-"""Near copies by an exact join of shingle sets.
+"""One document of each group of near copies, by SimHash candidates and exact verification.
 
-Two texts are linked exactly if the Jaccard similarity of their sets of word shingles reaches the
-threshold. Candidates come from prefix filtering: in any one order of all shingles, two sets that
-are so similar share a shingle among the first |set| - ceil(threshold * |set|) + 1 of each. So no
-pair is missed, and each link is verified on the whole sets. The order puts shingles that are
-frequent in a sample last; this only keeps the buckets small and doesn't change any result.
+Two texts are linked if the Jaccard similarity of their sets of word shingles reaches the threshold.
+Candidates are pairs of SimHash fingerprints (four lanes, over the set), found by the pivot search
+of `pivots`: keys of masked bits, then the test of the largest coordinate difference, then the
+Hamming distance. What is left is verified on the whole sets, so no pair under the threshold is
+linked. The search is random: pairs of just the threshold are found with the recall of
+`sampled_masks`, more similar ones more surely, and a pair may also be joined by others of its group.
 
-Members of a bucket are first compared with its first member only. Then pairs in a bucket that no
-chain of verified links joins yet are compared; so a large group of near copies costs few pairs.
+A candidate pair is verified only while no chain of verified links joins it: first each fingerprint
+with one near it, then the pairs that are still in different components. So a large group of near
+copies costs few verifications.
 
 Texts of the same set are one node. Null and empty texts, and texts without words, have the empty
 set and are copies of each other. Shingles and sets are 64-bit hashes; ids are labels only: rows
-that share an id, or have none, are told apart by their texts.
+that share an id, or have none, are told apart by their texts, and rows that agree in both are one.
+Very long texts are read whole. Other columns stay, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,37 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, durable
+from .pivots import MOST_BROADCAST, Search, distance_for, pivot_table, sampled_masks
+from .prints import fingerprint, shingle_hashes
 
-#: Texts in the sample for the order, and shingles held as frequent.
-SAMPLE, FREQUENT = 10_000, 100_000
-#: Rows to read again that may be broadcast (a long each); more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Lanes of the fingerprints, references of their pivot tables, and the limit of the pivot test: it
+#: is below the distance, discards about two thirds of unrelated pairs and some 2 in 100 at the threshold.
+LANES, REFERENCES, LIMIT = 4, 16, 20
 
 
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
-    """A hash of each run of `shingle` words, of a shorter text as a whole; none without words."""
-    import xxhash
-
-    words = (text or b"").lower().split()  # bytes: A-Z only, ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    k = min(shingle, len(words))
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
-    take, n = xxhash.xxh64_intdigest, len(words) - k + 1
-    return np.fromiter((take(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
-
-
 def shingle_set(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
     """(key of the set, its shingles in ascending order)."""
     import xxhash
 
-    own = np.unique(shingle_hashes(text, shingle)).view(np.int64)
+    own = np.unique(shingle_hashes(text, shingle))
     return (int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64)) if len(own) else 0), own
 
 
@@ -64,95 +52,84 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, own = zip(*[shingle_set(t, shingle) for t in b.column(0).cast(pa.binary()).to_pylist()], strict=True) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["key", "shingles"])
+            found = [shingle_set(t, shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([own.view(np.int64) for _, own in found], pa.list_(pa.int64()))], ["key", "shingles"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, shingles array<long>")
 
 
-def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least three sampled texts, ascending, and how many of these have them."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(every)) == 0)
-    met = sets(some, shingle).dropDuplicates(["key"]).select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count > 2")
-    found = sorted((r["s"], r["count"]) for r in met.orderBy(F.desc("count"), "s").limit(FREQUENT).collect())
-    return np.array([s for s, _ in found], np.int64), np.array([n for _, n in found], np.int64)
-
-
-def least_shared(size: int, similarity: float) -> int:
-    return math.ceil(similarity * size - 1e-9)
-
-
-def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(row_no, doc_id, key, size, prefix): one row for each row of docs."""
-    common, times = frequent_shingles(docs, shingle)
-
-    def prefix(own: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(common, own)
-        if len(common):
-            at = np.minimum(at, len(common) - 1)
-            weight = np.where(common[at] == own, times[at], 0)
-        else:
-            weight = np.zeros(len(own), np.int64)
-        return own[np.lexsort((own, weight))][: len(own) - least_shared(len(own), similarity) + 1] if len(own) else own
+def prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row_no, doc_id, node, size, fp0, ...): one row for each row of docs; node is the key of its set."""
+    names = [f"fp{k}" for k in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            cols = [pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int32())]
-            cols.append(pa.array([prefix(s) for _, s in found], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["row_no", "doc_id", "key", "size", "prefix"])
+            lanes = [fingerprint(own, LANES) for _, own in found]
+            cols = [pa.array([k for k, _ in found], pa.int64()), pa.array([len(own) for _, own in found], pa.int32())]
+            cols += [pa.array([x[k] for x in lanes], pa.int64()) for k in range(LANES)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["row_no", "doc_id", "node", "size", *names])
 
     picked = docs.select(row_key().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "row_no long, doc_id long, key long, size int, prefix array<long>")
+    return picked.mapInArrow(run, "row_no long, doc_id long, node long, size int, " + ", ".join(f"{c} long" for c in names))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets are so similar; a row of each set is read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = rows.groupBy("key").agg(F.min("row_no").alias("wanted row")).join(wanted, "key", "left_semi").select("wanted row")
-    first = durable(first)
+    """Those of pairs (a, b) whose sets are so similar; one row of each set is read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = durable(rows.groupBy("node").agg(F.min("row_no").alias("wanted row")).join(wanted, "node", "left_semi").select("wanted row"))
     some = docs.select("text", row_key().alias("row_no"))
     some = some.join(F.broadcast(first) if first.count() <= MOST_BROADCAST else first, F.col("row_no") == F.col("wanted row"), "left_semi")
-    known = sets(some, shingle).dropDuplicates(["key"])
+    known = durable(sets(some, shingle).dropDuplicates(["key"]))
     both = pairs.join(known.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(known.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def near_sets(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between keys of sets; their components are those of all pairs that are so similar."""
-    like = lambda x, y: F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-9
-    each = rows.dropDuplicates(["key"]).select(F.explode("prefix").alias("s"), F.struct("key", "size").alias("m"))
-    buckets = each.groupBy("s").agg(F.array_sort(F.collect_list("m")).alias("ms")).filter("size(ms) > 1").select("ms").distinct()
-    buckets = durable(buckets.withColumn("bucket", F.xxhash64("ms")))
+def search(nodes: DataFrame, n: int, similarity: float, recall: float) -> Search:
+    """The candidates' search over nodes (node, size, fp0, ...), of which there are n."""
+    table = pivot_table(nodes, LANES, REFERENCES)
+    return Search(table, sampled_masks(similarity, n, LANES, recall), distance_for(similarity, LANES), LIMIT, similarity)
+
 
-    first = F.col("ms")[0]
-    rest = F.filter(F.slice("ms", F.lit(2), F.size("ms") - 1), lambda m: like(m, first))
-    led = durable(buckets.select(first["key"].alias("b"), F.explode(rest).alias("m")).select(F.col("m.key").alias("a"), "b").distinct())
-    edges = durable(verified(led, rows, docs, shingle, similarity))
+def near_sets(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, recall: float) -> DataFrame:
+    """Edges (a, b) between keys of sets that are so similar."""
+    nodes = durable(rows.drop("row_no", "doc_id").dropDuplicates(["node"]))
+    found = search(nodes, nodes.count(), similarity, recall)
+    pairs = durable(found.pairs().distinct())
+    crowded = not found.large.isEmpty()
+    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    first = durable(first.union(found.led()).distinct() if crowded else first)
+    edges = durable(verified(first, rows, docs, shingle, similarity))
 
-    found = components(edges)
-    seen = buckets.select("bucket", F.explode("ms").alias("m")).join(found, F.col("m.key") == F.col("node"), "left")
-    seen = seen.select("bucket", F.struct(F.col("m.key").alias("key"), F.col("m.size").alias("size"), F.coalesce("component", "m.key").alias("part")).alias("m"))
-    mixed = seen.groupBy("bucket").agg(F.array_sort(F.collect_list("m")).alias("ms"), F.min("m.part").alias("low"), F.max("m.part").alias("high")).filter("low < high")
-    other = F.filter("ms", lambda y: (y["key"] < F.col("m.key")) & (y["part"] != F.col("m.part")) & like(y, F.col("m")))
-    apart = mixed.select("ms", F.explode("ms").alias("m")).select(F.col("m.key").alias("a"), F.explode(other).alias("y")).select("a", F.col("y.key").alias("b"))
-    apart = durable(apart.distinct().join(led, ["a", "b"], "left_anti"))
-    return edges.union(verified(apart, rows, docs, shingle, similarity))
+    parts = components(edges)
+    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part of {c}"))
+    rest = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    rest = rest.filter(F.coalesce("part of a", "a") != F.coalesce("part of b", "b")).select("a", "b")
+    rest = rest.union(found.apart(parts, every=True)).distinct() if crowded else rest
+    rest = durable(rest.join(first, ["a", "b"], "left_anti"))
+    return edges.union(verified(rest, rows, docs, shingle, similarity))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
     """docs with one row of each group: that of the smallest id, then of the smallest hash of id and text.
 
     Groups are the components of links between texts whose sets of word shingles have at least the
     given Jaccard similarity. Rows without an id are compared as well and come after those with one.
     """
-    rows = durable(prefixes(docs, shingle, similarity))
-    found = components(near_sets(rows, docs, shingle, similarity))
-    groups = rows.join(found, rows["key"] == found["node"], "left").withColumn("part", F.coalesce("component", "key"))
-    kept = groups.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("kept"))
-    kept = kept.select(F.col("kept.row_no").alias("kept row"))
-    keyed = docs.withColumn("row key", row_key())
-    return keyed.join(kept, keyed["row key"] == kept["kept row"], "left_semi").dropDuplicates(["row key"]).select(*docs.columns)
+    rows = durable(prints(docs, shingle))
+    found = components(near_sets(rows, docs, shingle, similarity, recall))
+    firsts = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first"))
+    groups = firsts.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    kept = durable(groups.groupBy("part").agg(F.min("first").alias("kept")).select("kept.row_no"))
+    gone = durable(rows.select("row_no").distinct().join(kept, "row_no", "left_anti").withColumnRenamed("row_no", "gone row"))
+    twice = rows.groupBy("row_no").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row_no").alias("twice row"))
+    twice = durable(twice.join(kept, F.col("twice row") == F.col("row_no"), "left_semi"))
+
+    small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    keyed = docs.withColumn("row key", row_key()).join(small(gone), F.col("row key") == F.col("gone row"), "left_anti")
+    if not twice.isEmpty():
+        again = F.col("row key") == F.col("twice row")
+        keyed = keyed.join(small(twice), again, "left_anti").union(keyed.join(small(twice), again, "left_semi").dropDuplicates(["row key"]))
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns])

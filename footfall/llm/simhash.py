@@ -5,73 +5,28 @@ fingerprint, its Hamming distances to fixed reference fingerprints. By the trian
 fingerprints within d bits differ by at most d in each of these coordinates, so a pair with a larger
 difference in any coordinate is discarded before the exact distance is taken.
 
-A maximum-coordinate test alone gives no join key. Keys come from families of references that
-differ from each other only inside a chosen set of bits: two fingerprints have the same distances to
-a whole family exactly if they agree on those bits, so the family's coordinates are stored as the
-masked bits. With `distance` errors and six or more blocks of bits, one family of all blocks but
-`distance` agrees in full, hence for a small distance the families miss no pair (`covering_masks`).
-For a large distance the families are random bit sets, as many as the wanted recall asks for
-(`sampled_masks`).
-
-Only distinct fingerprints are compared. A bucket of up to `SMALL` fingerprints is joined with
-itself; a larger one is dealt in chunks, each pair of chunks is compared in one bounded task, and
-that task returns a star for each group it finds, not the pairs.
-
-Null and empty texts, and texts without words, have fingerprint zero. Rows with a null id are
-compared like any other and their component is that of their fingerprint. Rows that repeat stay,
-one result row each. An empty table gives an empty result. Other columns are ignored.
+Keys that bring candidates together come from families of references, see `pivots`: the search loses
+no link.
+
+Fingerprints are the nodes; ids are labels only. Null and empty texts, and texts without words, have
+fingerprint zero and are linked like any other. Rows with a null id or an id that repeats are
+compared like any other; a component without any id has a null component_id. Rows that repeat stay,
+one result row each. Very long texts are read whole. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, durable
 from .nearcopies import drop_near_duplicates as drop_near_duplicates
-from .nearcopies import shingle_hashes
-
-SMALL, CHUNK = 64, 2048
-PIVOTS = 8
-MASK64 = (1 << 64) - 1
-
-
-def mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """Lane 0 is the hash itself; further lanes are 64-bit finalisers of it."""
-    if lane:
-        h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & MASK64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = h ^ (h >> np.uint64(31))
-    return h
-
-
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-
-def fingerprint(text: bytes | None, shingle: int, lanes: int) -> list[int]:
-    """A bit is 1 if it is set in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, shingle)
-    n = len(hashes)
-    if not n:
-        return [0] * lanes
-    out = []
-    for lane in range(lanes):
-        total = np.zeros((8, 256), np.int64)
-        for i in range(0, n, 65536):
-            octets = mixed(hashes[i : i + 65536], lane).view(np.uint8).reshape(-1, 8)
-            total += np.bincount((octets + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
-        bits = (total @ BITS).ravel() * 2 > n
-        out.append(int(np.packbits(bits, bitorder="little").view(np.int64)[0]))
-    return out
+from .pivots import Search, covering_masks, pivot_table
+from .prints import fingerprint, shingle_hashes
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,131 +34,37 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fingerprint(t, shingle, lanes) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            rows = [fingerprint(shingle_hashes(t, shingle), lanes) for t in b.column(1).cast(pa.binary()).to_pylist()]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(lanes)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *names])
 
     names = [f"fp{k}" for k in range(lanes)]
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def covering_masks(distance: int, n: int, bits: int = 64) -> list[list[int]]:
-    """Masks such that any two fingerprints within `distance` bits agree on at least one of them.
-
-    The number of blocks grows with n, the number of distinct fingerprints, so that a bucket holds a
-    few unrelated ones however large the input is.
-    """
-    blocks = distance + 2
-    while n / 2 ** (bits * (blocks - distance) / blocks) > 4 and blocks < 2 * distance + 2:
-        blocks += 1
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    part = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [[sum(part[i] for i in keep)] for keep in combinations(range(blocks), blocks - distance)]
-
-
-def sampled_masks(distance: int, n: int, lanes: int, recall: float = 0.9, seed: int = 7) -> list[list[int]]:
-    """Random sets of bits, so large that a bucket holds some 16 to 32 unrelated ones, and as many as reach the recall for pairs at `distance`."""
-    width = min(24, max(10, math.ceil(math.log2(max(2, n))) - 5))
-    total = 64 * lanes
-    agree = math.prod((total - distance - i) / (total - i) for i in range(width))
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree))):
-        picked = sum(1 << int(i) for i in rng.choice(total, width, replace=False))
-        out.append([picked >> (64 * k) & MASK64 for k in range(lanes)])
-    return out
-
-
-def pivots(lanes: int, seed: int = 11) -> list[list[int]]:
-    rng = np.random.default_rng(seed)
-    return [[int(x) for x in rng.integers(0, 2**64, lanes, dtype=np.uint64)] for _ in range(PIVOTS)]
-
-
-def bits_apart(pairs: list[tuple[Column, Column]]) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(a.bitwiseXOR(b)) for a, b in pairs]).cast("long")
-
-
-def pivot_table(reps: DataFrame, names: list[str]) -> DataFrame:
-    """Adds the distances to the references: 16 bits each, four to a long (p0, p1)."""
-    away = [bits_apart([(F.col(c), F.lit(signed(x))) for c, x in zip(names, p, strict=True)]) for p in pivots(len(names))]
-    packed = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(away[4 * k + i], 15 * i) for i in range(4)]) for k in range(PIVOTS // 4)]
-    return reps.select("*", *[x.alias(f"p{k}") for k, x in enumerate(packed)])
-
-
-def near_in_pivots(distance: int) -> Column:
-    tests = []
-    for k in range(PIVOTS // 4):
-        for i in range(4):
-            x, y = (F.shiftright(F.col(f"{s}.p{k}"), 15 * i).bitwiseAND(32767) for s in "xy")
-            tests.append(F.abs(x - y) <= distance)
-    return reduce(lambda x, y: x & y, tests)
-
-
-def stars(distance: int, names: list[str]):
-    """For one pair of chunks: each member with the smallest member of its group there."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-        rep = pdf["rep"].to_numpy()
-        lanes = [pdf[c].to_numpy().view(np.uint64) for c in names]
-        root = np.full(len(rep), -1)
-        for first in range(len(rep)):
-            if root[first] >= 0:
-                continue
-            root[first], front = first, np.array([first])
-            while len(front):
-                free = np.flatnonzero(root < 0)
-                if not len(free):
-                    break
-                near = np.zeros(len(free), bool)
-                for part in np.array_split(front, len(front) // 256 + 1):
-                    apart = sum(np.bitwise_count(x[part][:, None] ^ x[free][None, :]).astype(np.int16) for x in lanes)
-                    near |= (apart <= distance).any(0)
-                front = free[near]
-                root[front] = first
-        linked = root != np.arange(len(rep))
-        return pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
-
-    return run
+def links(reps: DataFrame, names: list[str], distance: int, masks: list[list[int]]) -> DataFrame:
+    """Edges (a, b) between the numbers `rep` of different fingerprints; their components are those of all pairs within the distance."""
+    table = pivot_table(reps.select(F.col("rep").alias("node"), *names), len(names))
+    search = Search(table, masks, distance)
+    edges = search.pairs()
+    if search.large.isEmpty():
+        return edges
+    led = durable(search.led())
+    return edges.union(led).union(search.apart(components(led), every=False))
 
 
-def links(reps: DataFrame, names: list[str], distance: int, masks: list[list[int]]) -> DataFrame:
-    """Edges (a, b) between representatives; their components are those of all pairs within the distance."""
-    table = pivot_table(reps, names)
-    family = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(names, mask, strict=True)]) for t, mask in enumerate(masks)]
-    keyed = table.withColumn("key", F.explode(F.array(*family)))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = keyed.join(crowd, "key")
-
-    few = members.filter(F.col("n") <= SMALL)
-    apart = bits_apart([(F.col(f"x.{c}"), F.col(f"y.{c}")) for c in names])
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") > F.col("y.rep"))
-    pairs = few.alias("x").join(few.alias("y"), met & near_in_pivots(distance) & (apart <= distance)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-    many = members.filter(F.col("n") > SMALL).withColumn("r", F.ceil(F.col("n") / CHUNK).cast("int"))
-    many = many.withColumn("c", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("r")).cast("int"))
-    many = many.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("r") - 1)))
-    many = many.select("key", "rep", *names, F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"))
-    return pairs.union(many.groupBy("key", "lo", "hi").applyInPandas(stars(distance, names), "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 4, lanes: int = 1, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs.
 
     component_id is the smallest id reachable over links of at most `distance` differing bits.
     """
-    names = [f"fp{k}" for k in range(lanes)]
-    prints = durable(fingerprints(docs, shingle, lanes, id_col, text_col))
-    reps = durable(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    n = reps.count()
-    exact = lanes == 1 and distance <= 6
-    masks = covering_masks(distance, n) if exact else sampled_masks(distance, n, lanes)
-    found = components(links(reps.filter("rep is not null"), names, distance, masks))
-    labels = reps.join(found, reps.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    hexed = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names])
-    return prints.join(labels, names, "left").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    prints = durable(fingerprints(docs, shingle, 1, id_col, text_col))
+    nodes = durable(prints.groupBy(F.col("fp0").alias("node")).agg(F.min("doc_id").alias("least")))
+    reps = nodes.select(F.col("node").alias("rep"), F.col("node").alias("fp0"))
+    found = components(links(reps, ["fp0"], distance, covering_masks(distance, nodes.count())))
+    known = nodes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    labels = durable(known.groupBy("part").agg(F.min("least").alias("component_id")))
+    named = durable(known.join(labels, "part").select(F.col("node").alias("fp0"), "component_id"))
+    hexed = F.lpad(F.lower(F.hex("fp0")), 16, "0")
+    return prints.join(named, "fp0", "left").select("doc_id", hexed.alias("fingerprint"), "component_id")
