@@ -1,16 +1,29 @@
 """Personal data: every entity gets a keyed surrogate of its own kind and shape.
 
-E-mail addresses, telephone and card numbers, IP addresses, secrets and names after a title are
-found. A surrogate is drawn from a keyed hash of the entity's canonical form: letters stay letters of
-the same script and case, digits stay digits, separators stay; card numbers that pass the Luhn check
-still do, addresses stay valid, and names keep script and the gender of title or given name. One
-entity gets the same surrogate wherever it occurs and however it is written. All different entities'
-surrogates are checked over the whole corpus: where two coincide, or one is itself an entity of the
-corpus, all but the first draw again until none do.
-
-Null and empty texts stay as they are. Overlapping finds are resolved by kind, in the order of
-`KINDS`, then by place. Rows that agree in doc_id and text are changed alike; other columns stay,
-whatever their names.
+Found are e-mail addresses, telephone numbers, card numbers that pass the Luhn check, IPv4 and IPv6
+addresses, social security numbers, secrets (long hex strings, access keys with a known prefix) and
+persons: names of one to four words after a title, with `Mc`, `O'`, `van` and the like. In a text
+with such a name the same full name and the same family name are found without a title, too. Names in
+scripts without case, and names that no title introduces anywhere in the text, are not found.
+
+A surrogate is drawn from a keyed hash of the entity's canonical form: letters stay letters of the
+same script and case, digits stay digits, hex stays hex, separators and known prefixes stay; card
+numbers still pass the Luhn check, addresses stay valid. The canonical form has no title, separators
+or case where these don't distinguish, so one entity gets one surrogate however it is written.
+
+A person's given and family names have surrogates of their own, the family name one for all who bear
+it and the given names one for each full name, of the gender that titles (or else the name) tell over
+the whole corpus. So `Mr Thomas Braun`, `Thomas Braun` and `Herr Braun` stay one person.
+
+All surrogates are checked over the whole corpus: where two of a kind coincide (given names: of one
+family), or one is itself an entity of the corpus, all but the first draw again until none do. After
+some draws the forms get longer, so that short ones don't run out; addresses, which have no longer
+form, have four billion.
+
+Null and empty texts stay as they are; very long ones are read whole. Overlapping finds are resolved
+by kind, in the order of `KINDS`, then by place. Null ids and ids that repeat make no difference:
+rows that agree in doc_id and text are changed alike, others by their own text. Other columns stay,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,150 +46,235 @@ GIVEN = {
     ("f", "latin"): ["Anna", "Bianca", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Laura", "Maria", "Nora", "Olivia", "Paula", "Sofia"],
     ("m", "cyrillic"): ["Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Николай", "Павел", "Сергей"],
     ("f", "cyrillic"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Софья"],
+    ("m", "greek"): ["Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Παύλος", "Πέτρος"],
+    ("f", "greek"): ["Άννα", "Ελένη", "Ειρήνη", "Κατερίνα", "Μαρία", "Σοφία"],
 }
 #: Titles by gender.
-TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], "n": ["Dr", "Prof"]}
-
-NAME = r"[A-ZÀ-ÞА-ЯЁ][a-zà-ÿа-яё]+(?:-[A-ZÀ-ÞА-ЯЁ][a-zà-ÿа-яё]+)?"
+TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "n": ["Dr", "Prof"]}
+#: Words within a family name, and prefixes of access keys.
+PARTICLES = ["van", "von", "de", "der", "den", "da", "di", "la", "le", "dos", "del", "du"]
+PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-"]
+
+UPPER, LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΆΈ-ΏΑ-Ω", "a-zß-öø-ÿа-яёάέ-ώα-ω"
+PART = rf"(?:(?:Mc|Mac|O['’]|D['’])(?=[{UPPER}]))?[{UPPER}][{LOWER}]+"
+NAME = rf"{PART}(?:-{PART})?"
+NAMES = rf"{NAME}(?:[ ]{NAME}|(?:[ ](?:{'|'.join(PARTICLES)}))+[ ]{NAME}){{0,3}}"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+HEX4 = r"[0-9A-Fa-f]{1,4}"
 KINDS = {
-    "email": r"(?<![\w.+-])[\w][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])",
+    "email": r"(?<![\w.+-])[\w][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w-])",
+    "token": rf"(?<![0-9A-Za-z_-])(?:{'|'.join(map(re.escape, PREFIXES))})[0-9A-Za-z_-]{{16,}}(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d|\d)",
-    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])",
-    "person": r"(?<!\w)(?:" + "|".join(t for v in TITLES.values() for t in v) + r")\.?[ ]" + NAME + r"(?:[ ]" + NAME + r")?",
+    "ip6": rf"(?<![\w:.])(?:(?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}:){{1,6}}(?::{HEX4}){{1,6}}|(?:{HEX4}:){{2,7}}:)(?![\w:.])",
+    "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d.]\d|\d)",
+    "card": r"(?<![\d-])(?:3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\d-])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?![\w-])",
+    "person": rf"(?<!\w)({'|'.join(t for v in TITLES.values() for t in v)})\.?[ ]({NAMES})(?!\w)",
 }
 FINDERS = {k: re.compile(p) for k, p in KINDS.items()}
-ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+#: What a text must contain for a kind to be searched in it.
+HINTS = {"email": ["@"], "token": PREFIXES, "ip6": [":"], "ip": ["."], "ssn": ["-"], "person": [t for v in TITLES.values() for t in v]}
+BARE = re.compile(rf"(?<!\w){NAME}(?!\w)")
+#: First and last letters of scripts, small ones where there is case.
+SCRIPTS = ["az", "ая", "αω", "աֆ", "את", "ابي", "अह", "กฮ", "აჰ", "ぁん", "ァン", "가힣", "一龥"]
+#: Entities with their surrogates that may be broadcast, and rows to leave alone or change; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+#: From this draw on forms get longer.
+LONGER = 8
+
+
+def luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
 def canonical(kind: str, found: str) -> str:
-    if kind in ("card", "phone"):
+    if kind in ("card", "phone", "ssn"):
         return re.sub(r"\D", "", found)
-    return found.lower() if kind in ("email", "secret") else found
+    return found.lower() if kind in ("email", "secret", "ip6") else found
+
+
+def divided(name: str) -> tuple[str, str]:
+    """Given and family names; particles belong to the family name, and so does a name of one word."""
+    words = name.split(" ")
+    at = next((i for i, w in enumerate(words) if w in PARTICLES), len(words) - 1)
+    return " ".join(words[:at]), " ".join(words[at:])
+
+
+def gender_of(title: str, given: str) -> str:
+    first = given.split(" ")[0]
+    own = [g for g in "mf" if title in TITLES[g]] or [g for g, script in GIVEN if first in GIVEN[g, script]]
+    return own[0] if own else "n"
+
+
+def persons(text: str) -> list[tuple[int, int, str, str, str, str]]:
+    """Names that a title introduces, and these and their family names wherever else they are in the text."""
+    genders: dict[str, str] = {}
+    for m in FINDERS["person"].finditer(text):
+        given, family = divided(m[2])
+        if genders.get(m[2], "n") == "n":
+            genders[m[2]] = gender_of(m[1], given)
+        genders.setdefault(family, "n")
+    by_last: dict[str, list[str]] = {}
+    for name in sorted(genders, key=len, reverse=True):
+        by_last.setdefault(name.split(" ")[-1], []).append(name)
+    out = []
+    for m in BARE.finditer(text) if genders else ():
+        for name in by_last.get(m[0], ()):
+            s = m.end() - len(name)
+            if s >= 0 and text.startswith(name, s) and not re.match(r"\w", text[s - 1 : s]):
+                given, family = divided(name)
+                if given:
+                    out.append((s, s + len(given), "given", given, name, genders[name]))
+                    s += len(given) + 1
+                out.append((s, m.end(), "family", family, family, "n"))
+                break
+    return out
 
 
-def found_in(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, as written), in order and apart from each other."""
-    out: list[tuple[int, int, str, str]] = []
+def found_in(text: str) -> list[tuple[int, int, str, str, str, str]]:
+    """(start, end, kind, as written, canonical, gender), in order and apart from each other."""
+    out: list[tuple[int, int, str, str, str, str]] = []
     taken: list[tuple[int, int]] = []
     for kind, finder in FINDERS.items():
-        own = []
-        spans = iter(taken)
-        span = next(spans, None)
-        for m in finder.finditer(text):
-            s, e = m.span()
-            if kind == "person":
-                title = re.match(r"\w+\.?[ ]", m[0])
-                s += title.end() if title else 0
-            while span and span[1] <= s:
-                span = next(spans, None)
-            if not span or span[0] >= e:
-                own.append((s, e, kind, m[0]))
-        out += own
-        taken = sorted([*taken, *[(s, e) for s, e, _, _ in own]])
+        if not any(h in text for h in HINTS.get(kind, [""])):
+            continue
+        if kind == "person":
+            finds = persons(text)
+        else:
+            finds = [(*m.span(), kind, m[0], canonical(kind, m[0]), "n") for m in finder.finditer(text)]
+            finds = [x for x in finds if kind != "ip6" or re.search(r"\d", x[4])]
+        own, at = [], 0
+        for x in finds:
+            while at < len(taken) and taken[at][1] <= x[0]:
+                at += 1
+            if at == len(taken) or taken[at][0] >= x[1]:
+                own.append(x)
+        out += [x for x in own if kind != "card" or luhn(x[4])]  # other numbers of that shape stay, and aren't telephones
+        taken = sorted([*taken, *[x[:2] for x in own]])
     return sorted(out)
 
 
 def draws(key: str, kind: str, canon: str, attempt: int) -> Iterator[int]:
-    n = 0
+    secret, n = hashlib.blake2b(key.encode()).digest(), 0  # keys of any length count in full
     while True:
-        yield from hashlib.blake2b(f"{kind}\0{canon}\0{attempt}\0{n}".encode(), key=key.encode()[:64]).digest()
+        yield from hashlib.blake2b(f"{kind}\0{canon}\0{attempt}\0{n}".encode(), key=secret).digest()
         n += 1
 
 
-def like(c: str, draw: int) -> str:
-    """A character of the same script, case and sort."""
+@cache
+def letters_of(script: str) -> str:
+    low, high = script
+    return "".join(c for c in map(chr, range(ord(low), ord(high) + 1)) if c.isalpha() and (c.islower() or low.lower() == low.upper()))
+
+
+def like(c: str, draw: Iterator[int], letters: str = "") -> str:
+    """A character of the same script, case and sort; `letters` are those of hex digits."""
     if c.isdigit():
-        return str(draw % 10)
+        return str(next(draw) % 10)
     if not c.isalpha():
         return c
-    letters = next((a for a in ALPHABETS if ord(a[0]) // 256 == ord(c.lower()) // 256 and ord(c) > 255), ALPHABETS[0])
-    return letters[draw % len(letters)].upper() if c.isupper() else letters[draw % len(letters)]
-
-
-def luhn(digits: str) -> bool:
-    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+    letters = letters or letters_of(next((s for s in SCRIPTS if s[0] <= c.lower() <= s[1]), SCRIPTS[0]))
+    new = letters[(next(draw) * 256 + next(draw)) % len(letters)]
+    return new.upper() if c.isupper() else new
 
 
-def gender_of(found: str) -> str:
-    title, *names = found.replace(".", "").split()
-    for g in "mf":
-        if title in TITLES[g] or names and any(names[0] in GIVEN[g, s] for s in ("latin", "cyrillic")):
-            return g
-    return "n"
+def given_names(canon: str, scope: str, gender: str, attempt: int, draw: Iterator[int]) -> str:
+    """As many given names as there were, of the same script and gender; later draws have double names."""
+    own = canon[: -len(scope) - 1]
+    script = "cyrillic" if re.search("[А-яЁё]", own) else "greek" if re.search("[Ά-ώ]", own) else "latin"
+    pool = GIVEN.get((gender, script)) or GIVEN["m", script] + GIVEN["f", script]
+    while True:
+        new = [pool[next(draw) % len(pool)] for _ in own.split(" ")]
+        new[-1] = "-".join([new[-1], *[pool[next(draw) % len(pool)] for _ in range(attempt // LONGER)]])
+        if " ".join(new) != own:
+            return " ".join(new)
 
 
-def surrogate(key: str, kind: str, canon: str, attempt: int) -> str:
-    """The canonical surrogate of a canonical entity (of a name: with its title)."""
+def surrogate(key: str, kind: str, canon: str, attempt: int, scope: str = "", gender: str = "n") -> str:
+    """The canonical surrogate of a canonical entity."""
     draw = draws(key, kind, canon, attempt)
-    more = "".join(like("a", next(draw)) for _ in range(attempt // 8))  # a short form has few others of its length
+    longer = lambda c, letters="": "".join(like(c, draw, letters) for _ in range(attempt // LONGER))
+    if kind == "given":
+        return given_names(canon, scope, gender, attempt, draw)
     if kind == "ip":
         return ".".join(str(1 + next(draw) % 254) for _ in range(4))
     if kind == "email":
         local, domain = canon.split("@")
         *labels, last = domain.split(".")
-        return "".join(like(c, next(draw)) for c in local) + more + "@" + ".".join("".join(like(c, next(draw)) for c in x) for x in labels) + "." + last
-    if kind == "person":
-        words = re.sub(r"^\w+\.?[ ]", "", canon).split(" ")
-        script = "cyrillic" if re.search(r"[А-яЁё]", canon) else "latin"
-        pool = GIVEN.get((gender_of(canon), script)) or GIVEN["m", script] + GIVEN["f", script]
-        given = [pool[next(draw) % len(pool)]] if len(words) > 1 else []
-        family = "".join(like(c, next(draw)) for c in words[-1])
-        return " ".join([*given, family + more])
-    out = "".join(like(c, next(draw)) for c in canon)
-    if kind == "card" and luhn(canon):
-        out = next(out[:-1] + str(d) for d in range(10) if luhn(out[:-1] + str(d)))
-    return out
+        return "".join(like(c, draw) for c in local) + longer("a") + "@" + ".".join("".join(like(c, draw) for c in x) for x in labels) + "." + last
+    if kind in ("secret", "ip6"):
+        return "".join(like(c, draw, "abcdef") for c in canon) + (longer("a", "abcdef") if kind == "secret" else "")
+    if kind == "token":
+        start = next(p for p in PREFIXES if canon.startswith(p))
+        return start + "".join(like(c, draw) for c in canon[len(start) :]) + longer("0")
+    if kind == "card":
+        out = "".join(like(c, draw) for c in canon[:-1])
+        return next(out + str(d) for d in range(10) if luhn(out + str(d)))
+    if kind in ("phone", "ssn"):
+        return "".join(like(c, draw) for c in canon) + longer("0")
+    return " ".join(w if w in PARTICLES else "".join(like(c, draw) for c in w) for w in canon.split(" ")) + longer("a")
 
 
 def shaped(kind: str, canon: str, written: str) -> str:
     """A canonical surrogate in the shape of what it replaces."""
-    if kind in ("card", "phone"):
+    if kind in ("card", "phone", "ssn"):
         digits = iter(canon)
-        return re.sub(r"\d", lambda _: next(digits), written)
-    if kind in ("email", "secret"):
+        return re.sub(r"\d", lambda _: next(digits), written) + "".join(digits)
+    if kind in ("email", "secret", "ip6"):
         return canon.upper() if written.isupper() else canon
     return canon
 
 
-SPANS = "array<struct<start:int,end:int,kind:string,written:string,canon:string>>"
+FOUND = {"start": "int", "end": "int", "kind": "string", "written": "string", "canon": "string", "scope": "string", "gender": "string"}
+SPANS = f"array<struct<{','.join(f'{k}:{v}' for k, v in FOUND.items())}>>"
+ENTITY = ["kind", "canon", "scope", "gender", "attempt"]
 
 
 def finds(docs: DataFrame) -> DataFrame:
-    """(doc_id, row key, spans) for the texts that have any."""
+    """(doc_id, row_key, spans) for the texts that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(k, pa.int32() if v == "int" else pa.string()) for k, v in FOUND.items()]))
         for b in batches:
             keep, spans = [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 if text and (own := found_in(text)):
                     keep.append(i)
-                    spans.append([{"start": s, "end": e, "kind": k, "written": w, "canon": canonical(k, w)} for s, e, k, w in own])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("written", pa.string()), ("canon", pa.string())]))
+                    spans.append([dict(zip(FOUND, (s, e, k, w, c, c[len(w) + 1 :] if k == "given" else "", g), strict=True)) for s, e, k, w, c, g in own])
             some = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array(spans, kind)], ["doc_id", "row_key", "spans"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, f"doc_id long, row_key long, spans {SPANS}")
 
 
+def row_key():
+    return F.xxhash64("doc_id", "text")
+
+
 def drawn(entities: DataFrame, key: str) -> DataFrame:
+    """The entities with `new`, their surrogates of this attempt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(i) for i in range(3)]
-            new = [surrogate(key, *row) for row in zip(*(c.to_pylist() for c in cols), strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(new, pa.string())], ["kind", "canon", "attempt", "new"])
+            cols = [b.column(i) for i in range(len(ENTITY))]
+            new = [surrogate(key, kind, canon, attempt, scope, gender) for kind, canon, scope, gender, attempt in zip(*(c.to_pylist() for c in cols), strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(new, pa.string())], [*ENTITY, "new"])
 
-    return entities.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, new string")
+    return entities.select(*ENTITY).mapInArrow(run, "kind string, canon string, scope string, gender string, attempt int, new string")
 
 
 def surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
-    """(kind, canon, new) for distinct entities (kind, canon); no two share a surrogate, and none is an entity."""
+    """(kind, canon, new) for distinct entities (kind, canon, and scope and gender of given names).
+
+    No two entities of a kind and scope share a surrogate, and none is itself an entity.
+    """
+    entities = entities.withColumns({c: F.lit(v) for c, v in (("scope", ""), ("gender", "n")) if c not in entities.columns})
     now = durable(drawn(entities.withColumn("attempt", F.lit(0)), key))
     for _ in range(rounds):
-        shared = now.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        again = now.join(shared, ["kind", "new"]).filter("canon <> first").select("kind", "canon")
+        shared = now.groupBy("kind", "scope", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        again = now.join(shared, ["kind", "scope", "new"]).filter("canon <> first").select("kind", "canon")
         taken = now.select("kind", F.col("canon").alias("new")).distinct()
         bad = durable(again.union(now.join(taken, ["kind", "new"], "left_semi").select("kind", "canon")).distinct())
         if bad.isEmpty():
@@ -183,20 +282,32 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
         stay = now.join(bad, ["kind", "canon"], "left_anti")
         redone = now.join(bad, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         now = durable(stay.union(drawn(redone, key)))
-    raise ValueError("surrogates still coincide; some kind has more entities than its shape allows")
+    raise ValueError("surrogates still coincide; a kind without longer forms has about as many entities as there are")
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """docs with the surrogates in their texts, and `entities replaced` at the end."""
     spans = durable(finds(docs))
     each = spans.select("doc_id", "row_key", F.explode(F.array_distinct("spans")).alias("s"))
-    table = surrogates(each.select("s.kind", "s.canon").distinct(), key)
-    known = each.join(table.withColumnsRenamed({"kind": "kind_of", "canon": "canon_of"}), (F.col("s.kind") == F.col("kind_of")) & (F.col("s.canon") == F.col("canon_of")))
-    edits = known.groupBy(F.col("doc_id").alias("id of"), F.col("row_key").alias("key of")).agg(F.collect_set(F.struct("s.start", "s.end", "s.kind", "s.written", "new")).alias("edits"))
-    keyed = docs.withColumn("row key", F.xxhash64("doc_id", "text"))
-    both = keyed.join(edits, F.col("doc_id").eqNullSafe(F.col("id of")) & (F.col("row key") == F.col("key of")), "left")
-    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort("edits").alias("edits made"))
-    at, names = docs.columns.index("text"), [*docs.columns, "entities replaced"]
+    has = lambda g: F.max(F.col("s.gender") == g)
+    gender = F.when(has("m") & ~has("f"), "m").when(has("f") & ~has("m"), "f").otherwise("n")
+    table = surrogates(each.groupBy("s.kind", "s.canon", "s.scope").agg(gender.alias("gender")), key).withColumnsRenamed({"kind": "kind_of", "canon": "canon_of"})
+    small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    known = each.join(small(table), (F.col("s.kind") == F.col("kind_of")) & (F.col("s.canon") == F.col("canon_of")))
+    edits = known.groupBy(F.col("doc_id").alias("id of"), F.col("row_key").alias("key of")).agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end", "s.kind", "s.written", "new"))).alias("edits made"))
+    edits = durable(edits)
+
+    names = [*docs.columns, "entities replaced"]
+    all_of = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("row key", row_key())
+    same = lambda of: F.col("doc_id").cast("long").eqNullSafe(F.col(of[0])) & (F.col("row key") == F.col(of[1]))
+    if edits.count() <= MOST_BROADCAST:  # only texts with finds are shuffled
+        keys = F.broadcast(edits.select(F.col("id of").alias("touched id"), F.col("key of").alias("touched key")))
+        rest = keyed.join(keys, same(("touched id", "touched key")), "left_anti").select(*all_of, F.lit(0).alias("entities replaced"))
+        both = keyed.join(keys, same(("touched id", "touched key")), "left_semi").join(edits, same(("id of", "key of")))
+    else:
+        rest, both = None, keyed.join(edits, same(("id of", "key of")), "left")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,4 +323,6 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32())], names=names)
 
-    return both.mapInArrow(run, T.StructType([*docs.schema.fields]).add("entities replaced", "integer"))
+    schema = T.StructType([*docs.schema.fields]).add("entities replaced", "integer")
+    done = both.select(*all_of, "edits made").mapInArrow(run, schema)
+    return done if rest is None else rest.union(done)
