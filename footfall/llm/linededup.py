@@ -5,8 +5,8 @@ documents. A window's first occurrence is the one with the smallest (doc_id, has
 position), nulls first. Every later occurrence covers its three lines, except lines of the first
 occurrence itself where the two overlap in one document; covered positions are merged and removed.
 
-Windows of blank lines only don't count. A text of fewer than three lines, an empty one and a null
-stay as they are. Rows that agree in doc_id and text are one document: they are changed alike. Other
+Windows of blank lines only (ASCII white space) don't count. A text of fewer than three lines, an
+empty one and a null stay as they are; very long texts are read whole. An empty table gives no rows. Rows that agree in doc_id and text are one document: they are changed alike. Other
 columns stay, whatever their names.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD, durable
+
 LINES = 3
 
 
@@ -28,7 +30,7 @@ def windows(keyed: DataFrame) -> DataFrame:
 
     def hashed(i: Column) -> Column:
         own = [F.get("lines", i + k) for k in range(LINES)]
-        blank = F.trim(F.concat(*own)) == ""
+        blank = ~F.concat(*own).rlike(WORD)
         return F.when(~blank, F.struct(F.xxhash64(*own).alias("h"), F.hash(*own).alias("g")))
 
     each = lines.select("doc_id", "row key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - LINES), hashed)).alias("pos", "w"))
@@ -39,7 +41,8 @@ def covered(keyed: DataFrame) -> DataFrame:
     """(doc_id, row key, gone: positions to remove) for the documents that lose lines."""
     found = windows(keyed)
     first = found.groupBy("h", "g").agg(F.min("at").alias("first"), F.min("at.pos").alias("low"), F.max("at").alias("last")).filter("first <> last")
-    first = first.select(F.col("h").alias("h1"), F.col("g").alias("g1"), "first")
+    # written out, so that a window that very many documents share can be split where it meets its occurrences
+    first = durable(first.select(F.col("h").alias("h1"), F.col("g").alias("g1"), "first"))
     later = found.join(first, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1"))).filter("at <> first")
     same = F.col("at.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at.`row key`") == F.col("first.`row key`"))
     start = F.when(same, F.greatest(F.col("at.pos"), F.col("first.pos") + LINES)).otherwise(F.col("at.pos"))

@@ -10,8 +10,9 @@ which judges documents whose own group has fewer than `LEAST` rows, and all toge
 languages. `spread` is the least width, without which a group of equal documents would reject the
 first one that differs.
 
-A null text has no words. Null languages and sources are groups like any other. Rows that repeat are
-judged alike and count as often as they occur; an empty table gives no rows.
+A null text has no words, and very long texts are read whole. Null languages and sources are groups like any other. Rows that repeat are
+judged alike and count as often as they occur; null ids stay. An empty table gives no rows. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ SPAN = 5
 #: Metric: least width of the spread, lower fence too.
 RULES = {"symbol_rate": (40, False), "dup_line_rate": (100, False), "word_length": (80, True)}
 K, LEAST = 3, 100
+#: Groups whose thresholds may be broadcast (some 100 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+CONTRACT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def base(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -104,7 +108,7 @@ def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, lang and source with the counts, base_failed, kept and the thresholds' `level`."""
+    """For every row of docs the counts, base_failed, kept, lang, source, the rates and the thresholds' `level`."""
     counts = rates(base(docs, ["doc_id", "lang", "source"]))
     counts = durable(counts.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
     own = durable(sketch(counts, ["lang", "source"]))
@@ -113,7 +117,8 @@ def judged(docs: DataFrame) -> DataFrame:
     for name, found, groups in (("source", fences(own, ["lang", "source"]), ["lang", "source"]), ("lang", fences(by_lang, ["lang"]), ["lang"])):
         found = found.select(F.struct(*[c for c in found.columns if c not in groups]).alias(f"by_{name}"), *[F.col(g).alias(f"{g}_of") for g in groups])
         on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_of")) for g in groups])
-        left = left.join(found, on, "left").drop(*[f"{g}_of" for g in groups])
+        found = durable(found)  # a row a group: broadcast while there are few, and else a group with many documents can be split
+        left = left.join(F.broadcast(found) if found.count() <= MOST_BROADCAST else found, on, "left").drop(*[f"{g}_of" for g in groups])
     overall = fences(by_all, []).first()  # one row of a few numbers
     left = left.withColumn("by_all", F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in overall.asDict().items()]))
     enough = lambda n: F.col(f"by_{n}.size") >= LEAST
@@ -125,4 +130,4 @@ def judged(docs: DataFrame) -> DataFrame:
         if lower:
             good = good & F.coalesce(F.col(r) >= F.col(f"t.{r}_low"), F.lit(True))
     left = left.withColumn("kept", ~F.col("base_failed") & good)
-    return left.drop("by_source", "by_lang", "by_all", "t")
+    return left.select(*CONTRACT, *[c for c in left.columns if c not in (*CONTRACT, "by_source", "by_lang", "by_all", "t")])

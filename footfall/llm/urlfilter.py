@@ -8,7 +8,9 @@ intervals of its own patterns that contain its time; the longest pattern decides
 
 Verdicts depend on URL and time only, so equal captures are judged once. A capture with a null or
 malformed URL, without a time or without an active entry is allowed, with a null pattern. An empty
-list allows all. Rows that repeat stay; the captures' columns stay, whatever their names.
+list allows all, and no captures give no rows. Rows that repeat stay; the captures' columns stay,
+whatever their names, but `verdict` and `pattern`, which are replaced. Of a very long path only as
+many segments are looked up as the longest pattern has.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import durable
+
 RANK = {"remove": 0, "allow": 1, "block": 2}
 
 
@@ -35,24 +39,26 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.filter("verdict <> 'remove'")
 
 
-def patterns(url: Column) -> Column:
-    """All patterns that cover a URL: its host, the host's parents, and the host with each start of the path."""
+def patterns(url: Column, depth: int) -> Column:
+    """The patterns that cover a URL: its host, the host's parents, and the host with each start of the path, up to `depth` segments."""
     parts = r"^(?i:[a-z][a-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:@]+)(?::\d*)?(/[^?#]*)?(?:[?#].*)?$"
     host = F.split(F.regexp_replace(F.lower(F.regexp_extract(url, parts, 1)), r"\.+$", ""), r"\.")
     steps = F.filter(F.split(F.regexp_extract(url, parts, 2), "/"), lambda s: s != "")
     parents = F.transform(F.sequence(F.lit(1), F.size(host)), lambda i: F.array_join(F.slice(host, i, F.size(host)), "."))
-    below = F.transform(steps, lambda _, i: F.concat_ws("/", F.array_join(host, "."), F.slice(steps, F.lit(1), i + 1)))
+    below = F.transform(F.slice(steps, 1, depth), lambda _, i: F.concat_ws("/", F.array_join(host, "."), F.slice(steps, F.lit(1), i + 1)))
     return F.when(url.rlike(parts), F.concat(parents, below))
 
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """captures with `verdict` and the deciding `pattern` at the end."""
+    listed = durable(intervals(entries))  # written out, so that a pattern that many captures have can be split in the join
+    depth = listed.agg(F.max(F.regexp_count("pattern", F.lit("/")))).first()[0] or 0
     keys = captures.select(F.col(f"`{url_col}`").alias("url of"), F.col(f"`{time_col}`").cast("timestamp").alias("time of")).distinct()
-    asked = keys.select("url of", "time of", F.explode(patterns(F.col("url of"))).alias("pattern"))
+    asked = keys.select("url of", "time of", F.explode(patterns(F.col("url of"), depth)).alias("pattern"))
     active = (F.col("time of") >= F.col("since")) & (F.col("until").isNull() | (F.col("time of") < F.col("until")))
-    met = asked.join(intervals(entries), "pattern").filter(active)
+    met = asked.join(listed, "pattern").filter(active)
     longest = F.max_by(F.struct("verdict", "pattern"), F.struct(F.length("pattern"), "pattern"))
-    best = met.groupBy("url of", "time of").agg(longest.alias("best"))
+    best = met.groupBy("url of", "time of").agg(longest.alias("verdict of url"))
     same = F.col(f"`{url_col}`").eqNullSafe(F.col("url of")) & F.col(f"`{time_col}`").cast("timestamp").eqNullSafe(F.col("time of"))
     own = [F.col(f"`{c}`") for c in captures.columns if c not in ("verdict", "pattern")]
-    return captures.join(best, same, "left").select(*own, F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.col("best.pattern").alias("pattern"))
+    return captures.join(best, same, "left").select(*own, F.coalesce(F.col("`verdict of url`.verdict"), F.lit("allow")).alias("verdict"), F.col("`verdict of url`.pattern").alias("pattern"))
