@@ -3,16 +3,24 @@
 Tokens are lower-cased runs of letters and digits. A mask selects some tokens of a run and ignores
 the others; the selected tokens' hash at every place of every text joins the same hashes of the
 benchmark items. A hit names a diagonal, the difference of the two places; there the texts are
-aligned token by token, and the overlap counts if some window of `WINDOW` aligned tokens around the
-hit has at most `ERRORS` substitutions. The two masks hit every such window (tests prove it), so the
-seeds miss nothing that the check accepts there. An item shorter than the window must match whole,
-with as many substitutions; the seeds surely find it with one substitution from ten tokens and with
-none at nine, and with more only where a mask hits. Items of fewer than nine tokens, the longer mask's
-span, are no evidence and are never reported.
-
-Items of the same text are searched once and all reported. Null and empty texts on either side
-match nothing; rows with a null id are searched, too. Rows that agree in id and text give one row
-for each item. Further columns are ignored.
+aligned token by token, and the overlap counts if some window of `WINDOW` aligned tokens has at most
+`ERRORS` substitutions. The two masks hit every such window (tests prove it), so the seeds miss
+nothing that the check accepts.
+
+An item shorter than the window must match whole. With `TOLERANT` tokens or more it may have as many
+substitutions; then one of its first three runs of three tokens is intact, so these runs are its
+seeds, by a third mask that ignores nothing and is searched only if there are such items. Items of
+`LEAST` tokens or more, but fewer than that, must match exactly; still shorter ones are no evidence
+and are never reported.
+
+All masks begin with two selected tokens. Where the items have few different pairs there, other
+places of a text are passed over before anything else is hashed.
+
+Items of the same text are searched once and all reported; a null item_id is reported as null. Null
+and empty texts on either side match nothing, rows with a null id are searched, and very long texts
+and items are searched whole: the check takes time in proportion to the aligned tokens. Rows that
+agree in id and text give one row for each item. An empty table on either side gives no rows.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,70 +30,107 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Selected offsets; the spans are 8 and 9 tokens.
+#: Selected offsets; the spans are 8 and 9 tokens, and 3 for short items.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-WINDOW, ERRORS, LEAST = 13, 2, 9
+SHORT_MASK, SHORT_PLACES = (0, 1, 2), (0, 3, 6)
+WINDOW, ERRORS, TOLERANT, LEAST = 13, 2, 9, 5
+SPAN = 1 + max(m[-1] for m in MASKS)
 #: Benchmark seeds that may be broadcast (some 30 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Different first pairs that are written into the plan (8 bytes each); with more, all places are hashed.
+MOST_PAIRS = 50_000
 
 
 def tokens(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seeds(df: DataFrame, key: str) -> DataFrame:
-    """(key, place, seed) for every mask and place; df has `coded`, the tokens' hashes."""
+def once(value: Column) -> Column:
+    """The value by way of a generator: what uses it in a lambda doesn't compute it again for each element."""
+    return F.explode(F.array(value))
 
-    def hashed(n: int, mask: tuple[int, ...]) -> Column:
-        last = F.size("coded") - (mask[-1] + 1)
-        at = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(n), *[F.get("coded", i + k) for k in mask]))
-        return F.when(last >= 0, at).otherwise(F.array().cast("array<bigint>"))
 
-    first = F.greatest(F.lit(0), F.size("coded") - MASKS[0][-1])  # places of the first mask, which come before the second's
-    each = df.select(key, first.alias("n"), F.posexplode(F.concat(*[hashed(n, mask) for n, mask in enumerate(MASKS)])).alias("i", "seed"))
-    return each.select(key, F.when(F.col("i") < F.col("n"), F.col("i")).otherwise(F.col("i") - F.col("n")).alias("place"), "seed")
+def coded(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The columns `keep` and `coded`, the tokens' hashes, of the rows that have a text."""
+    return df.filter(F.col(text).isNotNull()).select(*keep, once(F.transform(tokens(text), lambda w: F.xxhash64(w))).alias("coded"))
 
 
-def coded(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("coded", F.transform(tokens(text), lambda w: F.xxhash64(w)))
+def items(benchmark: DataFrame) -> DataFrame:
+    """(item: tokens' hashes, ids, item_no): the different items."""
+    own = coded(benchmark, "item_id").filter(F.size("coded") >= LEAST)
+    named = own.groupBy(F.col("coded").alias("item")).agg(F.collect_set(F.struct("item_id")).alias("ids"))
+    return named.withColumn("item_no", F.xxhash64("item"))
 
 
-def items(benchmark: DataFrame) -> DataFrame:
-    """(item: tokens' hashes, ids): the different items."""
-    own = coded(benchmark.select("item_id", "text")).filter(F.size("coded") >= LEAST)
-    return own.groupBy(F.col("coded").alias("item")).agg(F.collect_set("item_id").alias("ids"))
+def seed(n: int, at: Column) -> Column:
+    """Mask n's hash of a run that begins with its first token."""
+    mask = (*MASKS, SHORT_MASK)[n]
+    return F.xxhash64(F.lit(n), *[F.get(at, F.lit(k)) for k in mask])
+
+
+def sown(bench: DataFrame) -> DataFrame:
+    """(item_no, own: place in the item, seed, pair: hash of the first two tokens there)."""
+    size = F.size("item")
+
+    def everywhere(n: int) -> Column:
+        last = size - MASKS[n][-1] - 1
+        return F.when(size >= WINDOW, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.lit(n).alias("n"), i.alias("own"))))
+
+    each = [everywhere(n) for n in range(len(MASKS))]
+    short = lambda *places: F.array(*[F.struct(F.lit(len(MASKS)).alias("n"), F.lit(p).alias("own")) for p in places])
+    each.append(F.when(size < TOLERANT, short(0)).when(size < WINDOW, short(*SHORT_PLACES)))
+    none = F.array().cast("array<struct<n:int,own:int>>")
+    at = bench.select("item_no", "item", F.explode(F.concat(*[F.coalesce(x, none) for x in each])).alias("at"))
+    at = at.select("item_no", "at.n", "at.own", F.slice("item", F.col("at.own") + 1, SPAN).alias("run"))
+    hashed = F.when(F.col("n") == 0, seed(0, F.col("run"))).when(F.col("n") == 1, seed(1, F.col("run"))).otherwise(seed(2, F.col("run")))
+    return at.select("item_no", "n", "own", hashed.alias("seed"), F.xxhash64(F.get("run", F.lit(0)), F.get("run", F.lit(1))).alias("pair")).distinct()
+
+
+def seeds(texts: DataFrame, pairs: list[int] | None, masks: list[int]) -> DataFrame:
+    """(row_no, place, seed) from (row_no, coded), at places whose first pair is one of `pairs`, if given."""
+    shortest = min((*MASKS, SHORT_MASK)[n][-1] + 1 for n in masks)
+    last = F.size("coded") - shortest
+    places = F.when(last >= 0, F.sequence(F.lit(0), last))
+    if pairs is not None:
+        places = F.filter(places, lambda i: F.xxhash64(F.get("coded", i), F.get("coded", i + 1)).isin(pairs))
+    runs = F.transform(places, lambda i: F.struct(i.alias("place"), F.slice("coded", i + 1, SPAN).alias("run")))
+    at = texts.select("row_no", F.explode(runs).alias("at")).select("row_no", "at.place", "at.run")
+    each = [F.when(F.size("run") > (*MASKS, SHORT_MASK)[n][-1], seed(n, F.col("run"))) for n in masks]
+    return at.select("row_no", "place", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row_no, item_id, matched, aligned) of each diagonal that counts; row_no is the hash of doc_id and text."""
-    bench = items(benchmark).withColumn("item_no", F.xxhash64("item"))
-    sown = durable(seeds(bench.withColumn("coded", F.col("item")), "item_no").select("item_no", F.col("place").alias("own"), "seed").distinct())
-    small = sown.count() <= MOST_BROADCAST
-    hint = F.broadcast if small else lambda x: x
+    bench = durable(items(benchmark))
+    own = durable(sown(bench))
+    hint = F.broadcast if own.count() <= MOST_BROADCAST else lambda x: x
+    masks = sorted(r["n"] for r in own.select("n").distinct().collect()) or [0]
+    firsts = own.select("pair").distinct().limit(MOST_PAIRS + 1)
+    pairs = [r["pair"] for r in firsts.collect()]
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_no"))
-    met = seeds(coded(rows), "row_no").join(hint(sown), "seed")
+    found = seeds(coded(rows, "row_no"), pairs if len(pairs) <= MOST_PAIRS else None, masks)
+    met = found.join(hint(own.select("item_no", "own", "seed")), "seed")
     hits = met.select("row_no", "item_no", (F.col("place") - F.col("own")).alias("diagonal")).distinct()
     hits = durable(hits.groupBy("row_no", "item_no").agg(F.collect_set("diagonal").alias("diagonals")))
-    few = hits.agg(F.sum(F.size("diagonals"))).first()[0] or 0
-
-    found = rows.join(F.broadcast(hits) if few <= MOST_BROADCAST else hits, "row_no")
-    found = coded(found).join(hint(bench), "item_no").withColumn("diagonal", F.explode("diagonals"))
-    start, stop = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("item"), F.size("coded") - F.col("diagonal"))
-    equal = F.transform(
-        F.sequence(start, stop - 1),
-        lambda i: F.when(F.get("item", i) == F.get("coded", i + F.col("diagonal")), 1).otherwise(0),
-    )
-    found = found.select("doc_id", "row_no", "ids", F.size("item").alias("size"), equal.alias("equal"))
+
+    some = hits.select("row_no").distinct()
+    few = hits.count() <= MOST_BROADCAST
+    texts = rows.join(F.broadcast(some) if few else some, "row_no", "left_semi").dropDuplicates(["row_no"])
+    texts = coded(texts, "doc_id", "row_no").join(F.broadcast(hits) if few else hits, "row_no").join(hint(bench), "item_no")
+
+    def equal(d: Column) -> Column:
+        start = F.greatest(F.lit(0), -d)
+        n = F.least(F.size("item"), F.size("coded") - d) - start
+        return F.zip_with(F.slice("item", start + 1, n), F.slice("coded", start + d + 1, n), lambda a, b: (a == b).cast("int"))
+
+    lines = texts.select("doc_id", "row_no", "ids", F.size("item").alias("size"), F.explode(F.transform("diagonals", equal)).alias("equal"))
     width = F.least(F.lit(WINDOW), F.col("size"))
-    running = F.aggregate(
-        F.col("equal"),
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
-    found = found.withColumn("running", running).filter(F.size("equal") >= width)
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("equal") - width), lambda i: F.get("running", i + width) - F.get("running", i)))
-    found = found.filter(best >= width - ERRORS)
-    return found.select("doc_id", "row_no", F.explode("ids").alias("item_id"), F.element_at("running", -1).alias("matched"), F.size("equal").alias("aligned"))
+    wrong = F.when(F.col("size") >= TOLERANT, ERRORS).otherwise(0)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    starts = F.sequence(F.lit(1), F.size("equal") - width + 1)
+    counts = F.when(F.size("equal") >= width, F.exists(starts, lambda i: total(F.slice("equal", i, width)) >= width - wrong)).otherwise(False)
+    lines = lines.filter(counts).select("doc_id", "row_no", total(F.col("equal")).alias("matched"), F.size("equal").alias("aligned"), F.explode("ids").alias("id"))
+    return lines.select("doc_id", "row_no", "id.item_id", "matched", "aligned")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -94,13 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap any item.
-
-    An id is one document: all rows of an id with an overlap go. Rows without an id go each by its
-    own text, so they stay if that overlaps none.
-    """
-    row = lambda row_no: F.when(F.col("doc_id").isNull(), row_no)
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("bad id"), row(F.col("row_no")).alias("bad row")).distinct()
-    keyed = docs.withColumn("own row", row(F.xxhash64("doc_id", "text")))
-    same = F.col("doc_id").eqNullSafe(F.col("bad id")) & F.col("own row").eqNullSafe(F.col("bad row"))
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    """docs without the rows whose own text overlaps any item, whatever their ids."""
+    bad = durable(matches(docs, benchmark).select(F.col("row_no").alias("bad row")).distinct())
+    keyed = docs.withColumn("own row", F.xxhash64("doc_id", "text"))
+    return keyed.join(F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad, F.col("own row") == F.col("bad row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -89,11 +89,11 @@ QUERIES = {
 
 TEMPLATES = ", ".join(f"('{k}', '{t}')" for k, t in licenses.TEMPLATES.items())
 SQL = {
-    "op6_line_windows": """
+    "op6_line_windows": r"""
 with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
 p as (select doc_id, ls, unnest(range(0, len(ls) - 2)) as pos from l where len(ls) >= 3),
 w as (select doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] as k from p
-  where trim(ls[pos + 1] || ls[pos + 2] || ls[pos + 3]) <> ''),
+  where regexp_matches(ls[pos + 1] || ls[pos + 2] || ls[pos + 3], '[^\x20\x09-\x0D]')),
 r as (select doc_id, pos, first_value(doc_id) over o as fd, first_value(pos) over o as fp, row_number() over o as n
   from w window o as (partition by k order by doc_id, pos)),
 g as (select distinct doc_id, unnest(range(case when doc_id = fd then greatest(pos, fp + 3) else pos end, pos + 3)) as gone from r where n > 1),
@@ -178,10 +178,10 @@ from f left join own on f.rid = own.rid left join r on r.k = 1 and r.dir = f.dir
 with d as (select row_number() over () as rid, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from documents),
 b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from benchmark),
 dt as (select rid, unnest(words) as word, unnest(range(0, len(words))) as i from d),
-bt as (select item_id, unnest(words) as word, unnest(range(0, len(words))) as j, least(len(words), 13) as width from b where len(words) >= 9),
-m as (select rid, item_id, i - j as diagonal, j, width, count(*) over (partition by rid, item_id, i - j) as matched from dt join bt using (word)),
-n as (select *, count(*) over (partition by rid, item_id, diagonal order by j range between current row and 12 following) as near from m where matched >= width - 2),
-g as (select rid, item_id, diagonal, any_value(matched) as matched, any_value(width) as width from n group by rid, item_id, diagonal having max(near) >= any_value(width) - 2),
+bt as (select item_id, unnest(words) as word, unnest(range(0, len(words))) as j, least(len(words), 13) as width, case when len(words) >= 9 then 2 else 0 end as wrong from b where len(words) >= 5),
+m as (select rid, item_id, i - j as diagonal, j, width, wrong, count(*) over (partition by rid, item_id, i - j) as matched from dt join bt using (word)),
+n as (select *, count(*) over (partition by rid, item_id, diagonal order by j range between current row and 12 following) as near from m where matched >= width - wrong),
+g as (select rid, item_id, diagonal, any_value(matched) as matched, any_value(width) as width from n group by rid, item_id, diagonal having max(near) >= any_value(width - wrong)),
 a as (select d.doc_id, g.item_id, g.matched, g.width, least(len(b.words), len(d.words) - diagonal) - greatest(0, -diagonal) as aligned
   from g join d on d.rid = g.rid join b on b.item_id = g.item_id)
 select doc_id, item_id, max(matched) as matched, max(aligned) as aligned from a where aligned >= width group by doc_id, item_id""",
