@@ -7,34 +7,55 @@ again as the next stage's docs; so a lost executor costs no more than the stage
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from footfall.llm import decontam, langid, linededup, mixing, nearcopies
 from footfall.llm.common import documents, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go: texts that are null, empty or without letters, or where none gets half.
+
+    Null ids and repeated rows are judged by their texts; an empty table gives none.
+    """
     return langid.reject_unidentified(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows leave the texts; all documents stay."""
-    return linededup.drop_repeated_lines(docs).select(*docs.columns)
+    """Later occurrences of three-line windows leave the texts; all documents stay, and n_chars follows.
+
+    Nulls, empty and short texts stay as they are, rows that agree in id and text are changed alike,
+    and an empty table gives none.
+    """
+    out = linededup.drop_repeated_lines(docs)
+    length = F.when(F.col("lines removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", length).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest id; null ids come last.
+
+    Rows that share an id are told apart by their texts, and those that agree in both are one. Null and
+    empty texts are copies of each other. An empty table gives none.
+    """
     return nearcopies.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go, each row by its own text whatever its id.
+
+    Null and empty texts stay; an empty table gives none, and an empty benchmark keeps all.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it: 0, its size, or twice that."""
-    return mixing.mix(docs, keep=("lang", "source"))
+    """Every document with its text and the words that the mix takes of it: 0, its size, or twice that.
+
+    Null and empty texts have size 0 and stay with 0 taken, and so do null ids and sources in their
+    groups; an empty table gives none.
+    """
+    return mixing.mix(docs, keep=("text", "lang", "source"))
 
 
 STAGES = [
@@ -45,7 +66,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Near copies and naive Bayes have no SQL; tests compare the stages with brute-force versions.
+#: Near copies and naive Bayes have no SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
