@@ -35,6 +35,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... in order, so that none clashes with what an operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def bucket_of(column: Column | str, modulus: int) -> Column:
     """crc32 of the value as text, modulo; a null counts as the empty string."""
     text = (F.col(column) if isinstance(column, str) else column).cast("string")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable
+from .common import durable, plain
 
 RANK = {"remove": 0, "allow": 1, "block": 2}
 
@@ -53,12 +53,15 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     """captures with `verdict` and the deciding `pattern` at the end."""
     listed = durable(intervals(entries))  # written out, so that a pattern that many captures have can be split in the join
     depth = listed.agg(F.max(F.regexp_count("pattern", F.lit("/")))).first()[0] or 0
-    keys = captures.select(F.col(f"`{url_col}`").alias("url of"), F.col(f"`{time_col}`").cast("timestamp").alias("time of")).distinct()
-    asked = keys.select("url of", "time of", F.explode(patterns(F.col("url of"), depth)).alias("pattern"))
-    active = (F.col("time of") >= F.col("since")) & (F.col("until").isNull() | (F.col("time of") < F.col("until")))
+    renamed = plain(captures)
+    of = dict(zip(captures.columns, renamed.columns, strict=True))
+    url, time = F.col(of[url_col]), F.col(of[time_col]).cast("timestamp")
+    keys = renamed.select(url.alias("url"), time.alias("time")).distinct()
+    asked = keys.select("url", "time", F.explode(patterns(F.col("url"), depth)).alias("pattern"))
+    active = (F.col("time") >= F.col("since")) & (F.col("until").isNull() | (F.col("time") < F.col("until")))
     met = asked.join(listed, "pattern").filter(active)
     longest = F.max_by(F.struct("verdict", "pattern"), F.struct(F.length("pattern"), "pattern"))
-    best = met.groupBy("url of", "time of").agg(longest.alias("verdict of url"))
-    same = F.col(f"`{url_col}`").eqNullSafe(F.col("url of")) & F.col(f"`{time_col}`").cast("timestamp").eqNullSafe(F.col("time of"))
-    own = [F.col(f"`{c}`") for c in captures.columns if c not in ("verdict", "pattern")]
-    return captures.join(best, same, "left").select(*own, F.coalesce(F.col("`verdict of url`.verdict"), F.lit("allow")).alias("verdict"), F.col("`verdict of url`.pattern").alias("pattern"))
+    best = met.groupBy("url", "time").agg(longest.alias("best"))
+    same = url.eqNullSafe(F.col("url")) & time.eqNullSafe(F.col("time"))
+    own = [F.col(of[c]).alias(c) for c in captures.columns if c not in ("verdict", "pattern")]
+    return renamed.join(best, same, "left").select(*own, F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.col("best.pattern").alias("pattern"))

@@ -505,29 +505,56 @@ def test_licence_ties_go_to_the_first(spark):
 
 
 def brute_licence(docs):
-    """The best cosine of any segment with any template, without cues."""
+    """The best cosine of any unit with any template, without cues; docs has path and text by id."""
     word = lambda t: re.findall(r"[^\W_]+", t.lower())
-    df = Counter(w for t in docs.values() for w in set(word(t or "")))
+    df = Counter(w for _, t in docs.values() for w in set(word(t or "")))
     n = len(docs)
     idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
-    known = {w for t in licenses.TEMPLATES.values() for w in word(t)}
+    known = {w for _, t in licenses.all_templates() for w in word(t)}
     vector = lambda t: {w: c * (idf(w) if w in known else math.log(n + 1) + 1) for w, c in Counter(word(t)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    templates = {k: vector(t) for k, t in licenses.TEMPLATES.items()}
+    templates = [(k, vector(t)) for k, t in licenses.all_templates()]
     out = {}
-    for i, text in docs.items():
+    for i, (path, text) in docs.items():
         best = (0.0, "")
-        for segment in re.split(r"\n|(?<=[.!?])\s+", text or ""):
-            if v := vector(segment):
-                best = max([best, *((sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), k) for k, t in templates.items())])
+        segments = re.split(r"\n|(?<=[.!?])\s+", text or "")
+        units = {" ".join(segments[a : a + k]) for a in range(len(segments)) for k in range(1, 5) if a + k <= len(segments)}
+        units |= {*re.split(r"\n(?:(?![^\W_])[^\n])*\n", text or ""), *([text or ""] if re.search(licenses.LICENCE_FILE, path) else [])}
+        for unit in units:
+            if (v := vector(unit)) and any(w in known for w in v):
+                best = max([best, *((round(sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), 9), k) for k, t in templates)])
         if best[0] >= licenses.COSINE:
             out[i] = best[1]
     return out
 
 
 def test_licences_are_brute_force(spark, sf_dir, texts):
-    found = queries.QUERIES["op9_license_scan"](spark, sf_dir).filter("cosine is not null").collect()
-    assert {r.doc_id: r.licence for r in found} == brute_licence({i: r.text for i, r in texts.items()})
+    found = queries.QUERIES["op9_license_scan"](spark, sf_dir).collect()
+    want = brute_licence({r.doc_id: (r.path, texts[r.doc_id].text) for r in found})
+    assert {r.doc_id: r.licence for r in found if r.cosine is not None} == want and want
+
+
+def test_notices_however_they_are_written(spark):
+    """Wrapped headers, comment marks, headings, whole files and SPDX lines; texts about licences have none."""
+    notice = {}
+    for k, t in licenses.NOTICES:
+        notice.setdefault(k, []).append(t)
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    code = "import os\n\ndef main():\n    return os.name\n"
+    mit = f"MIT License\n\nCopyright (c) 2020 Somebody Else\n\n{wrap(notice['MIT'][1], 12, '')}\n\nThe above copyright notice shall be included in all copies.\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.example.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE\n"
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Somebody\n"
+    made = [
+        ("a/x.py", f"# Copyright 2020\n#\n{wrap(notice['Apache-2.0'][1], 9, '# ')}\n#\n{code}", "Apache-2.0"), ("b/LICENSE", mit, "MIT"), ("c/COPYING", gpl, "GPL-3.0"), ("d/LICENSE", apache, "Apache-2.0"),
+        ("e/y.c", f"/*\n{wrap(licenses.TEMPLATES['GPL-3.0'], 8, ' * ')}\n */\n{code}", "GPL-3.0"), ("f/z.c", f"{code}\n{wrap(licenses.TEMPLATES['BSD-3-Clause'], 6, '// ')} \n{code}", "BSD-3-Clause"),
+        ("g/s.rs", f"// SPDX-License-Identifier: Zlib\n{code}", "Zlib"), ("h/t.rs", f"// SPDX-License-Identifier: (MIT OR Apache-2.0)\n{code}", "MIT"), ("i/LICENSE", wrap(notice["ISC"][0], 11, ""), "ISC"),
+        ("j/UNLICENSE", notice["Unlicense"][0] + "\n\nAnyone is free to use it.", "Unlicense"), ("k/v.py", f"{wrap(notice['AGPL-3.0'][1], 10, '# ')}\n{code}", "AGPL-3.0"), ("l/w.py", f"{wrap(notice['LGPL-3.0'][1], 10, '# ')}\n{code}", "LGPL-3.0"),
+        ("m/n.txt", "We drove with a licence to the public house.\nThe software was general.\n" * 50, None), ("n/code.py", code * 100, None),
+    ]
+    names = ["row_no", "dir", "own", "grant", "no_of", "dir_of", "holder"]
+    df = spark.createDataFrame(made, "path string, text string, want string").withColumns({c: F.lit(c) for c in names})
+    found = licenses.scan(df).collect()
+    assert {r.path: r.licence for r in found} == {p: w for p, _, w in made} and all(r[c] == c for r in found for c in names)
 
 
 def test_every_window_with_two_errors_is_hit():
