@@ -35,9 +35,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """df with its columns named c0, c1, ... in order, so that none clashes with what an operator adds."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+def plain(df: DataFrame, *same: str) -> DataFrame:
+    """df with its columns named c0, c1, ... in order but for `same`, so that none clashes with what an operator adds."""
+    return df.toDF(*[c if c in same else f"c{i}" for i, c in enumerate(df.columns)])
+
+
+def named_as(df: DataFrame, like: DataFrame, *same: str) -> DataFrame:
+    """The columns that plain(like, *same) has, under the names they had."""
+    return df.select(*[F.col(c if c in same else f"c{i}").alias(c) for i, c in enumerate(like.columns)])
 
 
 def bucket_of(column: Column | str, modulus: int) -> Column:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, named_as, plain
 
 #: Selected offsets; the spans are 8 and 9 tokens, and 3 for short items.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -141,5 +141,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose own text overlaps any item, whatever their ids."""
     bad = durable(matches(docs, benchmark).select(F.col("row_no").alias("bad row")).distinct())
-    keyed = docs.withColumn("own row", F.xxhash64("doc_id", "text"))
-    return keyed.join(F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad, F.col("own row") == F.col("bad row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = plain(docs, "doc_id", "text").withColumn("own row", F.xxhash64("doc_id", "text"))
+    kept = keyed.join(F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad, F.col("own row") == F.col("bad row"), "left_anti")
+    return named_as(kept, docs, "doc_id", "text")

@@ -3,12 +3,16 @@
 Letters are lower-cased, everything else counts as a space; n-grams of one to three characters are
 hashed to `BUCKETS` slots, slot 0 being spaces only, which says nothing. Training sums the slots'
 counts by language in Spark; only the matrix of languages x slots, whose size the parameters bound,
-reaches the driver and is broadcast. Scoring adds up matrix columns in numpy for a batch of texts at
-a time; a long text is scored whole, in pieces.
+reaches the driver and is broadcast. Scoring is sparse: a text's n-grams are counted by slot, and the
+counts of the slots it has are multiplied with their columns. Long texts are read in pieces whose
+counts' scores add up, so memory doesn't grow with a text's length times the languages.
+
+Of a language at most about `SAMPLE` labelled rows are learned from, all of a rarer one; priors are
+over all labelled rows. A language whose rows have no letters is no candidate.
 
 A null text, an empty one and one without letters get `und` with score 0, and so does every text if
 there are no labelled rows to learn from. Rows that repeat, null ids and further columns don't matter
-to a prediction; ties go to the language that sorts first.
+to a prediction; ties go to the language that sorts first. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import bucket_of
 
 BUCKETS = 1 << 15
-PIECE = 200_000
-#: Labelled rows that are learned from, at most about; a documented bound of the classifier's fit.
-SAMPLE = 20_000
+PIECE, BATCH = 200_000, 400_000
+#: Labelled rows of each language that are learned from, at most about; a documented bound of the classifier's fit.
+SAMPLE = 5_000
 MOST_LANGUAGES = 512
 
 
@@ -35,20 +39,27 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all texts as codes, spaces between; where each piece begins and ends, and whose it is."""
-    parts, begin, end, owner, at = [], [], [], [], 0
+def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[int], np.ndarray]]:
+    """Batches of pieces of texts: whose each is, where each begins, and their codes with two characters more at the ends."""
+    owner, begin, parts, at = [], [], [], 0
     for i, t in enumerate(texts):
         t = f" {t.lower()}  "
-        parts.append(t)
         for p in range(0, len(t) - 2, PIECE):
-            begin.append(at + p)
-            end.append(at + min(p + PIECE, len(t) - 2))
+            part = t[p : p + PIECE + 2]
             owner.append(i)
-        at += len(t)
+            begin.append(at)
+            parts.append(part)
+            at += len(part)
+            if at >= BATCH:
+                yield owner, begin, codes_of(parts)
+                owner, begin, parts, at = [], [], [], 0
+    if parts:
+        yield owner, begin, codes_of(parts)
+
+
+def codes_of(parts: list[str]) -> np.ndarray:
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(letters()[codes], codes, np.uint32(32))
-    return codes, np.array(begin), np.array(end), np.array(owner)
+    return np.where(letters()[codes], codes, np.uint32(32))
 
 
 def slots(codes: np.ndarray) -> list[np.ndarray]:
@@ -67,17 +78,14 @@ def slots(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def batches_of(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts that together have about as many characters as given, with the first one's place."""
-    first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        if held and size + len(t) > most:
-            yield first, held
-            first, held, size = i, [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield first, held
+def slot_counts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(whose, slots, how often each) of every piece; slot 0, spaces only, tells how many n-grams have no letter."""
+    for owner, begin, codes in pieces(texts):
+        ids = slots(codes)
+        for i, s, e in zip(owner, begin, [*begin[1:], len(codes)], strict=True):
+            n = sum(np.bincount(x[s : e - 2], minlength=BUCKETS) for x in ids)
+            some = np.flatnonzero(n)
+            yield i, some, n[some]
 
 
 def counted(labelled: DataFrame) -> DataFrame:
@@ -91,13 +99,8 @@ def counted(labelled: DataFrame) -> DataFrame:
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for _, some in batches_of(texts):
-                    codes, begin, end, _ = pieces(some)
-                    inside = np.zeros(len(codes) - 2, bool)
-                    for s, e in zip(begin, end, strict=True):
-                        inside[s:e] = True
-                    for ids in slots(codes):
-                        own += np.bincount(ids[inside], minlength=BUCKETS)
+                for _, some, n in slot_counts(texts):
+                    own[some] += n
         for lang, own in total.items():
             ids = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, pa.int32()), pa.array(own[ids])], ["lang", "slot", "n"])
@@ -108,47 +111,44 @@ def counted(labelled: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and the matrix languages x slots of log probabilities; slot 0 has the log priors.
 
-    labelled has doc_id, text and lang. Of more than `sample` rows a share is drawn by a hash of the id.
+    labelled has doc_id, text and lang. Of more than `sample` rows of a language a share is drawn by a
+    hash of id and text.
     """
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(prior) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages are labelled")
-    langs, share = sorted(prior), sample / max(1, sum(prior.values()))
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(share * 1_000_000))
+    often = {k: sample / n for k, n in prior.items() if n > sample}
+    if often:
+        share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in often.items() for x in p]), F.col("lang")), F.lit(1.0))
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1_000_000)) < share * 1_000_000)
+    found = counted(rows.select("lang", "text")).filter("slot > 0").collect()  # languages x slots at most
+    langs = sorted({r["lang"] for r in found})
+    place = {k: i for i, k in enumerate(langs)}
     matrix = np.full((len(langs), BUCKETS), 0.5)
-    for r in counted(rows.select("lang", "text")).collect():  # languages x slots at most
-        matrix[langs.index(r["lang"]), r["slot"]] += r["n"]
+    for r in found:
+        matrix[place[r["lang"]], r["slot"]] += r["n"]
     matrix[:, 0] = 0
     if langs:
         matrix[:, 1:] = np.log(matrix[:, 1:] / matrix[:, 1:].sum(1, keepdims=True))
         matrix[:, 0] = np.log([prior[x] / sum(prior.values()) for x in langs])
-    return langs, matrix
+    return langs, matrix.astype(np.float32)
 
 
 def score(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
-    table = np.ascontiguousarray(matrix.T).astype(np.float32)
+    table = np.ascontiguousarray(matrix.T)
     prior = table[0].astype(np.float64)
-    table[0] = 0
-    names, scores = [], []
-    for _, some in batches_of(texts):
-        codes, begin, end, owner = pieces(some)
-        ids = slots(codes)
-        each = table[ids[0]]
-        each += table[ids[1]]
-        each += table[ids[2]]
-        sums = np.zeros((len(some), len(langs)))
-        lettered = np.zeros(len(some), bool)
-        for s, e, i in zip(begin, end, owner, strict=True):
-            sums[i] += each[s:e].sum(0, dtype=np.float64)
-            lettered[i] |= bool((codes[s:e] != 32).any())
-        sums += prior
-        best = sums.argmax(1) if langs else np.zeros(len(some), int)
-        share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1) if langs else np.zeros(len(some))
-        names += [langs[b] if ok and langs else "und" for b, ok in zip(best, lettered, strict=True)]
-        scores += [float(x) if ok else 0.0 for x, ok in zip(share, lettered, strict=True)]
-    return names, scores
+    sums, lettered = np.tile(prior, (len(texts), 1)), np.zeros(len(texts), bool)
+    for i, some, n in slot_counts(texts):
+        begin = int(len(some) > 0 and some[0] == 0)
+        if begin < len(some):
+            lettered[i] = True
+            sums[i] += n[begin:] @ table[some[begin:]].astype(np.float64)
+    if not langs:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    best = sums.argmax(1)
+    share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+    return [langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], [float(x) if ok else 0.0 for x, ok in zip(share, lettered, strict=True)]
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

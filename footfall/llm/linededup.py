@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, plain
 
 LINES = 3
 
@@ -52,12 +52,12 @@ def covered(keyed: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the texts less their repeated windows, and `lines removed` at the end."""
-    keyed = rows_with_keys(docs)
+    keyed = rows_with_keys(plain(docs, "doc_id", "text"))
     gone = covered(keyed).select(F.col("doc_id").alias("id of"), F.col("row key").alias("key of"), F.col("gone").alias("lines gone"))
     both = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("id of")) & (F.col("row key") == F.col("key of")), "left")
     both = both.withColumn("all lines", F.when(F.col("lines gone").isNotNull(), F.split("text", "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("all lines") - 1), F.col("lines gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("all lines", i)), "\n")
     text = F.when(F.col("lines gone").isNull(), F.col("text")).otherwise(kept)
-    rest = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    rest = [text.alias(c) if c == "text" else F.col(c if c == "doc_id" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     return both.select(*rest, F.coalesce(F.size("lines gone"), F.lit(0)).alias("lines removed"))

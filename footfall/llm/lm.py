@@ -1,20 +1,26 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of bigrams, unigrams and the uniform distribution. Its
-mixture weights depend on how often the context was seen (one bucket for each power of two) and are
-learned by expectation-maximisation on held-out counts: one seventh of the documents, set aside from
-the training counts while the weights are learned and counted with them afterwards.
-
-Documents are dealt to blocks of bounded size. A block sends each n-gram that occurs in it once, to
-the shard of the n-gram's 64-bit hash, in packed arrays; shards are ranges of hashes, so their size
-is even however frequent a word is. A shard adds up the blocks' counts and sends each block the
-totals in the order it asked. So what is shuffled is a few bytes for each different n-gram of a
-block, and no task holds more than a block or a shard. Both sizes are parameters and the numbers of
-blocks and shards grow with the corpus.
-
-A null text is empty: it has the end token alone. Rows that repeat are documents of their own. Null
-ids count as the empty string for the folds. An empty table gives no rows, and with no training
-document all counts are 0. Other columns don't matter.
+The model mixes maximum-likelihood estimates of n-grams up to `order` (two, or more if asked),
+unigrams and the uniform distribution. Its mixture weights depend on how often the longest context
+was seen (one bucket for each power of two) and are learned by expectation-maximisation on held-out
+counts: one seventh of the documents, set aside from the training counts while the weights are
+learned and counted with them afterwards.
+
+Documents are dealt to blocks of bounded size, at random and once: the packed texts are written out.
+A block sends each n-gram that occurs in it once, in packed arrays by ranges of the n-grams' 64-bit
+hashes, so sizes are even however frequent a word is. The exchange is a tree. While blocks and ranges
+are few, it has one level: the task of a range adds up the blocks' counts and sends each block the
+totals in the order it asked. Beyond `FAN` the senders are grouped and the ranges are divided level by
+level: a task merges what a group of senders asks in a range, asks once for all of them, and relays
+the answers on the way back. So the rows are at most `FAN` for each block and level, the levels grow
+with the corpus' logarithm, and no task holds more than about a block or a shard.
+
+The held-out tokens' estimates are counted by eighths of powers of two, and each bucket's weights are
+fitted in a task of its own, which holds at most the steps to the power of the order.
+
+A null text is empty: it has the end token alone. Very long texts are read whole. Rows that repeat are
+documents of their own, wherever they are dealt. Null ids count as the empty string for the folds. An
+empty table gives no rows, and with no training document all counts are 0. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import bucket_of, durable
 
 END, START = 1, 2
-#: Characters in a block and tokens in a shard, about.
-BLOCK, SHARD = 8_000_000, 1_000_000
+#: Characters in a block and tokens in a shard, about; senders and subranges of a task of the exchange.
+BLOCK, SHARD, FAN = 8_000_000, 1_000_000, 256
 #: Folds of a block: training, training and held out for the weights, not learned from.
 LEARN, WEIGH, OTHER = 0, 1, 2
 CLASSES = 48  # of contexts' frequencies: powers of two
@@ -53,8 +60,9 @@ def unsqueezed(b: bytes) -> np.ndarray:
 def dealt(docs: DataFrame, held_out: Column, blocks: int) -> DataFrame:
     """(block, ids, sizes, body): some documents of a block, their lower-cased texts compressed together."""
     fold = F.when(held_out, OTHER).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(7)) == 0, WEIGH).otherwise(LEARN)
-    block = (fold * blocks + F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).cast("int")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), block.alias("block"))
+    some = F.floor(F.monotonically_increasing_id() / 16)  # neighbours stay together, so that they compress
+    block = (fold * blocks + F.pmod(F.xxhash64(some, F.lit(9)), F.lit(blocks))).cast("int")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), block.alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,8 +88,14 @@ class Hashes(dict):
         return h
 
 
-def read(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, where each document begins, its tokens with the end, and the bigrams that end at each token."""
+def mixed(context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    h = (context * np.uint64(0x9E3779B97F4A7C15)) ^ (tokens + np.uint64(0x632BE59BD9B4E019))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def read(table: pa.Table, order: int) -> tuple[list, np.ndarray, list[np.ndarray]]:
+    """Ids, where each document begins, and the hashes of the n-grams that end at each token, for n from 1."""
     ids, sequences, known = [], [], Hashes()
     for own, sizes, body in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "body")), strict=True):
         raw, at = pa.decompress(body, decompressed_size=sum(sizes), codec="zstd", asbytes=True), 0
@@ -93,140 +107,213 @@ def read(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
             sequences.append(np.array([END], np.uint64))
     lengths = np.array([len(s) for s in sequences]).reshape(-1, 2).sum(1)
     begin = np.cumsum(lengths) - lengths
-    tokens = np.concatenate(sequences)
-    before = np.roll(tokens, 1)
-    before[begin] = START
-    pair = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (tokens + np.uint64(0x632BE59BD9B4E019))
-    pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ids, begin, tokens, pair ^ (pair >> np.uint64(29))
+    grams = [np.concatenate(sequences)]
+    for _ in range(1, order):
+        before = np.roll(grams[-1], 1)
+        before[begin] = START
+        grams.append(mixed(before, grams[0]))
+    return ids, begin, grams
+
+
+ROWS = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("to", pa.int64()), ("sender", pa.int64()), ("grams", pa.binary()), ("total", pa.binary()), ("held", pa.binary()), ("facts", pa.list_(pa.int64()))])
+ASKED = "kind int, range long, to long, sender long, grams binary, total binary, held binary, facts array<long>"
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(ROWS)], schema=ROWS)
+
+
+def counted(b: bytes | None, n: int) -> np.ndarray:
+    return np.zeros(n, np.uint64) if b is None else unsqueezed(b)
+
 
+class Exchange:
+    """The tree's shape: `fan` subranges of a range and `group` senders of a task, over `levels` levels."""
 
-def asked(shards: int, blocks: int):
-    """The block's n-grams and their counts in it, by kind and shard; kind 0 is tokens, 1 is bigrams."""
-    cuts = np.array([i * 2**64 // shards for i in range(1, shards)], np.uint64)
+    def __init__(self, blocks: int, shards: int, most: int):
+        self.blocks, self.levels = blocks, 1
+        while most**self.levels < max(OTHER * blocks + blocks, shards):
+            self.levels += 1
+        root = lambda n: next(k for k in range(max(1, int(n ** (1 / self.levels)) - 1), n + 2) if k**self.levels >= n)
+        self.fan, self.group = root(shards), root((OTHER + 1) * blocks)
+
+    def asks(self, kind: int, range_: int, level: int, sender: int, grams: np.ndarray, total: np.ndarray, held: np.ndarray) -> list[tuple]:
+        """Rows of the next level for sorted grams of a range; steps between neighbours are sent."""
+        parts = self.fan**level
+        cuts = np.array([(range_ * self.fan + j) * 2**64 // parts for j in range(1, self.fan)], np.uint64)
+        ends = [0, *np.searchsorted(grams, cuts).tolist(), len(grams)]
+        squeeze = lambda x: squeezed(x) if x.any() else None
+        return [
+            (kind, range_ * self.fan + j, sender // self.group, sender, squeezed(np.diff(grams[a:b], prepend=np.uint64(0))), squeeze(total[a:b]), squeeze(held[a:b]), None)
+            for j, (a, b) in enumerate(zip(ends, ends[1:], strict=False))
+            if a < b
+        ]
+
+    def answer(self, kind: int, range_: int, level: int, sender: int, total: np.ndarray, held: np.ndarray) -> tuple:
+        """For a sender of the level below; a block gets held-out counts only if it is one of those."""
+        wanted = level > 1 or sender // self.blocks == WEIGH
+        return (kind, range_, sender, None, None, squeezed(total), squeezed(held) if wanted else None, None)
+
+
+def asked(tree: Exchange, order: int):
+    """A block's n-grams and their counts in it."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        rows: dict[str, list] = {c: [] for c in ("shard", "block", "grams", "counts")}
-        _, _, tokens, pairs = read(table)
-        for kind, grams in enumerate((tokens, pairs)):
+        block, rows = table.column("block")[0].as_py(), []
+        fold = block // tree.blocks
+        for kind, grams in enumerate(read(table, order)[2]):
             each, n = np.unique(grams, return_counts=True)
-            ends = [0, *np.searchsorted(each, cuts).tolist(), len(each)]
-            for s, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-                if a < b:
-                    step = np.diff(each[a:b], prepend=np.uint64(0))
-                    for c, x in zip(rows, (kind * shards + s, block, squeezed(step), squeezed(n[a:b]) if block < OTHER * blocks else None), strict=True):
-                        rows[c].append(x)
-        return pa.table({"shard": pa.array(rows["shard"], pa.int32()), "block": pa.array(rows["block"], pa.int32()), "grams": pa.array(rows["grams"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
+            n, none = n.astype(np.uint64), np.zeros(len(n), np.uint64)
+            rows += tree.asks(kind, 0, 1, block, each, n if fold != OTHER else none, n if fold == WEIGH else none)
+        return rows_of(rows)
 
     return run
 
 
-ANSWER = "block int, shard int, total binary, held binary, facts array<long>"
-ANSWER_TYPES = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("total", pa.binary()), ("held", pa.binary()), ("facts", pa.list_(pa.int64()))])
+def merged(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Senders, where each one's n-grams are among all different ones, these, and their counts."""
+    senders = table.column("sender").to_pylist()
+    grams = [np.cumsum(unsqueezed(x), dtype=np.uint64) for x in table.column("grams").to_pylist()]
+    each, place = np.unique(np.concatenate(grams), return_inverse=True)
+    sums = []
+    for c in ("total", "held"):
+        own = [counted(x, len(g)) for x, g in zip(table.column(c).to_pylist(), grams, strict=True)]
+        sums.append(np.bincount(place, np.concatenate(own).astype(float), len(each)).astype(np.uint64))
+    return senders, np.split(place, np.cumsum([len(g) for g in grams])[:-1]), each, *sums
+
+
+def key_of(table: pa.Table) -> tuple[int, int, int]:
+    return tuple(table.column(c)[0].as_py() for c in ("kind", "range", "to"))
+
+
+def passed_on(tree: Exchange, level: int):
+    """What a group of senders asks of a range, asked once for all of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, range_, to = key_of(table)
+        _, _, each, total, held = merged(table)
+        return rows_of(tree.asks(kind, range_, level, to, each, total, held))
+
+    return run
 
 
-def answered(shards: int, blocks: int):
-    """For each block that asked, the corpus counts of its n-grams (total, and held out for the weights).
+def answered(tree: Exchange):
+    """For each sender the corpus counts of its n-grams (total, and held out for the weights).
 
-    One row more, of block -1, has facts: tokens, different tokens, documents; then those without the
-    held-out ones.
+    One row more, to -1, has facts: tokens, different tokens; then those without the held-out ones.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        of = table.column("block").to_pylist()
-        grams = [np.cumsum(unsqueezed(x), dtype=np.uint64) for x in table.column("grams").to_pylist()]
-        counts = [np.zeros(len(g)) if c is None else unsqueezed(c).astype(float) for g, c in zip(grams, table.column("counts").to_pylist(), strict=True)]
-        each, place = np.unique(np.concatenate(grams), return_inverse=True)
-        held = np.concatenate([c if b >= WEIGH * blocks else np.zeros(len(c)) for b, c in zip(of, counts, strict=True)])
-        total = np.bincount(place, np.concatenate(counts), len(each)).astype(np.uint64)
-        held = np.bincount(place, held, len(each)).astype(np.uint64)
-        rows, at = [], 0
-        for b, g in zip(of, grams, strict=True):
-            own = place[at : at + len(g)]
-            at += len(g)
-            rows.append((b, shard, squeezed(total[own]), squeezed(held[own]) if b // blocks == WEIGH else None, None))
-        if shard < shards:
-            docs = each == END
-            rows.append((-1, shard, None, None, [int(x) for t in (total, total - held) for x in (t.sum(), (t > 0).sum(), t[docs].sum())]))
-        return pa.table([pa.array([r[i] for r in rows], ANSWER_TYPES.field(i).type) for i in range(5)], schema=ANSWER_TYPES)
+        kind, range_, _ = key_of(table)
+        senders, places, _, total, held = merged(table)
+        rows = [tree.answer(kind, range_, tree.levels, s, total[p], held[p]) for s, p in zip(senders, places, strict=True)]
+        if not kind:
+            rows.append((kind, range_, -1, None, None, None, None, [int(x) for t in (total, total - held) for x in (t.sum(), (t > 0).sum())]))
+        return rows_of(rows)
 
     return run
 
 
-def looked_up(texts: pa.Table, answers: pa.Table, shards: int, column: str) -> tuple:
-    """read(texts), and the counts of each token, of its context and of the two together."""
-    ids, begin, tokens, pairs = read(texts)
-    order = np.argsort(answers.column("shard").to_numpy(), kind="stable")
-    kinds, packed = answers.column("shard").to_numpy()[order] // shards, answers.column(column).to_pylist()
+def relayed(tree: Exchange, level: int):
+    """The answers for a group of senders, each one's own picked out."""
+
+    def run(asks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return rows_of([])
+        kind, range_, _ = key_of(asks)
+        senders, places, each, _, _ = merged(asks)
+        answers = answers.sort_by("child")
+        total, held = (np.concatenate([unsqueezed(x) for x in answers.column(c).to_pylist()]) for c in ("total", "held"))
+        assert len(total) == len(each), "the answers don't fit what was asked"
+        return rows_of([tree.answer(kind, range_, level, s, total[p], held[p]) for s, p in zip(senders, places, strict=True)])
+
+    return run
+
+
+def looked_up(texts: pa.Table, answers: pa.Table, order: int, column: str) -> tuple[list, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Ids, where documents begin, the counts of the n-grams at each token, and those of their contexts."""
+    ids, begin, grams = read(texts, order)
+    answers = answers.sort_by([("kind", "ascending"), ("range", "ascending")])
+    kinds, packed = answers.column("kind").to_pylist(), answers.column(column).to_pylist()
     found = []
-    for kind, grams in enumerate((tokens, pairs)):
-        each, place = np.unique(grams, return_inverse=True)
-        total = np.concatenate([unsqueezed(packed[i]) for i, k in zip(order, kinds, strict=True) if k == kind])
+    for kind, own in enumerate(grams):
+        each, place = np.unique(own, return_inverse=True)
+        total = np.concatenate([unsqueezed(x) for x, k in zip(packed, kinds, strict=True) if k == kind])
         assert len(each) == len(total), "a block's answers don't fit its n-grams"
         found.append(total[place].astype(float))
-    context = np.roll(found[0], 1)
-    context[begin] = found[0][np.append(begin[1:], len(tokens)) - 1]  # the end is as frequent as the start
-    return ids, begin, found[0], context, found[1]
+    contexts = []
+    for counts in found[:-1]:
+        context = np.roll(counts, 1)
+        context[begin] = found[0][np.append(begin[1:], len(found[0])) - 1]  # a start is as frequent as the end
+        contexts.append(context)
+    return ids, begin, found, contexts
 
 
-def estimates(one: np.ndarray, context: np.ndarray, two: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The context's class, and the three estimates."""
-    kind = np.minimum(CLASSES - 1, np.ceil(np.log2(context + 1))).astype(np.int64)
-    return kind, two / np.maximum(1, context), one / max(1, n), 1 / (v + 1)
+def estimates(counts: list[np.ndarray], contexts: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The longest context's class, and the estimates from the longest n-grams to unigrams."""
+    kind = np.minimum(CLASSES - 1, np.ceil(np.log2(contexts[-1] + 1))).astype(np.int64)
+    return kind, [two / np.maximum(1, context) for two, context in zip(counts[:0:-1], contexts[::-1], strict=True)] + [counts[0] / max(1, n)]
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(8 * np.log2(np.where(p > 0, p, 1))), NEVER).astype(np.int64)
 
 
-def held_out_counts(shards: int, n: int, v: int):
+def held_names(order: int) -> list[str]:
+    return ["kind", *[f"q{k}" for k in range(order, 0, -1)], "n"]
+
+
+def held_out_counts(order: int, n: int):
     """How many held-out tokens have a context of some class and such estimates, in eighths of powers of two."""
+    names = held_names(order)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("kind", "two", "one", "n")})
-        total = looked_up(texts, answers, shards, "total")
-        held = looked_up(texts, answers, shards, "held")
-        kind, two, one, _ = estimates(*(a - b for a, b in zip(total[2:], held[2:], strict=True)), n, v)
-        rows, count = np.unique(np.stack([kind, quantised(two), quantised(one)]), axis=1, return_counts=True)
-        return pa.table({"kind": rows[0], "two": rows[1], "one": rows[2], "n": count})
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        total, held = (looked_up(texts, answers, order, c)[2:] for c in ("total", "held"))
+        kind, p = estimates(*([x - y for x, y in zip(a, b, strict=True)] for a, b in zip(total, held, strict=True)), n)
+        rows, count = np.unique(np.stack([kind, *map(quantised, p)]), axis=1, return_counts=True)
+        return pa.table(dict(zip(names, [*rows, count], strict=True)))
 
     return run
 
 
-def weights(rows: np.ndarray, v: int, rounds: int = 60) -> np.ndarray:
-    """CLASSES x 3 mixture weights by expectation-maximisation; rows: class, two, one (quantised), count.
+def mixture_of(rows: np.ndarray, v: int, rounds: int = 60) -> np.ndarray:
+    """One class' mixture weights by expectation-maximisation; rows: class, quantised estimates, count."""
+    own = rows[:, 1:-1]
+    p = np.concatenate([np.where(own > NEVER, 2.0 ** (np.maximum(own, -8000) / 8), 0), np.full((len(own), 1), 1 / (v + 1))], 1)
+    n = rows[:, -1:].astype(float)
+    w = np.full(p.shape[1], 1 / p.shape[1])
+    for _ in range(rounds):
+        share = p * w
+        w = (share / share.sum(1, keepdims=True) * n).sum(0) / n.sum()
+    return np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
 
-    A class without held-out tokens takes the weights of the nearest one below, and else even ones.
-    """
-    out = np.full((CLASSES, 3), 1 / 3)
+
+def for_all_classes(known: dict[int, np.ndarray], order: int) -> np.ndarray:
+    """CLASSES x (order + 1); a class without held-out tokens takes the weights of the nearest one below, and else even ones."""
+    out = np.full((CLASSES, order + 1), 1 / (order + 1))
     for kind in range(CLASSES):
-        own = rows[rows[:, 0] == kind]
-        if not len(own):
-            out[kind] = out[max(0, kind - 1)]
-            continue
-        p = np.stack([np.where(own[:, 1] > NEVER, 2.0 ** (own[:, 1] / 8), 0), np.where(own[:, 2] > NEVER, 2.0 ** (own[:, 2] / 8), 0), np.full(len(own), 1 / (v + 1))], 1)
-        w = np.full(3, 1 / 3)
-        for _ in range(rounds):
-            share = p * w
-            w = (share / share.sum(1, keepdims=True) * own[:, 3:]).sum(0) / own[:, 3].sum()
-        out[kind] = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
+        out[kind] = known[kind] if kind in known else out[max(0, kind - 1)]
     return out
 
 
+def weights(rows: np.ndarray, v: int, rounds: int = 60) -> np.ndarray:
+    """The mixture weights of all classes; rows: class, quantised estimates, count."""
+    return for_all_classes({int(k): mixture_of(rows[rows[:, 0] == k], v, rounds) for k in np.unique(rows[:, 0])}, rows.shape[1] - 2)
+
+
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored(shards: int, n: int, v: int, mixture: np.ndarray):
+def scored(order: int, n: int, v: int, mixture: np.ndarray):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({c: pa.array([], pa.float64() if "score" in c else pa.int64()) for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
-        ids, begin, one, context, two = looked_up(texts, answers, shards, "total")
-        kind, p2, p1, p0 = estimates(one, context, two, n, v)
-        w = mixture[kind]
-        p = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
+        ids, begin, counts, contexts = looked_up(texts, answers, order, "total")
+        kind, p = estimates(counts, contexts, n)
+        w, one = mixture[kind], counts[0]
+        p = np.log10(sum(w[:, k] * x for k, x in enumerate(p)) + w[:, -1] / (v + 1))
         base = np.log10((one + 1) / (n + v + 1))
         size = np.diff(np.append(begin, len(one)))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": size, "n_known": np.add.reduceat((one > 0).astype(np.int64), begin), "base_score": np.add.reduceat(base, begin), "score": np.add.reduceat(p, begin)})
@@ -234,22 +321,36 @@ def scored(shards: int, n: int, v: int, mixture: np.ndarray):
     return run
 
 
-def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, block: int = BLOCK, shard: int = SHARD, fan: int = FAN, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     held_out = bucket_of("doc_id", modulus) == remainder
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, shards = math.ceil((size + 1) / block), math.ceil((size + 1) / 6 / shard)
-    texts = dealt(docs, held_out, blocks)
-    asks = texts.groupBy("block").applyInArrow(asked(shards, blocks), "shard int, block int, grams binary, counts binary")
-    answers = durable(asks.groupBy("shard").applyInArrow(answered(shards, blocks), ANSWER))
-    facts = answers.filter("block = -1").agg(*[F.coalesce(F.sum(F.get("facts", F.lit(i))), F.lit(0)) for i in range(6)]).first()
-    n, v, _, n_rest, v_rest, _ = facts
-    answers = answers.filter("block >= 0").drop("facts")
+    tree = Exchange(blocks, shards, fan)
+    texts = durable(dealt(docs, held_out, blocks))  # dealt once: the blocks stay what they are
+    asks = [texts.groupBy("block").applyInArrow(asked(tree, order), ASKED)]
+    for level in range(2, tree.levels + 1):
+        asks[-1] = durable(asks[-1])
+        asks.append(asks[-1].groupBy("kind", "range", "to").applyInArrow(passed_on(tree, level), ASKED))
+    answers = durable(asks[-1].groupBy("kind", "range").applyInArrow(answered(tree), ASKED))
+    facts = answers.filter("to = -1").agg(*[F.coalesce(F.sum(F.get("facts", F.lit(i))), F.lit(0)) for i in range(4)]).first()
+    n, v, n_rest, v_rest = facts
+    answers = answers.filter("to >= 0")
+    for level in range(tree.levels - 1, 0, -1):
+        found = answers.withColumn("child", F.col("range")).withColumn("range", F.floor(F.col("range") / tree.fan)).groupBy("kind", "range", "to")
+        answers = durable(asks[level - 1].groupBy("kind", "range", "to").cogroup(found).applyInArrow(relayed(tree, level), ASKED))
+    answers = answers.select(F.col("to").cast("int").alias("block"), "kind", "range", "total", "held")
 
     weigh = lambda df: df.filter(F.col("block").between(WEIGH * blocks, OTHER * blocks - 1)).groupBy("block")
-    held = weigh(texts).cogroup(weigh(answers)).applyInArrow(held_out_counts(shards, n_rest, v_rest), "kind long, two long, one long, n long")
-    found = held.groupBy("kind", "two", "one").agg(F.sum("n").alias("n")).collect()  # at most CLASSES x steps of the estimates
-    mixture = weights(np.array([tuple(r) for r in found], np.int64).reshape(-1, 4), v_rest)
+    names = held_names(order)
+    held = weigh(texts).cogroup(weigh(answers)).applyInArrow(held_out_counts(order, n_rest), ", ".join(f"{c} long" for c in names))
+    held = held.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"kind": [int(pdf["kind"].iloc[0])], "w": [mixture_of(pdf[names].sort_values(names).to_numpy(), v_rest)]})
+
+    found = held.groupBy("kind").applyInPandas(fit, "kind long, w array<double>").collect()  # CLASSES rows at most
+    mixture = for_all_classes({r["kind"]: np.array(r["w"]) for r in found}, order)
 
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored(shards, n, v, mixture), SCORES)
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored(order, n, v, mixture), SCORES)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,15 +1,17 @@
 """One document of each group of near copies, by SimHash candidates and exact verification.
 
 Two texts are linked if the Jaccard similarity of their sets of word shingles reaches the threshold.
-Candidates are pairs of SimHash fingerprints (four lanes, over the set), found by the pivot search
-of `pivots`: keys of masked bits, then the test of the largest coordinate difference, then the
-Hamming distance. What is left is verified on the whole sets, so no pair under the threshold is
-linked. The search is random: pairs of just the threshold are found with the recall of
-`sampled_masks`, more similar ones more surely, and a pair may also be joined by others of its group.
-
-A candidate pair is verified only while no chain of verified links joins it: first each fingerprint
-with one near it, then the pairs that are still in different components. So a large group of near
-copies costs few verifications.
+Candidates come from SimHash fingerprints (four lanes, over the set) and the pivot search of
+`pivots`: keys of masked bits, then the test of the largest coordinate difference, then the Hamming
+distance. Components of these pairs are groups of candidates, and within a group every link is found
+and verified on the whole sets, by an index of the group's shingles; no pair under the threshold is
+linked. The search is random: a pair of just the threshold comes into one group with at least the
+recall of `sampled_masks`, more similar ones more surely, and also by way of others.
+
+Groups of a moderate number of shingles are packed together, many to a task. A larger one is dealt in
+chunks: links are searched within each chunk, then among one member of each component of these, and
+last between what is still apart. Members that are joined by then need no comparison, so a dense
+group of any size takes work in proportion to it, and a task holds two chunks at most.
 
 Texts of the same set are one node. Null and empty texts, and texts without words, have the empty
 set and are copies of each other. Shingles and sets are 64-bit hashes; ids are labels only: rows
@@ -22,17 +24,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable
-from .pivots import MOST_BROADCAST, Search, distance_for, pivot_table, sampled_masks
+from .common import components, durable, named_as, plain
+from .pivots import MOST_BROADCAST, Search, deal, distance_for, joined, pivot_table, sampled_masks
 from .prints import fingerprint, shingle_hashes
 
 #: Lanes of the fingerprints, references of their pivot tables, and the limit of the pivot test: it
 #: is below the distance, discards about two thirds of unrelated pairs and some 2 in 100 at the threshold.
 LANES, REFERENCES, LIMIT = 4, 16, 20
+#: Shingles in a chunk of sets, about; 8 bytes each. A longer text is a chunk of its own.
+CHUNK = 500_000
 
 
 def row_key() -> Column:
@@ -74,17 +79,49 @@ def prints(docs: DataFrame, shingle: int) -> DataFrame:
     return picked.mapInArrow(run, "row_no long, doc_id long, node long, size int, " + ", ".join(f"{c} long" for c in names))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets are so similar; one row of each set is read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = durable(rows.groupBy("node").agg(F.min("row_no").alias("wanted row")).join(wanted, "node", "left_semi").select("wanted row"))
+def sets_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of some nodes; one row of each is read again."""
+    first = durable(rows.groupBy("node").agg(F.min("row_no").alias("wanted row")).join(nodes.select("node"), "node", "left_semi").select("wanted row"))
     some = docs.select("text", row_key().alias("row_no"))
     some = some.join(F.broadcast(first) if first.count() <= MOST_BROADCAST else first, F.col("row_no") == F.col("wanted row"), "left_semi")
-    known = durable(sets(some, shingle).dropDuplicates(["key"]))
-    both = pairs.join(known.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(known.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    return sets(some, shingle).withColumnRenamed("key", "node").dropDuplicates(["node"])
+
+
+def similar(similarity: float):
+    """For the sets of one task: pairs that are so similar and join different parts, by an index of the shingles."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+        node, own = pdf["node"].to_numpy(), pdf["shingles"].tolist()
+        size = np.array([len(s) for s in own])
+        owner = np.repeat(np.arange(len(own)), size)
+        _, code = np.unique(np.concatenate(own), return_inverse=True)
+        ends = np.cumsum(np.bincount(code))
+        holders = owner[np.argsort(code, kind="stable")]
+        codes = np.split(code, np.cumsum(size)[:-1])
+
+        def near(front: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            one, two = [], []
+            for i in front.tolist():
+                mine = codes[i]
+                begin = np.where(mine > 0, ends[mine - 1], 0)
+                many = ends[mine] - begin
+                mine = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+                shared = np.bincount(holders[mine], minlength=len(own))[free]
+                ok = free[shared >= similarity * (size[i] + size[free] - shared) - 1e-9]
+                one.append(np.full(len(ok), i))
+                two.append(ok)
+            return np.concatenate(one), np.concatenate(two)
+
+        i, j = joined(pdf["part"].to_numpy(), near)
+        return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+
+    return run
+
+
+def linked(members: DataFrame, similarity: float, *task: str) -> DataFrame:
+    """Edges (a, b) among the members (node, part, shingles) of each task."""
+    return members.select(*task, "node", "part", "shingles").groupBy(*task).applyInPandas(similar(similarity), "a long, b long")
 
 
 def search(nodes: DataFrame, n: int, similarity: float, recall: float) -> Search:
@@ -93,33 +130,47 @@ def search(nodes: DataFrame, n: int, similarity: float, recall: float) -> Search
     return Search(table, sampled_masks(similarity, n, LANES, recall), distance_for(similarity, LANES), LIMIT, similarity)
 
 
-def near_sets(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, recall: float) -> DataFrame:
-    """Edges (a, b) between keys of sets that are so similar."""
+def near_sets(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, recall: float, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) between keys of sets that are so similar; their components are those of all links in groups."""
     nodes = durable(rows.drop("row_no", "doc_id").dropDuplicates(["node"]))
-    found = search(nodes, nodes.count(), similarity, recall)
-    pairs = durable(found.pairs().distinct())
-    crowded = not found.large.isEmpty()
-    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    first = durable(first.union(found.led()).distinct() if crowded else first)
-    edges = durable(verified(first, rows, docs, shingle, similarity))
-
-    parts = components(edges)
-    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part of {c}"))
-    rest = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
-    rest = rest.filter(F.coalesce("part of a", "a") != F.coalesce("part of b", "b")).select("a", "b")
-    rest = rest.union(found.apart(parts, every=True)).distinct() if crowded else rest
-    rest = durable(rest.join(first, ["a", "b"], "left_anti"))
-    return edges.union(verified(rest, rows, docs, shingle, similarity))
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+    groups = components(search(nodes, nodes.count(), similarity, recall).links())
+    groups = durable(groups.join(nodes.select("node", F.col("size").cast("long").alias("weight")), "node").filter("weight > 0"))
+    known = durable(sets_of(groups, rows, docs, shingle))
+    totals = durable(groups.groupBy("component").agg(F.sum("weight").alias("total")))
+    small = totals.filter(F.col("total") <= chunk)
+    bins = 1 + (small.agg(F.sum("total")).first()[0] or 0) // chunk
+    number = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("total") / chunk))
+    dealt = groups.join(totals, "component").select(
+        "node",
+        F.when(F.col("total") > chunk, F.col("component")).alias("key"),
+        F.when(F.col("total") > chunk, number).otherwise(F.pmod(F.xxhash64("component", F.lit(3)), F.lit(bins))).alias("bin"),
+    )
+    edges = durable(linked(dealt.join(known, "node").withColumn("part", F.col("node")), similarity, "key", "bin"))
+    large = totals.filter(F.col("total") > chunk).select("component")
+    if large.isEmpty():
+        return edges
+
+    def members(parts: DataFrame) -> DataFrame:
+        of_large = groups.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "component").withColumnRenamed("component", "key")
+        return of_large.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+    first = members(components(edges)).groupBy("key", "part").agg(F.min("node").alias("node"), F.min_by("weight", "node").alias("weight"))
+    first = durable(first)
+    bins = durable(first.groupBy("key").agg(F.ceil(F.sum("weight") / chunk).alias("bins")))
+    first = first.join(bins, "key").withColumn("bin", F.pmod(F.xxhash64("node", F.lit(3)), F.col("bins")))
+    edges = durable(edges.union(linked(first.join(known, "node"), similarity, "key", "bin")))
+    dealt = deal(durable(members(components(edges))), chunk)
+    return edges.union(linked(dealt.join(known, "node"), similarity, "key", "lo", "hi"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, chunk: int = CHUNK) -> DataFrame:
     """docs with one row of each group: that of the smallest id, then of the smallest hash of id and text.
 
     Groups are the components of links between texts whose sets of word shingles have at least the
     given Jaccard similarity. Rows without an id are compared as well and come after those with one.
     """
     rows = durable(prints(docs, shingle))
-    found = components(near_sets(rows, docs, shingle, similarity, recall))
+    found = components(near_sets(rows, docs, shingle, similarity, recall, chunk))
     firsts = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first"))
     groups = firsts.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     kept = durable(groups.groupBy("part").agg(F.min("first").alias("kept")).select("kept.row_no"))
@@ -128,8 +179,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     twice = durable(twice.join(kept, F.col("twice row") == F.col("row_no"), "left_semi"))
 
     small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-    keyed = docs.withColumn("row key", row_key()).join(small(gone), F.col("row key") == F.col("gone row"), "left_anti")
+    keyed = plain(docs, "doc_id", "text").withColumn("row key", row_key()).join(small(gone), F.col("row key") == F.col("gone row"), "left_anti")
     if not twice.isEmpty():
         again = F.col("row key") == F.col("twice row")
         keyed = keyed.join(small(twice), again, "left_anti").union(keyed.join(small(twice), again, "left_semi").dropDuplicates(["row key"]))
-    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named_as(keyed, docs, "doc_id", "text")

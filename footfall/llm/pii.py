@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, plain
 
 #: Given names by gender and script.
 GIVEN = {
@@ -298,8 +298,9 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     edits = durable(edits)
 
     names = [*docs.columns, "entities replaced"]
-    all_of = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("row key", row_key())
+    renamed = plain(docs, "doc_id", "text")
+    all_of = [F.col(p).alias(c) for p, c in zip(renamed.columns, docs.columns, strict=True)]
+    keyed = renamed.withColumn("row key", row_key())
     same = lambda of: F.col("doc_id").cast("long").eqNullSafe(F.col(of[0])) & (F.col("row key") == F.col(of[1]))
     if edits.count() <= MOST_BROADCAST:  # only texts with finds are shuffled
         keys = F.broadcast(edits.select(F.col("id of").alias("touched id"), F.col("key of").alias("touched key")))
@@ -324,5 +325,5 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32())], names=names)
 
     schema = T.StructType([*docs.schema.fields]).add("entities replaced", "integer")
-    done = both.select(*all_of, "edits made").mapInArrow(run, schema)
+    done = both.select(*renamed.columns, "edits made").mapInArrow(run, schema)
     return done if rest is None else rest.union(done)

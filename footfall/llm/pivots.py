@@ -12,6 +12,7 @@ A bucket of up to `SMALL` fingerprints is joined with itself. In a larger one al
 compared with its first one; members that are joined by then need no comparison with each other, so
 only the rest is dealt in chunks, compared among themselves and with the others. Each pair of chunks
 is one bounded task, and a dense group of any size costs a number of comparisons in proportion to it.
+What large buckets have joined isn't compared again in small ones.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import components, durable
 from .prints import MASK64
 
-SMALL, CHUNK = 64, 2048
+SMALL, CHUNK = 64, 1024
 #: References of a pivot table; eight coordinates share a long.
 PIVOTS = 32
 #: Keys of large buckets that may be broadcast (16 bytes each); more are joined by a shuffle.
@@ -119,8 +120,8 @@ class Search:
         self.limit = distance if limit is None else limit
         self.lanes = [c for c in table.columns if c.startswith("fp")]
         self.pivots = [c for c in table.columns if c.startswith("p") and c[1:].isdigit()]
-        family = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(self.lanes, mask, strict=True)]) for t, mask in enumerate(masks)]
-        self.keyed = table.withColumn("key", F.explode(F.array(*family)))
+        self.family = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(self.lanes, mask, strict=True)]) for t, mask in enumerate(masks)]
+        self.keyed = table.withColumn("key", F.explode(F.array(*self.family)))
         counted = self.keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
         self.large = durable(counted.filter(F.col("n") > SMALL))
         self.hint = F.broadcast if self.large.count() <= MOST_BROADCAST else lambda x: x
@@ -142,10 +143,20 @@ class Search:
             near = (F.least(one, two) >= self.alike * F.greatest(one, two) - 1e-9) & near
         return near
 
-    def pairs(self) -> DataFrame:
-        """(a, b), a > b: all pairs of small buckets; they repeat."""
-        few = self.keyed.join(self.hint(self.large.select("key")), "key", "left_anti")
-        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node"))
+    def links(self) -> DataFrame:
+        """(a, b): edges whose components are those of all pairs; they may repeat."""
+        if self.large.isEmpty():
+            return self.pairs(self.keyed.withColumn("part", F.col("node")))
+        stars = lambda parts: parts.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = components(durable(self.led()))
+        parts = components(durable(stars(parts).union(self.apart(parts))))
+        known = self.table.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        return stars(parts).union(self.pairs(known.withColumn("key", F.explode(F.array(*self.family)))))
+
+    def pairs(self, keyed: DataFrame) -> DataFrame:
+        """(a, b), a > b: pairs of small buckets, of different parts; they may repeat."""
+        few = keyed.join(self.hint(self.large.select("key")), "key", "left_anti")
+        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
         return few.alias("x").join(few.alias("y"), met & self.near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def led(self) -> DataFrame:
@@ -155,80 +166,90 @@ class Search:
         both = members.alias("x").join(first.alias("y"), F.col("x.key") == F.col("y.key"))
         return both.filter((F.col("x.node") != F.col("y.node")) & self.near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
-    def apart(self, parts: DataFrame, every: bool) -> DataFrame:
-        """(a, b): pairs of large buckets that no component of parts (node, component) joins.
-
-        Either every pair, or as many as join all that any chain of such pairs joins.
-        """
+    def apart(self, parts: DataFrame) -> DataFrame:
+        """(a, b): pairs of large buckets that join, by any chain of them, what no component of parts (node, component) joins yet."""
         known = self.table.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         keys = self.keyed.select("key", "node").join(self.hint(self.large.select("key")), "key", "left_semi")
-        members = durable(keys.join(known, "node"))
-        count = members.groupBy("key", "part").agg(F.count("*").alias("n"))
-        count = count.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("mains"), (F.sum("n") - F.max("n")).alias("others"))
-        chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-        dealt = members.join(durable(count.filter("others > 0")), "key").withColumn("own", F.col("part") == F.col("main"))
-        place = F.pmod(F.xxhash64("node", F.lit(5)), F.when(F.col("own"), chunks("mains")).otherwise(chunks("others"))).cast("int")
-        upto = lambda n: F.sequence(F.lit(0), chunks(n) - 1)
-        met = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-        beside = F.transform(upto("others"), lambda j: met(F.least(j, F.col("place")), F.greatest(j, F.col("place"))))
-        across = F.transform(upto("mains"), lambda j: met(F.col("place"), -1 - j))
-        from_main = F.transform(upto("others"), lambda i: met(i, -1 - F.col("place")))
-        dealt = dealt.withColumn("place", place).withColumn("task", F.explode(F.when(F.col("own"), from_main).otherwise(F.concat(beside, across))))
-        cols = ["key", "node", "part", *self.lanes, *self.pivots, *(["size"] if self.alike else [])]
-        dealt = dealt.select(*cols, "task.lo", "task.hi")
-        return dealt.groupBy("key", "lo", "hi").applyInPandas(compared(self.distance, self.limit, self.alike, self.lanes, self.pivots, every), "a long, b long").distinct()
-
-
-def compared(distance: int, limit: int, alike: float, lanes: list[str], pivots: list[str], every: bool):
-    """For one pair of chunks: pairs of different parts within the distance; if not every, those that join a part first."""
+        dealt = deal(durable(keys.join(known, "node").withColumn("weight", F.lit(1))), CHUNK)
+        cols = ["key", "lo", "hi", "node", "part", *self.lanes, *self.pivots, *(["size"] if self.alike else [])]
+        run = compared(self.distance, self.limit, self.alike, self.lanes, self.pivots)
+        return dealt.select(*cols).groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+
+def deal(members: DataFrame, most: int) -> DataFrame:
+    """members (key, node, part, weight, ...) by pairs of chunks (key, lo, hi), so that members of a key in different parts meet.
+
+    A chunk has a weight of about `most`. Members of a key's main part, the one of most weight, don't
+    meet each other; the others meet everyone. A key of one part is not dealt at all.
+    """
+    count = members.groupBy("key", "part").agg(F.sum("weight").alias("n"))
+    count = count.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("mains"), (F.sum("n") - F.max("n")).alias("others"))
+    chunks = lambda n: F.ceil(F.col(n) / most).cast("int")
+    met = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    upto = lambda n: F.sequence(F.lit(0), chunks(n) - 1)
+    dealt = members.join(durable(count.filter("others > 0")), "key").withColumn("own", F.col("part") == F.col("main"))
+    place = F.pmod(F.xxhash64("node", F.lit(5)), F.when(F.col("own"), chunks("mains")).otherwise(chunks("others"))).cast("int")
+    dealt = dealt.withColumn("place", place)
+    beside = F.transform(upto("others"), lambda j: met(F.least(j, F.col("place")), F.greatest(j, F.col("place"))))
+    across = F.transform(upto("mains"), lambda j: met(F.col("place"), -1 - j))
+    from_main = F.transform(upto("others"), lambda i: met(i, -1 - F.col("place")))
+    dealt = dealt.withColumn("task", F.explode(F.when(F.col("own"), from_main).otherwise(F.concat(beside, across))))
+    return dealt.select(*members.columns, "task.lo", "task.hi")
+
+
+def joined(part: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that join all parts which any chain of near pairs joins.
+
+    near(front, free) gives near pairs of some rows in front with some free ones, at least one for each
+    free row that has any.
+    """
+    members: dict[int, list[int]] = {}
+    for i, p in enumerate(part.tolist()):
+        members.setdefault(p, []).append(i)
+    free, found = np.ones(len(part), bool), []
+    for first in range(len(part)):
+        if not free[first]:
+            continue
+        front = np.array(members[part[first]])
+        free[front] = False
+        while len(front) and free.any():
+            reached: dict[int, tuple[int, int]] = {}
+            for some in np.array_split(front, len(front) // 256 + 1):
+                for a, b in zip(*(x.tolist() for x in near(some, np.flatnonzero(free))), strict=True):
+                    reached.setdefault(part[b], (a, b))
+                for p in reached:
+                    free[members[p]] = False
+                if not free.any():
+                    break
+            found += reached.values()
+            front = np.array([i for p in reached for i in members[p]], int)
+    pairs = np.array(found, int).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def compared(distance: int, limit: int, alike: float, lanes: list[str], pivots: list[str]):
+    """For one pair of chunks: pairs within the distance that join different parts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
-        node, part = pdf["node"].to_numpy(), pdf["part"].to_numpy()
         bits = [pdf[c].to_numpy().view(np.uint64) for c in lanes]
-        table = np.stack([pdf[c].to_numpy() for c in pivots], 1).view(np.uint8).reshape(len(node), -1).astype(np.int16) if pivots else None
+        table = np.stack([pdf[c].to_numpy() for c in pivots], 1).view(np.uint8).reshape(len(pdf), -1).astype(np.int16)
         size = pdf["size"].to_numpy() if alike else None
 
-        def near(some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            i, j = np.nonzero(sum(np.bitwise_count(x[some][:, None] ^ x[others][None, :]).astype(np.int16) for x in bits) <= distance)
-            i, j = some[i], others[j]
-            ok = part[i] != part[j]
+        def near(front: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            i, j = np.nonzero(sum(np.bitwise_count(x[front][:, None] ^ x[free][None, :]).astype(np.int16) for x in bits) <= distance)
+            i, j = front[i], free[j]
             if alike:
-                ok &= np.minimum(size[i], size[j]) >= alike * np.maximum(size[i], size[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            if table is not None and len(i):
-                ok = np.concatenate([np.abs(table[i[k : k + 65536]] - table[j[k : k + 65536]]).max(1) <= limit for k in range(0, len(i), 65536)])
+                ok = np.minimum(size[i], size[j]) >= alike * np.maximum(size[i], size[j]) - 1e-9
                 i, j = i[ok], j[ok]
-            return i, j
-
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if every:
-            largest = pd.Series(part).mode()[0]
-            rest, whole = np.flatnonzero(part != largest), np.arange(len(node))
-            for some in np.array_split(rest, len(rest) // 256 + 1):
-                found.append(near(some, whole))
-        else:
-            free, names = np.ones(len(node), bool), pd.Series(np.arange(len(node))).groupby(part).groups
-            for first in range(len(node)):
-                if not free[first]:
-                    continue
-                front = np.asarray(names[part[first]])
-                free[front] = False
-                while len(front):
-                    others = np.flatnonzero(free)
-                    if not len(others):
-                        break
-                    reached: dict[int, tuple[int, int]] = {}
-                    for some in np.array_split(front, len(front) // 256 + 1):
-                        i, j = near(some, others)
-                        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                            reached.setdefault(int(part[b]), (a, b))
-                    if reached:
-                        found.append(tuple(np.array(list(reached.values())).T))
-                    front = np.concatenate([np.asarray(names[p]) for p in reached]) if reached else np.empty(0, int)
-                    free[front] = False
-        i = np.concatenate([x for x, _ in found]) if found else np.empty(0, int)
-        j = np.concatenate([y for _, y in found]) if found else np.empty(0, int)
-        return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])}).drop_duplicates()
+            ok = np.ones(len(i), bool)
+            for k in range(0, len(i), 65536):
+                some = slice(k, k + 65536)
+                ok[some] = np.abs(table[i[some]] - table[j[some]]).max(1) <= limit
+            return i[ok], j[ok]
+
+        node = pdf["node"].to_numpy()
+        i, j = joined(pdf["part"].to_numpy(), near)
+        return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
 
     return run

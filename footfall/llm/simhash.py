@@ -46,12 +46,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str
 def links(reps: DataFrame, names: list[str], distance: int, masks: list[list[int]]) -> DataFrame:
     """Edges (a, b) between the numbers `rep` of different fingerprints; their components are those of all pairs within the distance."""
     table = pivot_table(reps.select(F.col("rep").alias("node"), *names), len(names))
-    search = Search(table, masks, distance)
-    edges = search.pairs()
-    if search.large.isEmpty():
-        return edges
-    led = durable(search.led())
-    return edges.union(led).union(search.apart(components(led), every=False))
+    return Search(table, masks, distance).links()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,6 +87,17 @@ def test_simhash_of_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_simhash_of_rows_without_ids(spark):
+    """A near copy without an id is linked, ids that repeat are labels only, and a group without ids has none."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["quite", *words[200:]]), " ".join([f"z{i}" for i in range(90)]), "last one"]
+    df = spark.createDataFrame([(None, texts[0]), (585, texts[1]), (None, texts[3]), (7, texts[4]), (7, texts[2])], "doc_id long, text string")
+    found = {t: [r for r in simhash.near_duplicates(df).collect() if int(r.fingerprint, 16) == brute_print(t)] for t in texts}
+    assert (brute_print(texts[0]) ^ brute_print(texts[1])).bit_count() <= 4
+    assert {(r.doc_id, r.component_id) for t in texts[:2] for r in found[t]} == {(None, 585), (585, 585)}
+    assert [(r.doc_id, r.component_id) for t in texts[2:] for r in found[t]] == [(7, 7), (None, None), (7, 7)]
+
+
 def test_large_buckets_lose_no_link(spark):
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 2**62))
@@ -174,6 +185,9 @@ def test_large_groups_of_near_copies(spark):
 
 def test_near_copies_of_odd_rows(spark, odd):
     check_copies(odd)
+    check_copies(odd.withColumns({c: F.lit(c) for c in ("row key", "gone row", "twice row", "node", "part", "size", "fp0")}))
+    prints = simhash.near_duplicates(odd.withColumns({c: F.lit(c) for c in ("node", "fp0", "component_id")})).collect()
+    assert len(prints) == odd.count()
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -185,6 +199,59 @@ def test_language_accuracy(spark, sf_dir, texts):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def brute_language(rows, prior):
+    """Counts by language and a scorer, n-gram by n-gram; rows are (lang, text)."""
+
+    def grams(text):
+        t = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()}  "]
+        for i in range(len(t) - 2):
+            for n in (1, 2, 3):
+                own = t[i : i + n]
+                if any(c != 32 for c in own):
+                    h = 0
+                    for c in own:
+                        h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                    h = ((h + n - 1) * 0x9E3779B1) & 0xFFFFFFFF
+                    h = ((h ^ h >> 15) * 0x85EBCA77) & 0xFFFFFFFF
+                    yield 1 + (h >> 8) % (langid.BUCKETS - 1)
+
+    count = defaultdict(Counter)
+    for lang, text in rows:
+        count[lang].update(grams(text))
+    whole = {k: sum(c.values()) + 0.5 * (langid.BUCKETS - 1) for k, c in count.items()}
+    total = sum(prior.values())
+
+    def judge(text):
+        own = Counter(grams(text or ""))
+        if not own or not count:
+            return "und", 0.0
+        logs = {k: math.log(prior[k] / total) + sum(n * math.log((c[g] + 0.5) / whole[k]) for g, n in own.items()) for k, c in sorted(count.items())}
+        best = max(logs, key=lambda k: (logs[k], [-ord(x) for x in k]))
+        return best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+
+    return judge
+
+
+def test_language_is_brute_force(spark, sf_dir, texts):
+    learned = [(r.lang, r.text) for i, r in texts.items() if zlib.crc32(str(i).encode()) % 5 and r.lang and r.text is not None]
+    judge = brute_language(learned, Counter(k for k, _ in learned))
+    for r in queries.QUERIES["op2_language_id"](spark, sf_dir).collect():
+        lang, share = judge(texts[r.doc_id].text)
+        assert r.lang_pred == lang and math.isclose(r.score, share, abs_tol=1e-3)
+
+
+def test_language_of_long_texts_and_rare_languages(spark, monkeypatch):
+    made = [(f"the cat number {i} and the dog", "en", "") for i in range(300)] + [("кошка и собака", "ru", ""), ("123 456", "xx", "")]
+    langs, matrix = langid.train(frame(spark, made), sample=10)
+    assert langs == ["en", "ru"]  # all rows of a rare one, and none without letters
+    long = "the cat and the dog " * 3000 + "кошка"
+    one = langid.score([long, "собака", ""], langs, matrix)
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    monkeypatch.setattr(langid, "BATCH", 1500)
+    assert one[0] == ["en", "ru", "und"] and langid.score([long, "собака", ""], langs, matrix)[0] == one[0]
+    assert np.allclose(langid.score([long, "собака", ""], langs, matrix)[1], one[1])
+
+
 def test_language_of_odd_rows(spark, odd):
     learned = langid.train(frame(spark, [("the cat and the dog", "en", ""), ("der hund und die katze", "de", "")]))
     found = langid.predict(odd, learned).collect()
@@ -223,6 +290,7 @@ def test_surrogates_stay_distinct(spark):
 def test_surrogates_in_odd_rows(spark, odd):
     assert rows(pii.replace(odd, "k"), "doc_id", "text") == rows(odd, "doc_id", "text")
     clash = frame(spark, ["mail a@b.com"]).withColumn("spans", F.lit(1)).withColumn("kind", F.lit("k"))
+    clash = clash.withColumns({c: F.lit(c) for c in ("row key", "id of", "key of", "edits made", "touched id")})
     assert "a@b.com" not in pii.replace(clash, "k").first().text
     assert pii.replace(odd.limit(0), "k").count() == 0
 
@@ -386,6 +454,71 @@ def test_lm_in_many_blocks_is_the_same(spark, docs):
         assert r[:5] == one[r[0]][:5] and math.isclose(r[5], one[r[0]][5], rel_tol=1e-9)
 
 
+def test_lm_over_several_levels_is_the_same(spark, docs):
+    one = {r[0]: r for r in rows(lm.scores(docs, order=3))}
+    assert lm.Exchange(31, 40, 3).levels == 5
+    for r in rows(lm.scores(docs, block=40_000, shard=5_000, fan=3, order=3)):
+        assert r[:5] == one[r[0]][:5] and all(math.isclose(r[k], one[r[0]][k], rel_tol=1e-9) for k in (5, 6))
+
+
+def brute_score(docs, folds, order):
+    """log10 probabilities by id, from counts and weights written out."""
+    grams = {}
+    for i, words in docs.items():
+        grams[i] = [[tuple([*["<s>"] * (k - 1), *words][j : j + k]) for k in range(1, order + 1)] for j in range(len(words))]
+
+    def counts(of):
+        c, ctx, n = Counter(), Counter(), 0
+        for i, own in grams.items():
+            if folds[i] in of:
+                n += len(own)
+                for each in own:
+                    c.update(each)
+                    ctx.update(g[:-1] for g in each[1:])
+        return c, ctx, n, len({g for g in c if len(g) == 1})
+
+    def parts(each, model):
+        c, ctx, n, v = model
+        kind = min(lm.CLASSES - 1, math.ceil(math.log2(ctx[each[-1][:-1]] + 1)))
+        return kind, [c[g] / max(1, ctx[g[:-1]]) for g in each[:0:-1]] + [c[each[0]] / max(1, n), 1 / (v + 1)]
+
+    step = lambda p: 2 ** (round(8 * math.log2(p)) / 8) if p else 0.0
+    rest, seen = counts({0}), defaultdict(Counter)
+    for i, own in grams.items():
+        if folds[i] == 1:
+            for each in own:
+                kind, p = parts(each, rest)
+                seen[kind][tuple([*map(step, p[:-1]), p[-1]])] += 1
+    weight, last = {}, [1 / (order + 1)] * (order + 1)
+    for kind in range(lm.CLASSES):
+        w = [1 / (order + 1)] * (order + 1)
+        for _ in range(60 if kind in seen else 0):
+            total = [0.0] * (order + 1)
+            for p, n in seen[kind].items():
+                whole = sum(a * b for a, b in zip(p, w, strict=True))
+                total = [t + n * a * b / whole for t, a, b in zip(total, p, w, strict=True)]
+            w = [t / sum(seen[kind].values()) for t in total]
+        if kind in seen:
+            w = [max(x, 1e-6) for x in w]
+            last = [x / sum(w) for x in w]
+        weight[kind] = last
+    model, out = counts({0, 1}), {}
+    for i, own in grams.items():
+        found = [parts(each, model) for each in own]
+        out[i] = sum(math.log10(sum(a * b for a, b in zip(p, weight[k], strict=True))) for k, p in found)
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_are_brute_force(spark, docs, texts, order):
+    words = {i: own[:-1] + ["</s>"] for i, own in brute_lm(texts)[0].items()}
+    weigh = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(7)) == 0).select("doc_id").collect()}
+    folds = {i: 2 if zlib.crc32(str(i).encode()) % 7 == 2 else 1 if i in weigh else 0 for i in texts}
+    want = brute_score(words, folds, order)
+    for r in lm.scores(docs, order=order).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-6)
+
+
 def test_lm_of_odd_rows(spark, odd):
     found = lm.scores(odd).collect()
     assert len(found) == odd.count() and {r.n_tokens for r in found if r.doc_id in (0, 1, 2)} == {1}
@@ -415,6 +548,7 @@ def test_line_windows_of_odd_rows(spark, odd):
     assert rows(linededup.drop_repeated_lines(odd), "doc_id", "text") == rows(odd, "doc_id", "text")
     assert linededup.drop_repeated_lines(odd.limit(0)).count() == 0
     clash = frame(spark, ["a\nb\nc", "a\nb\nc"]).withColumn("gone", F.lit(1)).withColumn("at", F.lit(2)).withColumn("h", F.lit(3))
+    clash = clash.withColumns({c: F.lit(c) for c in ("row key", "id of", "key of", "lines gone", "all lines")})
     assert [r.text for r in linededup.drop_repeated_lines(clash).orderBy("doc_id").collect()] == ["a\nb\nc", ""]
 
 
