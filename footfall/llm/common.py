@@ -25,6 +25,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df as a table in the shared folder.
+
+    A checkpoint keeps the estimate of its plan's size, which every join multiplies: in a loop of joins
+    it soon has more digits than can be computed. A table's size is that of its files.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name in the place that driver and executors share."""
     use_checkpoint_dir(spark)
@@ -58,7 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
     node, and the number of rounds is logarithmic in the length of the longest chain. Edges that
     repeat, loops and an empty input are fine.
     """
-    now = durable(
+    now = written(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = None
@@ -69,11 +80,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = sign
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         # written out, so that the join's other side is dealt for the join alone and Spark can split a star's centre
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         upward = now.select(F.col("b").alias("u"), F.col("a").alias("v"))  # a is always the greater one
         large = upward.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = durable(small.union(root.select("a", F.col("m").alias("b"))).distinct())
+        now = written(small.union(root.select("a", F.col("m").alias("b"))).distinct())
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(stars.select("component", "component").distinct())
+    return written(stars.union(stars.select("component", "component").distinct()))

@@ -9,7 +9,9 @@ else in the nearest directory above.
 
 A term's document frequency is taken over all documents; terms that no template has get the weight
 of an unseen one. Units without any cue are skipped: cues are so many of each template's heaviest
-terms that the rest alone can't reach the threshold (Cauchy-Schwarz), so this loses nothing.
+terms that the rest alone can't reach the threshold. Of the other units only those go on whose terms
+together can reach it with some template, whatever else they hold (both by Cauchy-Schwarz: a cosine is
+at most the norm of the template's weights at the terms that the unit has). So this loses nothing.
 
 Templates are a parameter, a list held by the driver; all else that is broadcast is counted first. A
 null or empty text has no licence of its own; a null path inherits nothing. Of several licence files
@@ -22,6 +24,7 @@ which are replaced.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -104,8 +107,8 @@ def frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str,
     return found.get("", 0), found
 
 
-def weighted(texts: DataFrame, templates: list[tuple[str, str]], least: float) -> tuple[DataFrame, float, set[str]]:
-    """(term, idf, at: template and weight in it) for the templates' terms, the idf of other terms, and the cues."""
+def weighted(texts: DataFrame, templates: list[tuple[str, str]], least: float) -> tuple[DataFrame, float, set[str], dict[str, list[float]]]:
+    """(term, idf, at: template and weight in it) for the templates' terms, the idf of other terms, the cues, and squared weights by term."""
     vectors = [Counter(re.findall(r"[^\W_]+", t.lower())) for _, t in templates]
     vocabulary = sorted({w for v in vectors for w in v})
     n, df = frequencies(texts, vocabulary)
@@ -122,7 +125,11 @@ def weighted(texts: DataFrame, templates: list[tuple[str, str]], least: float) -
                 cues.add(t)
             rest -= x * x
     table = texts.sparkSession.createDataFrame([(w, idf[w], at[w]) for w in vocabulary], "term string, idf double, at array<struct<k:int,weight:double>>")
-    return table, math.log(n + 1) + 1, cues
+    squares = {w: [0.0] * len(templates) for w in vocabulary}
+    for w, own in at.items():
+        for k, x in own:
+            squares[w][k] = x * x
+    return table, math.log(n + 1) + 1, cues, squares
 
 
 def units(texts: DataFrame, cues: set[str]) -> DataFrame:
@@ -140,13 +147,22 @@ def units(texts: DataFrame, cues: set[str]) -> DataFrame:
     parts = F.filter(F.split("text", BLANK), has)
     whole = F.when(F.coalesce(F.col("file").rlike(LICENCE_FILE), F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
     each = split.select("row_no", F.explode(F.array_distinct(F.concat(runs, parts, whole))).alias("unit"))
-    return each.select("row_no", F.xxhash64("unit").alias("unit"), terms(F.col("unit")).alias("terms"))
+    return each.select("row_no", F.xxhash64("unit").alias("unit"), F.explode(F.array(terms(F.col("unit")))).alias("terms"))
+
+
+def within_reach(units: DataFrame, squares: dict[str, list[float]], least: float) -> DataFrame:
+    """The units whose terms have squared weights of least * least or more in some template."""
+    table = F.from_json(F.lit(json.dumps(squares)), "map<string,array<double>>")  # a constant; its size is that of the templates
+    own = F.array_intersect("terms", F.array(*map(F.lit, squares)))
+    none = F.array_repeat(F.lit(0.0), len(next(iter(squares.values()))))
+    sums = F.aggregate(own, none, lambda total, term: F.zip_with(total, F.element_at(table, term), lambda x, y: x + y))
+    return units.filter(F.array_max(sums) >= 0.999 * least * least)
 
 
 def own_licences(texts: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
     """(row_no, cosine, licence) of the best unit, where it reaches the threshold, or of an SPDX line."""
-    table, unseen, cues = weighted(texts, templates, least)
-    each = units(texts, cues).select("row_no", "unit", F.explode("terms").alias("term"))
+    table, unseen, cues, squares = weighted(texts, templates, least)
+    each = within_reach(units(texts, cues), squares, least).select("row_no", "unit", F.explode("terms").alias("term"))
     tf = each.groupBy("row_no", "unit", "term").agg(F.count("*").alias("tf")).join(F.broadcast(table), "term", "left")
     w = F.col("tf") * F.coalesce("idf", F.lit(unseen))
     norm = F.array(F.struct(F.lit(-1).alias("k"), w.alias("weight")))

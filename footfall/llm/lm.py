@@ -6,8 +6,9 @@ was seen (one bucket for each power of two) and are learned by expectation-maxim
 counts: one seventh of the documents, set aside from the training counts while the weights are
 learned and counted with them afterwards.
 
-Documents are dealt to blocks of bounded size, at random and once: the packed texts are written out.
-A block sends each n-gram that occurs in it once, in packed arrays by ranges of the n-grams' 64-bit
+Documents are dealt to blocks of bounded size by a hash of id and text. Rows that agree in both and are
+more than `REPEATS` get blocks of their own, whose n-grams are the same whichever of them they hold; so
+these rows are spread at random. A block sends each n-gram that occurs in it once, in packed arrays by ranges of the n-grams' 64-bit
 hashes, so sizes are even however frequent a word is. The exchange is a tree. While blocks and ranges
 are few, it has one level: the task of a range adds up the blocks' counts and sends each block the
 totals in the order it asked. Beyond `FAN` the senders are grouped and the ranges are divided level by
@@ -33,12 +34,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import bucket_of, durable
 
 END, START = 1, 2
 #: Characters in a block and tokens in a shard, about; senders and subranges of a task of the exchange.
 BLOCK, SHARD, FAN = 8_000_000, 1_000_000, 256
+#: So many equal rows go to blocks of their own, and so many of them to each block; and the most keys of such rows that are broadcast.
+REPEATS, MOST_BROADCAST = 1000, 200_000
 #: Folds of a block: training, training and held out for the weights, not learned from.
 LEARN, WEIGH, OTHER = 0, 1, 2
 CLASSES = 48  # of contexts' frequencies: powers of two
@@ -57,12 +61,27 @@ def unsqueezed(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
-def dealt(docs: DataFrame, held_out: Column, blocks: int) -> DataFrame:
-    """(block, ids, sizes, body): some documents of a block, their lower-cased texts compressed together."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """(copy_of, first, many): for rows that repeat often, their hash and which blocks are theirs."""
+    often = docs.groupBy(F.xxhash64("doc_id", "text").alias("copy_of")).agg(F.ceil(F.count("*") / REPEATS).alias("many"))
+    often = durable(often.filter("many > 1"))
+    upto = F.sum("many").over(W.partitionBy(F.lit(0)).orderBy("copy_of"))  # at most one row for every thousand documents
+    return durable(often.select("copy_of", (upto - F.col("many")).alias("first"), "many"))
+
+
+def dealt(docs: DataFrame, held_out: Column, blocks: int, often: DataFrame, theirs: int) -> DataFrame:
+    """(block, ids, sizes, body): some documents of a block, their lower-cased texts compressed together.
+
+    Each fold has `blocks` blocks and `theirs` more for rows that repeat often.
+    """
     fold = F.when(held_out, OTHER).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(7)) == 0, WEIGH).otherwise(LEARN)
-    some = F.floor(F.monotonically_increasing_id() / 16)  # neighbours stay together, so that they compress
-    block = (fold * blocks + F.pmod(F.xxhash64(some, F.lit(9)), F.lit(blocks))).cast("int")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), block.alias("block"))
+    copy = F.xxhash64("doc_id", "text")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), fold.alias("fold"), copy.alias("copy"))
+    place = F.pmod("copy", F.lit(blocks))
+    if theirs:
+        picked = picked.join(F.broadcast(often) if theirs <= MOST_BROADCAST else often, F.col("copy") == F.col("copy_of"), "left")
+        place = F.when(F.col("copy_of").isNull(), place).otherwise(blocks + F.col("first") + F.floor(F.rand(7) * F.col("many")))
+    picked = picked.select("doc_id", "text", (F.col("fold") * (blocks + theirs) + place).cast("int").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,8 +345,11 @@ def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, block: int = B
     held_out = bucket_of("doc_id", modulus) == remainder
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, shards = math.ceil((size + 1) / block), math.ceil((size + 1) / 6 / shard)
+    often = repeated(docs)
+    theirs = often.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    texts = dealt(docs, held_out, blocks, often, theirs)
+    blocks += theirs
     tree = Exchange(blocks, shards, fan)
-    texts = durable(dealt(docs, held_out, blocks))  # dealt once: the blocks stay what they are
     asks = [texts.groupBy("block").applyInArrow(asked(tree, order), ASKED)]
     for level in range(2, tree.levels + 1):
         asks[-1] = durable(asks[-1])

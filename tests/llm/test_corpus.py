@@ -461,6 +461,15 @@ def test_lm_over_several_levels_is_the_same(spark, docs):
         assert r[:5] == one[r[0]][:5] and all(math.isclose(r[k], one[r[0]][k], rel_tol=1e-9) for k in (5, 6))
 
 
+def test_lm_of_rows_that_repeat_often(spark, monkeypatch):
+    df = frame(spark, [f"a b c d {i % 9}" for i in range(200)]).withColumn("doc_id", F.when(F.col("doc_id") > 60, F.col("doc_id")))
+    one = rows(lm.scores(df))
+    monkeypatch.setattr(lm, "REPEATS", 5)
+    many = rows(lm.scores(df.repartition(3)))
+    assert len(one) == len(many) == 200
+    assert all(a[:5] == b[:5] and math.isclose(a[6], b[6], rel_tol=1e-9) for a, b in zip(one, many, strict=True))
+
+
 def brute_score(docs, folds, order):
     """log10 probabilities by id, from counts and weights written out."""
     grams = {}
