@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's shared folder; a temporary one is made only where none is named."""
+    """Checkpoints go to the cluster's shared folder; a temporary one is made only for a local session that names none."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
