@@ -5,7 +5,7 @@ Clicks are (ts, province, city, user_id, ad_id).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,11 +50,26 @@ def province_top(counts: DataFrame, n: int = 3) -> DataFrame:
 
 def minute_counts(clicks: DataFrame) -> DataFrame:
     """(date, hour, minute, ad_id, click_count): what the trend table holds."""
-    ts = F.col("ts")
-    return clicks.groupBy(X.date_text(ts).alias("date"), X.two_digits(F.hour(ts)).alias("hour"), X.two_digits(F.minute(ts)).alias("minute"), "ad_id").agg(F.count("*").alias("click_count"))
+    return clicks.groupBy(*minute_of("ts"), "ad_id").agg(F.count("*").alias("click_count"))
+
+
+def minute_of(time: str) -> list[Column]:
+    """The day, hour and minute of a time, as text."""
+    ts = F.col(time)
+    return [X.date_text(ts).alias("date"), X.two_digits(F.hour(ts)).alias("hour"), X.two_digits(F.minute(ts)).alias("minute")]
 
 
 def trend(clicks: DataFrame, length: str = "60 minutes", slide: str = "10 seconds") -> DataFrame:
-    """(window_start, window_end, ad_id, click_count) over sliding windows of event time."""
+    """(window_start, window_end, ad_id, click_count) over sliding windows of event time.
+
+    In a batch clicks are counted by slide first, and only these counts go to the windows they are in.
+    A stream allows no second aggregation of what may still change, so there each click goes to its windows.
+    """
+    if not clicks.isStreaming:
+        every, whole = (F.expr(f"interval {x}") for x in (slide, length))
+        slots = clicks.groupBy(F.window("ts", slide)["start"].alias("slot"), "ad_id").agg(F.count("*").alias("n"))
+        starts = F.filter(F.sequence(F.col("slot") - whole, F.col("slot"), every), lambda t: t + whole > F.col("slot"))
+        found = slots.select(F.explode(starts).alias("window_start"), "ad_id", "n").groupBy("window_start", "ad_id").agg(F.sum("n").alias("click_count"))
+        return found.select("window_start", (F.col("window_start") + whole).alias("window_end"), "ad_id", "click_count")
     found = clicks.groupBy(F.window("ts", length, slide).alias("w"), "ad_id").agg(F.count("*").alias("click_count"))
     return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ad_id", "click_count")

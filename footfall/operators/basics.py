@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def word_count(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -17,5 +18,10 @@ def department_averages(employees: DataFrame, departments: DataFrame, over_age:
     return some.groupBy("department", "gender").agg(F.avg("salary").alias("avg_salary"), F.avg("age").alias("avg_age"))
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with the columns of a schema: in its order, cast where that is safe, missing ones null, others gone."""
+    return df.to(schema)
+
+
 def older_than(employees: DataFrame, age: int = 30) -> DataFrame:
     return employees.filter(F.col("age") > age)

@@ -17,7 +17,7 @@ EVENTS = {"e_l": "launch event", "e_pv": "page view event", "e_crt": "charge req
 BROWSERS = {"Edge": r"Edge?/([\d.]+)", "Opera": r"(?:OPR|Opera)[/ ]([\d.]+)", "Chrome": r"Chrome/([\d.]+)", "Firefox": r"Firefox/([\d.]+)", "IE": r"(?:MSIE |Trident/.*rv:)([\d.]+)", "Safari": r"Version/([\d.]+).*Safari/"}
 #: Operating systems: family and the pattern of the name.
 SYSTEMS = {"iOS": r"(iPhone OS [\d_]+|CPU OS [\d_]+)", "Windows": r"(Windows(?: NT)? [\d.]+|Windows)", "OS X": r"(Mac OS X(?: [\d_.]+)?)", "Android": r"(Android(?: [\d.]+)?)", "Linux": r"(Linux)"}
-MOST_BROADCAST = 200_000
+MOST_BROADCAST, SALTS = 200_000, 16
 UNKNOWN = "unknown"
 
 
@@ -36,8 +36,9 @@ def parameters(query: Column) -> Column:
     pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), decoded(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value"))
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.contains("=")), pair)
     pairs = F.filter(pairs, lambda p: (p["key"] != "") & (F.trim(p["value"]) != ""))
-    last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(X.let(pairs, last))
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value"))))
+    last = lambda all_: F.filter(all_, lambda p, i: ~p["key"].eqNullSafe(F.get(all_, i + 1)["key"]))
+    return F.map_from_entries(F.transform(X.let(placed, last), lambda p: F.struct(p["key"], p["value"])))
 
 
 def readable(line: Column | str) -> Column:
@@ -91,13 +92,16 @@ def located(df: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
 
     Ranges don't overlap. They are cut at multiples of 65,536, so the range join becomes an equality
     on the upper half and a comparison; the pieces are at most the ranges and 65,536 more. They are
-    broadcast while they are few.
+    broadcast while they are few. Beyond that both sides are salted, the pieces once for each salt, so
+    that neither a busy network nor the rows without an address meet in one task.
     """
     pieces = ranges.select(F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))).alias("upper"), "start_ip", "end_ip", "region")
-    if pieces.count() <= MOST_BROADCAST:
-        pieces = F.broadcast(pieces)
+    few = pieces.count() <= MOST_BROADCAST
+    salts = 1 if few else SALTS
+    pieces = F.broadcast(pieces.withColumn("salt", F.lit(0))) if few else pieces.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = df.withColumn("ip number", ip_number(ip)).withColumn("ip upper", F.shiftright("ip number", 16))
-    met = (F.col("ip upper") == F.col("upper")) & F.col("ip number").between(F.col("start_ip"), F.col("end_ip"))
+    keyed = keyed.withColumn("ip salt", F.lit(0) if few else F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    met = (F.col("ip upper") == F.col("upper")) & (F.col("ip salt") == F.col("salt")) & F.col("ip number").between(F.col("start_ip"), F.col("end_ip"))
     return keyed.join(pieces, met, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != "region"], "region")
 
 

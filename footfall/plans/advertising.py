@@ -15,6 +15,8 @@ from footfall.streaming import ads as jobs
 #: Clicks of one ad by one user on a day that put them on the list; the given tables have few of these.
 THRESHOLD = 2
 WINDOW = ("60 minutes", "10 minutes")
+#: Days of a month in a micro-batch of the streams.
+DAYS = 8
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +29,13 @@ def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The clicks as a stream of files, and a new folder for a job's tables."""
-    return sources.ad_clicks(spark, sf_dir, sources.parquet_stream(spark, f"{sf_dir}/events*.parquet")), sinks.shared_folder(spark)
+    """The clicks as a stream of four files, one to a micro-batch, and a new folder for a job's tables."""
+    folder = sinks.shared_folder(spark)
+    clicks = sources.ad_clicks(spark, sf_dir)
+    part = F.least((F.dayofmonth("ts") - 1) / DAYS, F.lit(3)).cast("int")
+    for i in range(4):
+        clicks.filter(part == i).coalesce(1).write.parquet(f"{folder}/clicks/{i}")
+    return sources.parquet_stream(spark, f"{folder}/clicks/*", maxFilesPerTrigger="1"), folder
 
 
 def windows(trend: DataFrame) -> DataFrame:
@@ -60,6 +67,11 @@ def t_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(jobs.trend(spark, clicks, folder, *WINDOW).wait().tables["trend"].latest(["window_start", "window_end", "ad_id"]))
 
 
+def t_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, folder = streamed(spark, sf_dir)
+    return jobs.minute_counts(spark, clicks, folder).wait().tables["minutes"].latest(["date", "hour", "minute", "ad_id"])
+
+
 QUERIES = {
     "b11_not_blacklisted": b11,
     "b12_user_counts": lambda s, d: ads.user_counts(sources.ad_clicks(s, d)),
@@ -73,6 +85,7 @@ QUERIES = {
     "t_running_counts": t_running,
     "t_province_top3": t_top,
     "t_trend": t_trend,
+    "t_minute_counts": t_minutes,
 }
 
 DAY = "strftime(ts, '%Y-%m-%d') as date"
@@ -85,17 +98,23 @@ RUNNING = f"{WITH}, {PLACES} select * from places"
 TOP = f"{WITH}, {PLACES} select date, province, ad_id, cast(sum(click_count) as bigint) as click_count, row_number() over (partition by date, province order by sum(click_count) desc, ad_id) as rank from places group by date, province, ad_id qualify rank <= 3"
 TREND = f"""{WITH}, w as (select ad_id, unnest(range(0, 6)) as i, epoch_us(ts) // 600000000 as slot from clicks)
 select strftime(make_timestamp((slot - i) * 600000000), '%Y-%m-%d %H:%M:%S') as window_start, strftime(make_timestamp((slot - i + 6) * 600000000), '%Y-%m-%d %H:%M:%S') as window_end, ad_id, count(*) as click_count from w group by all"""
+MINUTES = f"{WITH} select {DAY}, strftime(ts, '%H') as hour, strftime(ts, '%M') as minute, ad_id, count(*) as click_count from clicks group by all"
+#: A user is listed after the batch that makes the count full, and later batches drop the user's clicks.
+FED_BACK = f"""{WITH}, {COUNTS}, batched as (select *, least((cast(date[9:10] as integer) - 1) // {DAYS}, 3) as batch from counts),
+listed as (select user_id, min(batch) as batch from batched where click_count >= {THRESHOLD} group by user_id)
+select date, b.user_id, ad_id, click_count from batched b left join listed l on b.user_id = l.user_id where l.batch is null or b.batch <= l.batch"""
 SQL = {
     "b11_not_blacklisted": f"{WITH}, {COUNTS}, {HEAVY} select strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, province, city, user_id, ad_id from clicks where user_id not in (select user_id from heavy)",
     "b12_user_counts": ALL_COUNTS,
     "b12_blacklist": BLACKLIST,
     "b13_running_counts": RUNNING,
     "b14_province_top3": TOP,
-    "b15_minute_counts": f"{WITH} select {DAY}, strftime(ts, '%H') as hour, strftime(ts, '%M') as minute, ad_id, count(*) as click_count from clicks group by all",
+    "b15_minute_counts": MINUTES,
     "b15_trend": TREND,
-    "t_user_counts": ALL_COUNTS,
+    "t_user_counts": FED_BACK,
     "t_blacklist": BLACKLIST,
     "t_running_counts": RUNNING,
     "t_province_top3": TOP,
     "t_trend": TREND,
+    "t_minute_counts": MINUTES,
 }

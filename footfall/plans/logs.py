@@ -33,6 +33,27 @@ def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*[get(k) for k in ("ip", "s_time", "en", "u_ud", "u_mid", "l", "tt", "bad")], logs.event_name(F.col("m")["en"]).alias("event"), F.size("m").alias("n_fields"))
 
 
+#: Regions of the address ranges in turn, and what country, province and city they tell.
+REGIONS = (
+    ("江苏省南京市", "中国", "江苏省", "南京市"), ("内蒙古呼和浩特市", "中国", "内蒙古自治区", "呼和浩特市"), ("广西桂林市", "中国", "广西", "桂林市"), ("北京市海淀区", "中国", "北京市", "海淀区"),
+    ("香港", "中国", "香港特别行政区", "unknown"), ("局域网", "中国", "上海市", "unknown"), ("美国", "unknown", "unknown", "unknown"), ("浙江省", "中国", "浙江省", "unknown"),
+)
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines with a browser's name in two of three."""
+    number = F.regexp_extract("value", r"&u_ud=(\d+)", 1).try_cast("int")
+    chrome = F.format_string("Mozilla/5.0 (Windows NT %d.0) AppleWebKit/537 (KHTML, like Gecko) Chrome/%d.0 Safari/537", number % 5 + 6, number % 40 + 60)
+    firefox = F.format_string("Mozilla/5.0 (X11; Linux x86_64; rv:%d.0) Gecko/20100101 Firefox/%d.0", number % 40, number % 40)
+    agent = F.when(number % 3 == 0, chrome).when(number % 3 == 1, firefox)
+    return lines(spark, sf_dir).select(F.concat("value", F.coalesce(F.concat(F.lit("&b_iev="), F.url_encode(agent)), F.lit(""))).alias("value"))
+
+
+def places(spark: SparkSession) -> DataFrame:
+    names = F.array(*[F.lit(r[0]) for r in REGIONS])
+    return ranges(spark).withColumn("region", F.get(names, (F.col("start_ip") / STEP % len(REGIONS)).cast("int")))
+
+
 def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.parsed(lines(spark, sf_dir)).select(logs.row_key("m").alias("row_key"), logs.row_key("m", "e_e").alias("old_row_key"))
 
@@ -48,7 +69,9 @@ def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b16_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.enriched(lines(spark, sf_dir), ranges(spark)).select("row_key", F.to_json("m").alias("fields"))
+    found = logs.enriched(visits(spark, sf_dir), places(spark))
+    names = ("ip", "s_time", "en", "u_ud", "l", "tt", "country", "province", "city", "browser", "browser_v", "os", "os_v")
+    return found.select("row_key", *[F.try_element_at("m", F.lit(k)).alias(k) for k in names], F.size("m").alias("n_fields"))
 
 
 def timed(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,9 +103,22 @@ EVENT = "case event_id % 6 " + " ".join(f"when {i} then '{logs.EVENTS[k]}'" for
 ALIAS = "case event_id % 6 when 0 then 'e_pv' when 1 then 'e_e' when 2 then 'e_cs' when 3 then 'e_cr' when 4 then 'e_crt' else 'e_l' end"
 TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 WITH = f"with {views.LOGINS}"
+#: The checksum of a text `s`, byte by byte from the table of its 256 steps.
+STEPS = """bits as (select i, i as c, 0 as k from range(256) as t(i) union all select i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 from bits where k < 8),
+steps as (select list(c order by i) as tab from bits where k = 8)"""
+CHECKSUM = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda x: cast(ord(x) as bigint))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 100000000"
+KEY = f"cast(epoch_us(ts) // 1000000 * 1000 + 573 as varchar) || '_' || {CHECKSUM}"
 SQL = {
     "b16_log_fields": f"""select {IP} as ip, cast(epoch_us(ts) // 1000000 * 1000 + 573 as varchar) as s_time, {ALIAS} as en, cast(user_id as varchar) as u_ud, null::varchar as u_mid,
 'zh-CN' as l, 't=' || event_type as tt, null::varchar as bad, {EVENT} as event, 6 as n_fields from (select *, {ADDRESS} as n from events) where event_id % 10 <> 0""",
+    "b16_log_enriched": f"""with recursive {STEPS}, r as (select * from (values {', '.join(f"({i}, '{c}', '{p}', '{t}')" for i, (_, c, p, t) in enumerate(REGIONS))}) as t(rid, country, province, city)),
+e as (select *, {ADDRESS} as n from events where event_id % 10 <> 0)
+select {KEY.format(s=f"user_id || {ALIAS}")} as row_key, {IP} as ip, cast(epoch_us(ts) // 1000000 * 1000 + 573 as varchar) as s_time, {ALIAS} as en, cast(user_id as varchar) as u_ud, 'zh-CN' as l, 't=' || event_type as tt,
+coalesce(country, 'unknown') as country, coalesce(province, 'unknown') as province, coalesce(city, 'unknown') as city,
+case user_id % 3 when 0 then 'Chrome' when 1 then 'Firefox' end as browser, case user_id % 3 when 0 then (user_id % 40 + 60) || '.0' when 1 then (user_id % 40) || '.0' end as browser_v,
+case user_id % 3 when 0 then 'Windows' when 1 then 'Linux' end as os, case user_id % 3 when 0 then 'Windows NT ' || (user_id % 5 + 6) || '.0' when 1 then 'Linux' end as os_v,
+case when user_id % 3 = 2 then 9 else 14 end as n_fields from e cross join steps left join r on n % {STEP} < {WIDTH} and n // {STEP} % {len(REGIONS)} = rid""",
+    "b17_row_keys": f"""with recursive {STEPS} select {KEY.format(s=f"user_id || {ALIAS}")} as row_key, {KEY.format(s="user_id || 'e_e'")} as old_row_key from events cross join steps where event_id % 10 <> 0""",
     "j7_ip_ranges": f"select event_id, {IP} as ip, case when n % {STEP} < {WIDTH} then 'region ' || (n // {STEP}) end as region from (select event_id, {ADDRESS} as n from events)",
     "b18_active_users": f"{WITH} select date, p_c, count(distinct user_id) as users from logins where event = 'login_org' group by all",
     "b19_user_days": f"""{WITH}, x as (select *, row_number() over (partition by date, user_id order by (event = 'exchange_org') desc, ts desc, event_id desc) as last_n,

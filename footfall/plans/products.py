@@ -56,7 +56,7 @@ def u_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, cities = sources.product_info(spark, sf_dir), sources.city_info(spark, sf_dir)
     return spark.sql(
         """select product_id, concat_long_string(product_id, ':', product_name) as label, json_text(extend_info, 'product_status') as status,
-        remove_prefix(hash_prefix(product_name, 10)) as same_name, concat_long_string(city_id, ':', city_name) as city, level_of_area(area) as level
+        remove_prefix(hash_prefix(product_name, 10)) as same_name, concat_long_string(city_id, ':', city_name) as city, level_of_area(element_at(array('China North', 'China South', 'West North', 'West', 'China East', 'China Middle', 'West South'), cast(city_id % 7 + 1 as int))) as level
         from {products} join {cities} on product_id % 25 = city_id""",
         products=products, cities=cities,
     )
@@ -103,7 +103,7 @@ SQL = {
     "b23_word_count": "select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from documents) group by word",
     "b24_department_averages": f"with {STAFF} select n_name as department, gender, sum(salary) / count(*) as avg_salary, sum(age) / count(*) as avg_age from staff join nation on depId = n_nationkey where age > 20 group by all",
     "b25_older_to_json": f"with {STAFF} select * from staff where age > 30",
-    "u_registered_functions": f"with {views.CITIES} select p_partkey as product_id, p_partkey || ':' || p_name as label, cast(p_partkey % 2 as varchar) as status, p_name as same_name, city_id || ':' || city_name as city, 'D Level' as level from part join cities on p_partkey % 25 = city_id",
+    "u_registered_functions": f"with {views.CITIES} select p_partkey as product_id, p_partkey || ':' || p_name as label, cast(p_partkey % 2 as varchar) as status, p_name as same_name, city_id || ':' || city_name as city, (['A', 'B', 'C', 'D', 'A', 'B', 'C'])[city_id % 7 + 1] || ' Level' as level from part join cities on p_partkey % 25 = city_id",
     "k_merges": f"""{HALVES} select 'upsert' as merge, * from old where (date, city_id) not in (select (date, city_id) from new) union all select 'upsert', * from new
 union all select 'add', date, city_id, cast(sum(n) as bigint) from (select * from old union all select * from new) group by date, city_id
 union all select 'replace', * from old where date not in (select date from new) union all select 'replace', * from new""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,21 @@ def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detailed(ops.details(sources.user_visit_action(spark, sf_dir), b7(spark, sf_dir)))
 
 
+def save_report(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The session tables of one task, each as Parquet; what they share is computed once and let go in the end."""
+    sessions = kept_sessions(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    actions = ops.of_sessions(sources.user_visit_action(spark, sf_dir), sessions).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sampled, top = ops.sample(sessions, SAMPLE), ops.top_categories(actions)
+        best = ops.top_sessions(actions, top)
+        tables = {"distribution": ops.distribution(sessions), "sample": flat(sampled), "sample_details": ops.details(actions, sampled), "top_categories": top, "top_sessions": best, "top_details": ops.details(actions, best)}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    finally:
+        actions.unpersist()
+        sessions.unpersist()
+
+
 QUERIES = {
     "b1_session_aggregation": lambda s, d: flat(all_sessions(s, d)),
     "b2_session_filter": lambda s, d: flat(ops.filtered(all_sessions(s, d), ALL_FILTERS)),

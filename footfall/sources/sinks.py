@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,15 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's name in the place that driver and executors share; temporary only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
+    """A new folder's name in the place that driver and executors share, which spark.checkpoint.dir names.
+
+    Where it isn't set, a temporary folder serves a local session; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-tables-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -51,32 +59,81 @@ def replace_groups(old: DataFrame, new: DataFrame, group: list[str]) -> DataFram
     return upsert(old, new, group)
 
 
+def to_console(df: DataFrame, rows: int = 20):
+    """Shows a table's rows, or starts a query that shows each micro-batch of a stream."""
+    if df.isStreaming:
+        return df.writeStream.format("console").option("numRows", rows).outputMode("update").start()
+    return df.show(rows, truncate=False)
+
+
 class Batches:
     """A table as one folder of Parquet files for each micro-batch.
 
     A batch overwrites its own folder only, so a batch that is run again after a failure leaves the
     same rows. What a batch writes is in proportion to the batch; readers merge: they add up (`summed`)
     or take a key's latest rows (`latest`).
+
+    With `keys`, after every `every` batches all so far are merged into one folder `upto=n` (added up
+    if a `value` is named, else each key's latest rows), by `part` if given. Readers take the last
+    one that is complete and the batches after it, so a batch reads at most `every` small folders.
+    What the merge before the last one covers is deleted: a batch that runs again never needs it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str] | None = None, value: str | None = None, part: str | None = None, every: int = 100) -> None:
         self.spark, self.path, self.schema = spark, path, T._parse_datatype_string(schema)
+        self.keys, self.value, self.part, self.every = keys, value, part, every
+        self.with_batch = T.StructType([*self.schema.fields]).add("batch", "long")
+        self.root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
         self.write(spark.createDataFrame([], self.schema), -1)
 
+    def folders(self, kind: str) -> list[int]:
+        """The numbers of the complete folders `kind=n`, in order."""
+        names = [s.getPath().getName() for s in self.files.listStatus(self.root)]
+        found = sorted(int(x.removeprefix(f"{kind}=")) for x in names if x.startswith(f"{kind}="))
+        return [n for n in found if self.files.exists(self.root.suffix(f"/{kind}={n}/_SUCCESS"))]
+
     def write(self, df: DataFrame, batch: int) -> None:
         df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if self.keys and batch >= 0 and (batch + 1) % self.every == 0:
+            self.compact(batch)
+
+    def compact(self, batch: int) -> None:
+        """Merges all batches up to this one."""
+        before = max([n for n in self.folders("upto") if n < batch], default=None)
+        rows = self.read(batch).unionByName(self.of_batch(batch).withColumn("batch", F.lit(batch).cast("long")))
+        if self.value:
+            rows = rows.groupBy(*self.keys).agg(F.sum(self.value).alias(self.value), F.max("batch").alias("batch"))
+        else:
+            rows = self.last(rows, self.keys)
+        writer = rows.select(*self.with_batch.fieldNames()).write.mode("overwrite")
+        (writer.partitionBy(self.part) if self.part else writer).parquet(f"{self.path}/upto={batch}")
+        if before is not None:
+            gone = [f"batch={n}" for n in self.folders("batch") if 0 <= n <= before] + [f"upto={n}" for n in self.folders("upto") if n < before]
+            for name in gone:
+                self.files.delete(self.root.suffix(f"/{name}"), True)
 
     def read(self, before: int | None = None) -> DataFrame:
-        """All rows with their batch, or those of earlier batches."""
-        schema = T.StructType([*self.schema.fields]).add("batch", "long")
-        rows = self.spark.read.schema(schema).parquet(self.path)
-        return rows if before is None else rows.filter(F.col("batch") < before)
+        """All rows with their batch (a merged row: its last one), or those of earlier batches."""
+        merged = [n for n in self.folders("upto") if before is None or n < before][-1:]
+        after = max(merged, default=-2)
+        batches = [n for n in self.folders("batch") if n > after and (before is None or n < before)] or [-1]
+        reader = self.spark.read.schema(self.with_batch)
+        rows = reader.option("basePath", self.path).parquet(*[f"{self.path}/batch={n}" for n in batches])
+        for n in merged:
+            rows = rows.unionByName(self.spark.read.schema(self.with_batch).parquet(f"{self.path}/upto={n}"))
+        return rows.select(*self.with_batch.fieldNames())
+
+    def of_batch(self, batch: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+
+    def last(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+        return rows.join(last, [*keys, "batch"], "left_semi")
 
     def summed(self, keys: list[str], value: str, before: int | None = None) -> DataFrame:
         return self.read(before).groupBy(*keys).agg(F.sum(value).alias(value))
 
     def latest(self, keys: list[str]) -> DataFrame:
         """The rows that each key's last batch has: one row a key if it was an upsert, a group if it was a replacement."""
-        rows = self.read()
-        last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-        return rows.join(last, [*keys, "batch"], "left_semi").select(*self.schema.fieldNames())
+        return self.last(self.read(), keys).select(*self.schema.fieldNames())

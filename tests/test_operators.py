@@ -172,6 +172,32 @@ def test_ip_numbers_and_ranges(spark):
     assert spark.range(1).select(logs.ip_text(F.lit(3_232_235_777))).first()[0] == "192.168.1.1"
 
 
+def test_many_ranges_are_salted(spark, monkeypatch):
+    ranges = spark.range(300).select((F.col("id") * 70_000).alias("start_ip"), (F.col("id") * 70_000 + 60_000).alias("end_ip"), F.concat(F.lit("r"), F.col("id")).alias("region"))
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, logs.ip_text(F.col("id") % 7 * 1_000_003)).alias("ip"))
+    few = sorted(map(str, logs.located(df, ranges).collect()))
+    monkeypatch.setattr(logs, "MOST_BROADCAST", 0)
+    many = logs.located(df, ranges)
+    assert sorted(map(str, many.collect())) == few and many.count() == 2000
+
+
+def test_a_report_shares_its_sessions(spark, sf_dir, tmp_path):
+    from footfall.plans import sessions
+
+    sessions.save_report(spark, sf_dir, str(tmp_path))
+    read = lambda name: sorted(map(str, spark.read.parquet(f"{tmp_path}/{name}").collect()))
+    assert read("top_categories") == sorted(map(str, sessions.b6(spark, sf_dir).collect()))
+    assert len(read("top_sessions")) == sessions.b7(spark, sf_dir).count() and read("sample_details")
+
+
+def test_conform(spark):
+    from footfall.operators import basics
+    from footfall.sources import DEPARTMENT
+
+    got = basics.conform(spark.createDataFrame([("x", 1, 2.0)], "name string, id int, more double"), DEPARTMENT)
+    assert got.schema.names == ["id", "name"] and got.first() == (1, "x")
+
+
 def test_row_keys(spark):
     df = spark.range(1).select(F.create_map(*[F.lit(x) for x in ("s_time", "5", "u_ud", "u", "en", "e_pv")]).alias("m"))
     want = lambda e: f"5_{zlib.crc32(f'u{e}'.encode()) % 10**8}"

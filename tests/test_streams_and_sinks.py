@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from footfall import sources
 from footfall.operators import ads
@@ -61,6 +62,49 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert rows(table.latest(["k"])) == [("a", 2), ("b", 3)]
 
 
+def test_merged_batches_read_the_same(spark, tmp_path):
+    """Sums and latest rows with and without merging, at each batch and where one runs again after a merge."""
+    data = [[(f"2024-01-0{1 + i % 3}", k, i) for k in range(i % 3, 4)] for i in range(11)]
+    schema, keys = "date string, k long, n long", ["date", "k"]
+    make = lambda name, **more: sinks.Batches(spark, str(tmp_path / name), schema, **more)
+    plain, added, last = make("plain"), make("added", keys=keys, value="n", part="date", every=3), make("last", keys=keys, every=3)
+    for i, batch in enumerate(data):
+        for table in (plain, added, last):
+            for _ in range(2 if i in (5, 6) else 1):
+                table.write(spark.createDataFrame(batch, schema), i)
+        assert rows(added.summed(keys, "n")) == rows(plain.summed(keys, "n")) and rows(last.latest(keys)) == rows(plain.latest(keys))
+        assert rows(added.summed(keys, "n", before=i)) == rows(plain.summed(keys, "n", before=i))
+    assert added.folders("upto") == [5, 8] and added.folders("batch") == [-1, 6, 7, 8, 9, 10]
+
+
+def test_minutes_are_replaced(spark, tmp_path):
+    batches = [[click(1, 1), click(2, 1)], [click(3, 1), click(1, 2, 1)]]
+    job = jobs.minute_counts(spark, stream_of(spark, tmp_path / "in", batches), str(tmp_path / "out")).wait()
+    assert rows(job.tables["minutes"].latest(["date", "hour", "minute", "ad_id"])) == [("2024-01-01", "08", "00", 1, 3), ("2024-01-01", "08", "01", 2, 1)]
+
+
+def test_slides_of_ten_seconds(spark, tmp_path):
+    """Counted by slide first, the windows are those that each click is in."""
+    clicks = spark.createDataFrame([(START + timedelta(seconds=s), "p", "c", 1, s % 2) for s in (0, 3, 10, 19, 4000)], sources.AD_CLICK)
+    direct = clicks.groupBy(F.window("ts", "60 minutes", "10 seconds").alias("w"), "ad_id").agg(F.count("*").alias("n"))
+    assert rows(ads.trend(clicks)) == rows(direct.select("w.start", "w.end", "ad_id", "n"))
+    assert ads.trend(clicks).count() > 1000
+
+
+def test_console(spark, capfd):
+    sinks.to_console(spark.range(2))
+    assert "|0  |" in capfd.readouterr().out
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="share"):
+        sinks.shared_folder(Cluster())
+
+
 def test_merges(spark):
     old = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 3)], "g string, k int, n long")
     new = spark.createDataFrame([("a", 1, 10), ("c", 1, 5)], "g string, k int, n long")
