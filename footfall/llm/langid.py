@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of
+from .common import bucket_of, named_as, plain
 
 BUCKETS = 1 << 15
 PIECE, BATCH = 200_000, 400_000
@@ -177,5 +177,6 @@ def reject_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     The model is learned from the rows that have a lang, and the columns stay as they are.
     """
-    judged = predict(docs, train(docs.filter(~held_out())))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = ("doc_id", "text", "lang")
+    judged = predict(plain(docs, *same), train(docs.filter(~held_out())))
+    return named_as(judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs, *same)

@@ -51,7 +51,8 @@ def covered(keyed: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with the texts less their repeated windows, and `lines removed` at the end."""
+    """docs with the texts less their repeated windows, and `lines removed` at the end, for a column of that name."""
+    docs = docs.drop("lines removed")
     keyed = rows_with_keys(plain(docs, "doc_id", "text"))
     gone = covered(keyed).select(F.col("doc_id").alias("id of"), F.col("row key").alias("key of"), F.col("gone").alias("lines gone"))
     both = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("id of")) & (F.col("row key") == F.col("key of")), "left")

@@ -286,7 +286,8 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
-    """docs with the surrogates in their texts, and `entities replaced` at the end."""
+    """docs with the surrogates in their texts, and `entities replaced` at the end, for a column of that name."""
+    docs = docs.drop("entities replaced")
     spans = durable(finds(docs))
     each = spans.select("doc_id", "row_key", F.explode(F.array_distinct("spans")).alias("s"))
     has = lambda g: F.max(F.col("s.gender") == g)
