@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import decontam, langid, linededup, mixing, nearcopies
-from footfall.llm.common import documents, shared_folder
+from footfall.llm.common import documents, named_as, plain, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Nulls, empty and short texts stay as they are, rows that agree in id and text are changed alike,
     and an empty table gives none.
     """
-    out = linededup.drop_repeated_lines(docs)
+    same = ("doc_id", "text", "n_chars")
+    out = linededup.drop_repeated_lines(plain(docs, *same))
     length = F.when(F.col("lines removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", length).select(*docs.columns)
+    return named_as(out.withColumn("n_chars", length), docs, *same)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
