@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from footfall import functions as X
 from footfall import sources
-from footfall.operators import logins, logs
+from footfall.operators import basics, logins, logs
 from footfall.plans import views
+from footfall.sources import sinks
 
 #: Address ranges of the query: one of 8,000,000 addresses at each multiple of 9,000,000.
 RANGES, STEP, WIDTH = 478, 9_000_000, 8_000_000
@@ -28,7 +29,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = logs.parsed(lines(spark, sf_dir))
+    return log_fields(lines(spark, sf_dir))
+
+
+def log_fields(lines: DataFrame) -> DataFrame:
+    m = logs.parsed(lines)
     get = lambda k: F.try_element_at("m", F.lit(k)).alias(k)
     return m.select(*[get(k) for k in ("ip", "s_time", "en", "u_ud", "u_mid", "l", "tt", "bad")], logs.event_name(F.col("m")["en"]).alias("event"), F.size("m").alias("n_fields"))
 
@@ -74,6 +79,33 @@ def b16_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_key", *[F.try_element_at("m", F.lit(k)).alias(k) for k in names], F.size("m").alias("n_fields"))
 
 
+def from_text(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The lines (`value`) written as text files and read again."""
+    folder = sinks.shared_folder(spark)
+    lines.write.text(folder)
+    return sources.text_lines(spark, folder)
+
+
+def login_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logins as log lines."""
+    row = sources.logins(spark, sf_dir)
+    query = F.concat(F.lit("/log_login?event_name="), "event", F.lit("&org_id="), "org_id", F.lit("&l_t=2&&p_c="), "p_c", F.lit("&t="), F.unix_millis("ts"), F.lit("&uid="), "user_id")
+    return row.select(F.concat_ws("^A", F.lit("10.0.0.1"), F.unix_seconds("ts").cast("string"), F.lit(""), query).alias("value"))
+
+
+def t_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_fields(from_text(spark, lines(spark, sf_dir)))
+
+
+def t_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logins.active_users(logins.from_lines(from_text(spark, login_lines(spark, sf_dir))))
+
+
+def t_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sources.parquet(spark, sf_dir, "part").filter("p_name is not null").select(F.col("p_name").alias("value"))
+    return basics.word_count(from_text(spark, names))
+
+
 def timed(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: X.time_text(c) for c in columns})
 
@@ -84,6 +116,9 @@ def of_logins(f, *times: str):
 
 QUERIES = {
     "b16_log_fields": b16,
+    "s1_text_log_fields": t_fields,
+    "s1_text_active_users": t_users,
+    "s1_text_word_count": t_words,
     "b16_log_enriched": b16_enriched,
     "b17_row_keys": b17,
     "j7_ip_ranges": j7,
@@ -109,6 +144,7 @@ steps as (select list(c order by i) as tab from bits where k = 8)"""
 CHECKSUM = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda x: cast(ord(x) as bigint))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 100000000"
 KEY = f"cast(epoch_us(ts) // 1000000 * 1000 + 573 as varchar) || '_' || {CHECKSUM}"
 SQL = {
+    "s1_text_word_count": "select word, count(*) as n from (select unnest(string_split(p_name, ' ')) as word from part) group by word",
     "b16_log_fields": f"""select {IP} as ip, cast(epoch_us(ts) // 1000000 * 1000 + 573 as varchar) as s_time, {ALIAS} as en, cast(user_id as varchar) as u_ud, null::varchar as u_mid,
 'zh-CN' as l, 't=' || event_type as tt, null::varchar as bad, {EVENT} as event, 6 as n_fields from (select *, {ADDRESS} as n from events) where event_id % 10 <> 0""",
     "b16_log_enriched": f"""with recursive {STEPS}, r as (select * from (values {', '.join(f"({i}, '{c}', '{p}', '{t}')" for i, (_, c, p, t) in enumerate(REGIONS))}) as t(rid, country, province, city)),
@@ -133,3 +169,4 @@ select date, p_c as key, count(*) as n from logins join s using (date, user_id)
     "b26_switches_by_platform": f"{WITH} select date, org_id, p_c, count(*) as n from logins where event = 'exchange_org' group by all",
     "b27_latest_logins": f"{WITH} select date, org_id, user_id, p_c, {TIME.format('ts')} as last_login_time from logins qualify row_number() over (partition by date, org_id, user_id order by ts desc, event_id desc) = 1",
 }
+SQL |= {"s1_text_log_fields": SQL["b16_log_fields"], "s1_text_active_users": SQL["b18_active_users"]}
