@@ -10,11 +10,12 @@ Documents are dealt to blocks of bounded size by a hash of id and text. Rows tha
 more than `REPEATS` get blocks of their own, whose n-grams are the same whichever of them they hold; so
 these rows are spread at random. A block sends each n-gram that occurs in it once, in packed arrays by ranges of the n-grams' 64-bit
 hashes, so sizes are even however frequent a word is. The exchange is a tree. While blocks and ranges
-are few, it has one level: the task of a range adds up the blocks' counts and sends each block the
-totals in the order it asked. Beyond `FAN` the senders are grouped and the ranges are divided level by
+are up to `FAN`, it has one level: the task of a range adds up the blocks' counts and sends each block
+the totals in the order it asked. Beyond `FAN` the senders are grouped and the ranges are divided level by
 level: a task merges what a group of senders asks in a range, asks once for all of them, and relays
 the answers on the way back. So the rows are at most `FAN` for each block and level, the levels grow
-with the corpus' logarithm, and no task holds more than about a block or a shard.
+with the corpus' logarithm (one to about 100 GB of text, two to a thousand terabytes), and no task
+holds more than about a block or a shard.
 
 The held-out tokens' estimates are counted by eighths of powers of two, and each bucket's weights are
 fitted in a task of its own, which holds at most the steps to the power of the order.
@@ -40,7 +41,7 @@ from .common import bucket_of, durable
 
 END, START = 1, 2
 #: Characters in a block and tokens in a shard, about; senders and subranges of a task of the exchange.
-BLOCK, SHARD, FAN = 8_000_000, 1_000_000, 256
+BLOCK, SHARD, FAN = 8_000_000, 1_000_000, 16_384
 #: So many equal rows go to blocks of their own, and so many of them to each block; and the most keys of such rows that are broadcast.
 REPEATS, MOST_BROADCAST = 1000, 200_000
 #: Folds of a block: training, training and held out for the weights, not learned from.
@@ -69,19 +70,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     return durable(often.select("copy_of", (upto - F.col("many")).alias("first"), "many"))
 
 
-def dealt(docs: DataFrame, held_out: Column, blocks: int, often: DataFrame, theirs: int) -> DataFrame:
-    """(block, ids, sizes, body): some documents of a block, their lower-cased texts compressed together.
-
-    Each fold has `blocks` blocks and `theirs` more for rows that repeat often.
-    """
+def dealt(docs: DataFrame, held_out: Column, tree: Exchange, often: DataFrame) -> DataFrame:
+    """(block, ids, sizes, body): some documents of a block, their lower-cased texts compressed together."""
     fold = F.when(held_out, OTHER).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(7)) == 0, WEIGH).otherwise(LEARN)
     copy = F.xxhash64("doc_id", "text")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), fold.alias("fold"), copy.alias("copy"))
-    place = F.pmod("copy", F.lit(blocks))
-    if theirs:
-        picked = picked.join(F.broadcast(often) if theirs <= MOST_BROADCAST else often, F.col("copy") == F.col("copy_of"), "left")
-        place = F.when(F.col("copy_of").isNull(), place).otherwise(blocks + F.col("first") + F.floor(F.rand(7) * F.col("many")))
-    picked = picked.select("doc_id", "text", (F.col("fold") * (blocks + theirs) + place).cast("int").alias("block"))
+    of_fold = lambda values: F.get(F.array(*map(F.lit, values)), F.col("fold"))
+    place = F.pmod(F.col("copy"), of_fold(tree.own))
+    if tree.theirs:
+        picked = picked.join(F.broadcast(often) if tree.theirs <= MOST_BROADCAST else often, F.col("copy") == F.col("copy_of"), "left")
+        place = F.when(F.col("copy_of").isNull(), place).otherwise(of_fold(tree.own) + F.col("first") + F.floor(F.rand(7) * F.col("many")))
+    picked = picked.select("doc_id", "text", (of_fold(tree.begin) + place).cast("int").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,14 +146,23 @@ def counted(b: bytes | None, n: int) -> np.ndarray:
 
 
 class Exchange:
-    """The tree's shape: `fan` subranges of a range and `group` senders of a task, over `levels` levels."""
+    """The tree's shape: `fan` subranges of a range and `group` senders of a task, over `levels` levels.
 
-    def __init__(self, blocks: int, shards: int, most: int):
-        self.blocks, self.levels = blocks, 1
-        while most**self.levels < max(OTHER * blocks + blocks, shards):
+    Its senders are the folds' blocks: `own` of them by fold, from number `begin` on, and in each fold
+    `theirs` more for rows that repeat often.
+    """
+
+    def __init__(self, own: list[int], theirs: int, shards: int, most: int):
+        self.own, self.theirs, self.levels = own, theirs, 1
+        self.begin = [sum(own[:k]) + k * theirs for k in range(len(own))]
+        blocks = sum(own) + len(own) * theirs
+        while most**self.levels < max(blocks, shards):
             self.levels += 1
         root = lambda n: next(k for k in range(max(1, int(n ** (1 / self.levels)) - 1), n + 2) if k**self.levels >= n)
-        self.fan, self.group = root(shards), root((OTHER + 1) * blocks)
+        self.fan, self.group = root(shards), root(blocks)
+
+    def fold(self, block: int) -> int:
+        return sum(block >= b for b in self.begin[1:])
 
     def asks(self, kind: int, range_: int, level: int, sender: int, grams: np.ndarray, total: np.ndarray, held: np.ndarray) -> list[tuple]:
         """Rows of the next level for sorted grams of a range; steps between neighbours are sent."""
@@ -170,7 +178,7 @@ class Exchange:
 
     def answer(self, kind: int, range_: int, level: int, sender: int, total: np.ndarray, held: np.ndarray) -> tuple:
         """For a sender of the level below; a block gets held-out counts only if it is one of those."""
-        wanted = level > 1 or sender // self.blocks == WEIGH
+        wanted = level > 1 or self.fold(sender) == WEIGH
         return (kind, range_, sender, None, None, squeezed(total), squeezed(held) if wanted else None, None)
 
 
@@ -179,7 +187,7 @@ def asked(tree: Exchange, order: int):
 
     def run(table: pa.Table) -> pa.Table:
         block, rows = table.column("block")[0].as_py(), []
-        fold = block // tree.blocks
+        fold = tree.fold(block)
         for kind, grams in enumerate(read(table, order)[2]):
             each, n = np.unique(grams, return_counts=True)
             n, none = n.astype(np.uint64), np.zeros(len(n), np.uint64)
@@ -344,12 +352,11 @@ def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, block: int = B
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     held_out = bucket_of("doc_id", modulus) == remainder
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, shards = math.ceil((size + 1) / block), math.ceil((size + 1) / 6 / shard)
+    shares = [(1 - 1 / modulus) * 6 / 7, (1 - 1 / modulus) / 7, 1 / modulus]
     often = repeated(docs)
     theirs = often.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
-    texts = dealt(docs, held_out, blocks, often, theirs)
-    blocks += theirs
-    tree = Exchange(blocks, shards, fan)
+    tree = Exchange([math.ceil((size + 1) * s / block) for s in shares], theirs, math.ceil((size + 1) / 6 / shard), fan)
+    texts = dealt(docs, held_out, tree, often)
     asks = [texts.groupBy("block").applyInArrow(asked(tree, order), ASKED)]
     for level in range(2, tree.levels + 1):
         asks[-1] = durable(asks[-1])
@@ -363,7 +370,7 @@ def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, block: int = B
         answers = durable(asks[level - 1].groupBy("kind", "range", "to").cogroup(found).applyInArrow(relayed(tree, level), ASKED))
     answers = answers.select(F.col("to").cast("int").alias("block"), "kind", "range", "total", "held")
 
-    weigh = lambda df: df.filter(F.col("block").between(WEIGH * blocks, OTHER * blocks - 1)).groupBy("block")
+    weigh = lambda df: df.filter(F.col("block").between(tree.begin[WEIGH], tree.begin[OTHER] - 1)).groupBy("block")
     names = held_names(order)
     held = weigh(texts).cogroup(weigh(answers)).applyInArrow(held_out_counts(order, n_rest), ", ".join(f"{c} long" for c in names))
     held = held.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))

@@ -456,7 +456,8 @@ def test_lm_in_many_blocks_is_the_same(spark, docs):
 
 def test_lm_over_several_levels_is_the_same(spark, docs):
     one = {r[0]: r for r in rows(lm.scores(docs, order=3))}
-    assert lm.Exchange(31, 40, 3).levels == 5
+    tree = lm.Exchange([31, 5, 7], 2, 40, 3)
+    assert tree.levels == 4 and tree.begin == [0, 33, 40] and [tree.fold(b) for b in (0, 32, 33, 39, 40, 48)] == [0, 0, 1, 1, 2, 2]
     for r in rows(lm.scores(docs, block=40_000, shard=5_000, fan=3, order=3)):
         assert r[:5] == one[r[0]][:5] and all(math.isclose(r[k], one[r[0]][k], rel_tol=1e-9) for k in (5, 6))
 
