@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bucket_of, named_as, plain
 
 BUCKETS = 1 << 15
-PIECE, BATCH = 200_000, 400_000
+PIECE, BATCH, ROWS = 200_000, 400_000, 1000
 #: Labelled rows of each language that are learned from, at most about; a documented bound of the classifier's fit.
 SAMPLE = 5_000
 MOST_LANGUAGES = 512
@@ -94,13 +94,14 @@ def counted(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for _, some, n in slot_counts(texts):
-                    own[some] += n
+            for k in range(0, b.num_rows, ROWS):
+                by_lang: dict[str, list[str]] = {}
+                for lang, text in zip(*(b.column(c).slice(k, ROWS).to_pylist() for c in range(2)), strict=True):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, texts in by_lang.items():
+                    own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    for _, some, n in slot_counts(texts):
+                        own[some] += n
         for lang, own in total.items():
             ids = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, pa.int32()), pa.array(own[ids])], ["lang", "slot", "n"])
@@ -160,7 +161,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = shared.value
         for b in batches:
-            names, scores = score([t or "" for t in b.column(b.num_columns - 1).to_pylist()], langs, matrix)
+            names, scores = [], []
+            for k in range(0, b.num_rows, ROWS):
+                some = score([t or "" for t in b.column(b.num_columns - 1).slice(k, ROWS).to_pylist()], langs, matrix)
+                names += some[0]
+                scores += some[1]
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
