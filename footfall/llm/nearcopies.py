@@ -121,7 +121,7 @@ def similar(similarity: float):
 
 def linked(members: DataFrame, similarity: float, *task: str) -> DataFrame:
     """Edges (a, b) among the members (node, part, shingles) of each task."""
-    return members.select(*task, "node", "part", "shingles").groupBy(*task).applyInPandas(similar(similarity), "a long, b long")
+    return members.select(*task, "node", "part", "shingles").repartition(*task).groupBy(*task).applyInPandas(similar(similarity), "a long, b long")
 
 
 def search(nodes: DataFrame, n: int, similarity: float, recall: float) -> Search:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, durable
 from .prints import MASK64
 
-SMALL, CHUNK = 64, 1024
+SMALL, CHUNK = 64, 512
 #: References of a pivot table; eight coordinates share a long.
 PIVOTS = 32
 #: Keys of large buckets that may be broadcast (16 bytes each); more are joined by a shuffle.
@@ -173,7 +173,8 @@ class Search:
         dealt = deal(durable(keys.join(known, "node").withColumn("weight", F.lit(1))), CHUNK)
         cols = ["key", "lo", "hi", "node", "part", *self.lanes, *self.pivots, *(["size"] if self.alike else [])]
         run = compared(self.distance, self.limit, self.alike, self.lanes, self.pivots)
-        return dealt.select(*cols).groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+        # dealt by the pair of chunks: left to itself, Spark keeps a key's pairs together, where the join has put them
+        return dealt.select(*cols).repartition("key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def deal(members: DataFrame, most: int) -> DataFrame:
