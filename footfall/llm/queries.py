@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linededup, lm, mixing, pii, quality, simhash, urlfilter
+from . import decontam, langid, licenses, linededup, lm, mixing, pii, quality, simhash, topk, urlfilter, whitening
 from .common import documents
 
 #: Fixed values of the URL query: when which pattern was listed (days after 2024-01-01), and how.
@@ -74,6 +74,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_simhash_pivots": op1,
     "op2_language_id": op2,
@@ -85,6 +93,8 @@ QUERIES = {
     "op8_quality_fences": op8,
     "op9_license_scan": op9,
     "op10_spaced_seeds": op10,
+    "op11_pivot_search": op11,
+    "op13_whitening": op13,
 }
 
 TEMPLATES = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(licenses.all_templates()))
@@ -180,6 +190,11 @@ r as (select f.dir, file, licence, row_number() over (partition by f.dir order b
   from (select distinct dir from f) f join g on g.k = 1 and (holder = '' or f.dir = holder or starts_with(f.dir, holder || '/')))
 select doc_id, path, coalesce(own.licence, r.licence) as licence, round(cosine, 6) as cosine, case when own.rid is not null then path else r.file end as licence_from
 from f left join own on f.rid = own.rid left join r on r.k = 1 and r.dir = f.dir""",
+    "op11_pivot_search": r"""
+with e as (select row_number() over () as no, vec_id, list_transform(embedding, lambda c: cast(floor(1024 * cast(c as double)) as double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select q.no, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score from e q join e c on q.no <> c.no where q.vec_id % 100 = 0)
+select query_id, row_number() over (partition by no order by score desc, vec_id) as rank, vec_id, score from s qualify rank <= 10""",
     "op10_spaced_seeds": r"""
 with d as (select row_number() over () as rid, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from documents),
 b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from benchmark),
