@@ -1,11 +1,10 @@
 """Exact search for the highest inner products, by an index of pivot distances.
 
-Inner products become distances: with one more component floor(sqrt(M - |x|^2)), M the greatest squared
-length, every candidate has a squared length of at most M, and a query, whose extra component is 0, has
-q.x <= (|q|^2 + M - d(q, x)^2) / 2. Pivots are means of a bounded sample, and every row is keyed by its
-nearest pivot and its distance from it: the rows of one pivot within a range of distances are an annulus.
-By the triangle inequality no row of an annulus [low, high] is nearer to q than low - d(q, pivot) or
-d(q, pivot) - high, so an annulus has a highest possible product.
+Pivots are means of a bounded sample, and every row x is keyed by its nearest pivot p and its distance from
+it: the rows of one pivot within a range of distances are an annulus. An annulus knows its least and greatest
+distance and its longest row. By the triangle inequality none of its rows is nearer to a query q than
+gap = max(low - d(q, p), d(q, p) - high), so as 2 q.x = |q|^2 + |x|^2 - d(q, x)^2 no inner product is above
+(|q|^2 + longest^2 - gap^2) / 2; nor is it above q.p + |q| high, or |q| longest. The least of these is its bound.
 
 Annuli, in order, are cut into blocks of some 4,096 rows: small neighbours share one, large ones are dealt
 to many by row, so copies of one vector make no large task. Queries first probe the few best annuli, which
@@ -44,51 +43,47 @@ HITS = "query_no long, score long, id {kind}, row_no long"
 
 @dataclass
 class Annuli:
-    """Pivots with their extra component, the ranges' edges, and each annulus' bounds, first block and number of blocks."""
+    """Pivots, the ranges' edges, and each annulus' distances, longest row, first block and number of blocks."""
 
-    most: float
     pivots: np.ndarray
     edges: np.ndarray
     low: np.ndarray | None = None
     high: np.ndarray | None = None
+    longest: np.ndarray | None = None
     first: np.ndarray | None = None
     blocks: np.ndarray | None = None
 
-    def lifted(self, x: np.ndarray) -> np.ndarray:
-        y = x.astype(np.float64)
-        rest = np.sqrt(np.maximum(0, self.most - (y * y).sum(1)))
-        return np.column_stack([y, np.floor(rest)])
-
     def distances(self, y: np.ndarray) -> np.ndarray:
         squares = (y * y).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * (y @ self.pivots.T)
         return np.sqrt(np.maximum(0, squares))
 
-    def keyed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's annulus and distance from its pivot."""
-        d = self.distances(self.lifted(x))
+    def keyed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's annulus, its distance from its pivot, and its length."""
+        y = x.astype(np.float64)
+        d = self.distances(y)
         near = d.argmin(1)
         apart = d[np.arange(len(x)), near]
         ring = (apart[:, None] > self.edges[near]).sum(1)
-        return near * (self.edges.shape[1] + 1) + ring, apart
+        return near * (self.edges.shape[1] + 1) + ring, apart, np.sqrt((y * y).sum(1))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Queries by annuli: no inner product with a row of the annulus is above."""
-        y = q.astype(np.float64)
-        y = np.column_stack([y, np.zeros(len(y))])
-        d = np.repeat(self.distances(y), self.edges.shape[1] + 1, axis=1)
-        scale = (y * y).sum(1)[:, None] + self.most
-        slack = 1e-6 * np.sqrt(scale) + 1e-6 * d  # more than what rounding can take from a distance
-        gap = np.maximum(0, np.maximum(self.low - d, d - self.high) - slack)
-        return (scale - gap * gap) / 2 * (1 + 1e-9) + 1
+        y, rings = q.astype(np.float64), self.edges.shape[1] + 1
+        long = np.sqrt((y * y).sum(1))[:, None]
+        d, by_pivot = np.repeat(self.distances(y), rings, axis=1), np.repeat(y @ self.pivots.T, rings, axis=1)
+        reach = long + self.longest + self.high
+        gap = np.maximum(0, np.maximum(self.low - d, d - self.high) - 1e-6 * reach)  # more than rounding can take from a distance
+        least = np.minimum((long**2 + self.longest**2 - gap**2) / 2, np.minimum(by_pivot + long * self.high, long * self.longest))
+        return least + 1e-9 * reach**2 + 1
 
 
-def fitted(rows: DataFrame, width: int, most: float, count: int, sample: int, pivots: int, rings: int, seed: int) -> Annuli:
+def fitted(rows: DataFrame, width: int, count: int, sample: int, pivots: int, rings: int, seed: int) -> Annuli:
     """Pivots by a few rounds of means over the sample, and ranges that split its distances evenly."""
     drawn = F.pmod(F.xxhash64("row_no", F.lit(seed)), F.lit(2**40)) < 2**40 * 9 // 10 * sample // max(1, count)
     share = rows.select("x") if count <= sample else rows.filter(drawn).select("x")
     got = share.limit(sample).toArrow()["x"]
-    index = Annuli(most, np.zeros((1, width + 1)), np.zeros((1, 0)))
-    y = index.lifted(matrix(got, width))
+    index = Annuli(np.zeros((1, width)), np.zeros((1, 0)))
+    y = matrix(got, width).astype(np.float64)
     if not len(y):
         return index
     k, rng = max(1, min(pivots, int(count**0.5) // 4, len(y))), np.random.default_rng(seed)
@@ -108,7 +103,7 @@ def fitted(rows: DataFrame, width: int, most: float, count: int, sample: int, pi
 def asked(queries: DataFrame, index: Annuli, least: int | None) -> DataFrame:
     """(block, query_no, x, reach): the blocks of the annuli that may reach a query's score, of the `least` best ones if given."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
-    width = index.pivots.shape[1] - 1
+    width = index.pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -193,15 +188,14 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str =
     """
     rows = whole(df, vector).select(F.col(f"`{id_col}`").alias("id"), scaled(vector).alias("x"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = written(rows.withColumn("row_no", F.monotonically_increasing_id()))
-    squares = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    count, width, longest = rows.agg(F.count("*"), F.max(F.size("x")), F.max(squares)).first()
-    index = fitted(rows, width or 0, float(longest or 0), count, sample, pivots, rings, seed)
+    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    index = fitted(rows, width, count, sample, pivots, rings, seed)
     rows = indexed(rows, index)
     own = rows.filter("asks")
     wanted = written(own.groupBy("x").agg(F.min("row_no").alias("query_no")))  # equal queries are searched for once
     now = wanted.withColumn("reach", F.lit(None).cast("double"))
     for least in (*probes, None):
-        hits = scored(asked(now, index, least), rows, width or 0, k + 1)
+        hits = scored(asked(now, index, least), rows, width, k + 1)
         found = written(best(hits, k + 1))
         if least is not None:
             score = F.col("score").cast("double")
@@ -217,19 +211,19 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str =
 
 def indexed(rows: DataFrame, index: Annuli) -> DataFrame:
     """Every row with its block, as a table; the index learns how far each annulus reaches and which blocks it has."""
-    shared, width = rows.sparkSession.sparkContext.broadcast(index), index.pivots.shape[1] - 1
+    shared, width = rows.sparkSession.sparkContext.broadcast(index), index.pivots.shape[1]
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            annulus, apart = shared.value.keyed(matrix(b.column(1), width))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(annulus, pa.int32()), pa.array(apart)], [*b.schema.names, "annulus", "apart"])
+            annulus, apart, long = shared.value.keyed(matrix(b.column(1), width))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(annulus, pa.int32()), pa.array(apart), pa.array(long)], [*b.schema.names, "annulus", "apart", "long"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    keyed = written(rows.mapInArrow(key, f"id {kind}, x array<bigint>, asks boolean, row_no long, annulus int, apart double"))
+    keyed = written(rows.mapInArrow(key, f"id {kind}, x array<bigint>, asks boolean, row_no long, annulus int, apart double, long double"))
     n = len(index.pivots) * (index.edges.shape[1] + 1)
-    index.low, index.high, size = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
-    for r in keyed.groupBy("annulus").agg(F.min("apart").alias("low"), F.max("apart").alias("high"), F.count("*").alias("n")).collect():  # a line an annulus
-        index.low[r["annulus"]], index.high[r["annulus"]], size[r["annulus"]] = r["low"], r["high"], r["n"]
+    index.low, index.high, index.longest, size = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    for a, *distances, held in keyed.groupBy("annulus").agg(F.min("apart"), F.max("apart"), F.max("long"), F.count("*")).collect():  # a line an annulus
+        (index.low[a], index.high[a], index.longest[a]), size[a] = distances, held
     most = max(64, min(BLOCK, 2**22 // max(1, width)))
     index.first, index.blocks, block, held = np.zeros(n, np.int64), np.zeros(n, np.int64), 0, 0
     for a in np.flatnonzero(size):

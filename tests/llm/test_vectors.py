@@ -78,9 +78,9 @@ def test_annuli_bounds_hold(spark, data):
     """No row of an annulus exceeds the annulus' bound, and bounds exclude most annuli of clustered rows."""
     x = np.array([u for _, v in data if (u := units(v)) is not None and len(u) == 5])
     df = spark.createDataFrame([(i, r.tolist(), False, i) for i, r in enumerate(x)], "id long, x array<long>, asks boolean, row_no long")
-    index = topk.fitted(df, 5, float((x * x).sum(1).max()), len(x), 20_000, 16, 8, 1)
+    index = topk.fitted(df, 5, len(x), 20_000, 16, 8, 1)
     topk.indexed(df, index)
-    bound, (annulus, _) = index.bounds(x), index.keyed(x)
+    bound, (annulus, *_) = index.bounds(x), index.keyed(x)
     assert (bound[:, annulus] >= x @ x.T).all()
     reach = np.sort(x @ x.T, axis=1)[:, -11]
     assert (bound[:, index.blocks > 0] < reach[:, None]).mean() > 0.5
