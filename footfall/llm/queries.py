@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linededup, lm, mixing, pii, quality, simhash, topk, urlfilter, whitening
+from . import decontam, divergence, langid, licenses, linededup, lm, mixing, pii, quality, simhash, topk, urlfilter, whitening
 from .common import documents
 
 #: Fixed values of the URL query: when which pattern was listed (days after 2024-01-01), and how.
@@ -78,6 +78,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op9_license_scan": op9,
     "op10_spaced_seeds": op10,
     "op11_pivot_search": op11,
+    "op12_divergence_audit": op12,
     "op13_whitening": op13,
 }
 
@@ -206,4 +211,18 @@ g as (select rid, item_id, diagonal, any_value(matched) as matched, any_value(wi
 a as (select d.doc_id, g.item_id, g.matched, g.width, least(len(b.words), len(d.words) - diagonal) - greatest(0, -diagonal) as aligned
   from g join d on d.rid = g.rid join b on b.item_id = g.item_id)
 select doc_id, item_id, max(matched) as matched, max(aligned) as aligned from a where aligned >= width group by doc_id, item_id""",
+    "op12_divergence_audit": r"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term from w group by all having count(distinct rid) >= 10),
+v as (select lang, count(*) as v from k group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by all),
+m as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, v.v from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select *, 1 + cast(1000000000::hugeint * (n + 2) // (sum(n) over (partition by lang, source) + 2 * v) as bigint) as p, sum(n) over (partition by lang, term) as ln from m),
+q as (select *, 1 + cast(1000000000::hugeint * (ln + 2) // (sum(n) over (partition by lang) + 2 * v) as bigint) as q from p),
+s as (select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from q where n > 0 and p > q)
+select lang, source, part, item, value, row_number() over (partition by lang, source, part order by value desc, item) as rank from o qualify part = 'pair' or rank <= 10""",
 }
