@@ -59,17 +59,19 @@ def minute_of(time: str) -> list[Column]:
     return [X.date_text(ts).alias("date"), X.two_digits(F.hour(ts)).alias("hour"), X.two_digits(F.minute(ts)).alias("minute")]
 
 
+def slots(clicks: DataFrame, slide: str = "10 seconds") -> DataFrame:
+    """(slot, ad_id, click_count): clicks by the slide that they are in, from which windows are made."""
+    return clicks.groupBy(F.window("ts", slide).alias("w"), "ad_id").agg(F.count("*").alias("click_count")).select(F.col("w.start").alias("slot"), "ad_id", "click_count")
+
+
+def windows_of(counts: DataFrame, length: str = "60 minutes", slide: str = "10 seconds") -> DataFrame:
+    """(window_start, window_end, ad_id, click_count) over the sliding windows that each slot is in."""
+    every, whole = (F.expr(f"interval {x}") for x in (slide, length))
+    starts = F.filter(F.sequence(F.col("slot") - whole, F.col("slot"), every), lambda t: t + whole > F.col("slot"))
+    found = counts.select(F.explode(starts).alias("window_start"), "ad_id", "click_count").groupBy("window_start", "ad_id").agg(F.sum("click_count").alias("click_count"))
+    return found.select("window_start", (F.col("window_start") + whole).alias("window_end"), "ad_id", "click_count")
+
+
 def trend(clicks: DataFrame, length: str = "60 minutes", slide: str = "10 seconds") -> DataFrame:
-    """(window_start, window_end, ad_id, click_count) over sliding windows of event time.
-
-    In a batch clicks are counted by slide first, and only these counts go to the windows they are in.
-    A stream allows no second aggregation of what may still change, so there each click goes to its windows.
-    """
-    if not clicks.isStreaming:
-        every, whole = (F.expr(f"interval {x}") for x in (slide, length))
-        slots = clicks.groupBy(F.window("ts", slide)["start"].alias("slot"), "ad_id").agg(F.count("*").alias("n"))
-        starts = F.filter(F.sequence(F.col("slot") - whole, F.col("slot"), every), lambda t: t + whole > F.col("slot"))
-        found = slots.select(F.explode(starts).alias("window_start"), "ad_id", "n").groupBy("window_start", "ad_id").agg(F.sum("n").alias("click_count"))
-        return found.select("window_start", (F.col("window_start") + whole).alias("window_end"), "ad_id", "click_count")
-    found = clicks.groupBy(F.window("ts", length, slide).alias("w"), "ad_id").agg(F.count("*").alias("click_count"))
-    return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ad_id", "click_count")
+    """Clicks by ad over sliding windows of event time, counted by slide first; only these counts go to their windows."""
+    return windows_of(slots(clicks, slide), length, slide)

@@ -5,11 +5,12 @@ A line is `ip^Atime^Ahost^A/path?parameters`, where `^A` is a caret and an A.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
 from footfall import functions as X
+from footfall.sources.sinks import Batches, put_rows
 
 #: What the events' short names stand for.
 EVENTS = {"e_l": "launch event", "e_pv": "page view event", "e_crt": "charge request event", "e_cs": "charge success event", "e_cr": "charge refund event", "e_e": "event duration event"}
@@ -18,6 +19,8 @@ BROWSERS = {"Edge": r"Edge?/([\d.]+)", "Opera": r"(?:OPR|Opera)[/ ]([\d.]+)", "C
 #: Operating systems: family and the pattern of the name.
 SYSTEMS = {"iOS": r"(iPhone OS [\d_]+|CPU OS [\d_]+)", "Windows": r"(Windows(?: NT)? [\d.]+|Windows)", "OS X": r"(Mac OS X(?: [\d_.]+)?)", "Android": r"(Android(?: [\d.]+)?)", "Linux": r"(Linux)"}
 MOST_BROADCAST, SALTS = 200_000, 16
+#: Buckets of the store by row key.
+BUCKETS = 64
 UNKNOWN = "unknown"
 
 
@@ -154,3 +157,14 @@ def enriched(lines: DataFrame, ranges: DataFrame, observation: Observation | Non
     own = F.map_filter("m", lambda k, v: ~k.isin("country", "province", "city", "browser", "browser_v", "os", "os_v"))
     m = F.map_concat(own, F.map_from_entries(F.filter(more, lambda x: x["value"].isNotNull())))
     return read.select(row_key("m").alias("row_key"), m.alias("m"))
+
+
+def store(spark: SparkSession, path: str) -> Batches:
+    """A store of fields by row key in Parquet files: rows are dealt to buckets by key, and a later batch's row replaces an earlier one."""
+    return Batches(spark, path, "row_key string, m map<string, string>", ["row_key"], part="bucket", part_of=f"pmod(hash(row_key), {BUCKETS})")
+
+
+def save(fields: DataFrame, table: Batches, batch: int) -> None:
+    """One batch of (row_key, m) into the store; of lines with one key the one with the greatest fields, compared as sorted lists, stays."""
+    entries = F.array_sort(F.map_entries("m"))
+    put_rows(fields.withColumn("entries of", entries), table, batch, ["`entries of`"])

@@ -80,6 +80,7 @@ QUERIES = {
     "b14_province_top3": lambda s, d: ads.province_top(ads.running_counts(sources.ad_clicks(s, d))),
     "b15_minute_counts": lambda s, d: ads.minute_counts(sources.ad_clicks(s, d)),
     "b15_trend": lambda s, d: windows(ads.trend(sources.ad_clicks(s, d), *WINDOW)),
+    "b15_trend_10s": lambda s, d: windows(ads.trend(sources.ad_clicks(s, d))),
     "t_user_counts": t_user_counts,
     "t_blacklist": t_blacklist,
     "t_running_counts": t_running,
@@ -96,8 +97,15 @@ WITH = f"with {views.CLICKS}"
 ALL_COUNTS, BLACKLIST = f"{WITH}, {COUNTS} select * from counts", f"{WITH}, {COUNTS}, {HEAVY} select * from heavy"
 RUNNING = f"{WITH}, {PLACES} select * from places"
 TOP = f"{WITH}, {PLACES} select date, province, ad_id, cast(sum(click_count) as bigint) as click_count, row_number() over (partition by date, province order by sum(click_count) desc, ad_id) as rank from places group by date, province, ad_id qualify rank <= 3"
-TREND = f"""{WITH}, w as (select ad_id, unnest(range(0, 6)) as i, epoch_us(ts) // 600000000 as slot from clicks)
-select strftime(make_timestamp((slot - i) * 600000000), '%Y-%m-%d %H:%M:%S') as window_start, strftime(make_timestamp((slot - i + 6) * 600000000), '%Y-%m-%d %H:%M:%S') as window_end, ad_id, count(*) as click_count from w group by all"""
+
+
+def trend_sql(seconds: int) -> str:
+    """Windows of an hour that begin every so many seconds."""
+    n, step = 3600 // seconds, seconds * 1_000_000
+    return f"""{WITH}, w as (select ad_id, unnest(range(0, {n})) as i, epoch_us(ts) // {step} as slot from clicks)
+select strftime(make_timestamp((slot - i) * {step}), '%Y-%m-%d %H:%M:%S') as window_start, strftime(make_timestamp((slot - i + {n}) * {step}), '%Y-%m-%d %H:%M:%S') as window_end, ad_id, count(*) as click_count from w group by all"""
+
+
 MINUTES = f"{WITH} select {DAY}, strftime(ts, '%H') as hour, strftime(ts, '%M') as minute, ad_id, count(*) as click_count from clicks group by all"
 #: A user is listed after the batch that makes the count full, and later batches drop the user's clicks.
 FED_BACK = f"""{WITH}, {COUNTS}, batched as (select *, least((cast(date[9:10] as integer) - 1) // {DAYS}, 3) as batch from counts),
@@ -110,11 +118,12 @@ SQL = {
     "b13_running_counts": RUNNING,
     "b14_province_top3": TOP,
     "b15_minute_counts": MINUTES,
-    "b15_trend": TREND,
+    "b15_trend": trend_sql(600),
+    "b15_trend_10s": trend_sql(10),
     "t_user_counts": FED_BACK,
     "t_blacklist": BLACKLIST,
     "t_running_counts": RUNNING,
     "t_province_top3": TOP,
-    "t_trend": TREND,
+    "t_trend": trend_sql(600),
     "t_minute_counts": MINUTES,
 }

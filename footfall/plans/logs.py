@@ -74,7 +74,20 @@ def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b16_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named(logs.enriched(visits(spark, sf_dir), places(spark)))
+
+
+def b16_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched lines put into a store by row key; then page views are put again without their browser, and the store is read."""
     found = logs.enriched(visits(spark, sf_dir), places(spark))
+    table = logs.store(spark, sinks.shared_folder(spark))
+    logs.save(found, table, 0)
+    again = found.filter(F.try_element_at("m", F.lit("en")) == "e_pv")
+    logs.save(again.withColumn("m", F.map_filter("m", lambda k, v: ~k.isin("browser", "browser_v"))), table, 1)
+    return named(table.latest(["row_key"]))
+
+
+def named(found: DataFrame) -> DataFrame:
     names = ("ip", "s_time", "en", "u_ud", "l", "tt", "country", "province", "city", "browser", "browser_v", "os", "os_v")
     return found.select("row_key", *[F.try_element_at("m", F.lit(k)).alias(k) for k in names], F.size("m").alias("n_fields"))
 
@@ -120,6 +133,7 @@ QUERIES = {
     "s1_text_active_users": t_users,
     "s1_text_word_count": t_words,
     "b16_log_enriched": b16_enriched,
+    "b16_log_stored": b16_stored,
     "b17_row_keys": b17,
     "j7_ip_ranges": j7,
     "b18_active_users": of_logins(logins.active_users),
@@ -170,3 +184,5 @@ select date, p_c as key, count(*) as n from logins join s using (date, user_id)
     "b27_latest_logins": f"{WITH} select date, org_id, user_id, p_c, {TIME.format('ts')} as last_login_time from logins qualify row_number() over (partition by date, org_id, user_id order by ts desc, event_id desc) = 1",
 }
 SQL |= {"s1_text_log_fields": SQL["b16_log_fields"], "s1_text_active_users": SQL["b18_active_users"]}
+SQL["b16_log_stored"] = f"""select * replace (case when en <> 'e_pv' then browser end as browser, case when en <> 'e_pv' then browser_v end as browser_v,
+case when en = 'e_pv' and browser is not null then n_fields - 2 else n_fields end as n_fields) from ({SQL['b16_log_enriched']})"""

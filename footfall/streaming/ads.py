@@ -21,7 +21,7 @@ USER_COUNTS = "date string, user_id long, ad_id long, click_count long"
 PLACE_COUNTS = "date string, province string, city string, ad_id long, click_count long"
 TOP = "date string, province string, ad_id long, click_count long, rank int"
 MINUTES = "date string, hour string, minute string, ad_id long, click_count long"
-TREND = "window_start timestamp, window_end timestamp, ad_id long, click_count long"
+SLOTS = "slot timestamp, ad_id long, click_count long"
 
 
 @dataclass
@@ -29,7 +29,7 @@ class Job:
     """A streaming query and the tables that it fills."""
 
     query: StreamingQuery
-    tables: dict[str, Batches]
+    tables: dict[str, Batches | Trend]
 
     def wait(self, seconds: int | None = None) -> Job:
         """Until the query ends; its error, if any, is raised."""
@@ -74,7 +74,7 @@ def running_counts(spark: SparkSession, clicks: DataFrame, folder: str, late: st
     Days leave the state when the watermark has passed them; later clicks of these days are dropped.
     """
     keys, group = ["date", "province", "city", "ad_id"], ["date", "province"]
-    tables = {"counts": Batches(spark, f"{folder}/place_counts", PLACE_COUNTS, keys, part="date"), "top": Batches(spark, f"{folder}/province_top", TOP, group)}
+    tables = {"counts": Batches(spark, f"{folder}/place_counts", PLACE_COUNTS, keys, part="date"), "top": Batches(spark, f"{folder}/province_top", TOP, group, part="date")}
     day = F.window("ts", "1 day").alias("day")
     counted = clicks.withWatermark("ts", late).groupBy(day, "province", "city", "ad_id").agg(F.count("*").alias("click_count"))
     counted = counted.select(X.date_text("day.start").alias("date"), "province", "city", "ad_id", "click_count")
@@ -97,7 +97,25 @@ def minute_counts(spark: SparkSession, clicks: DataFrame, folder: str, late: str
     return Job(started(counted, lambda df, batch: tables["minutes"].write(df, batch), folder, "minutes", "update", every), tables)
 
 
+@dataclass
+class Trend:
+    """Counts by slide, and the windows that they make when they are read."""
+
+    slots: Batches
+    length: str
+    slide: str
+
+    def latest(self, keys: list[str] | None = None) -> DataFrame:
+        """(window_start, window_end, ad_id, click_count), a row for each window and ad."""
+        return ads.windows_of(self.slots.latest(["slot", "ad_id"]), self.length, self.slide)
+
+
 def trend(spark: SparkSession, clicks: DataFrame, folder: str, length: str = "60 minutes", slide: str = "10 seconds", late: str = "10 minutes", every: str | None = None) -> Job:
-    """Clicks by ad in sliding windows; all clicks count, blacklisted users' too."""
-    tables = {"trend": Batches(spark, f"{folder}/trend", TREND, ["window_start", "window_end", "ad_id"])}
-    return Job(started(ads.trend(clicks.withWatermark("ts", late), length, slide), lambda df, batch: tables["trend"].write(df, batch), folder, "trend", "update", every), tables)
+    """Clicks by ad in sliding windows; all clicks count, blacklisted users' too.
+
+    State and table have one count for each slide and ad; a click at a slide of ten seconds is in 360
+    windows of an hour, which are only made when they are read.
+    """
+    table = Batches(spark, f"{folder}/slots", SLOTS, ["slot", "ad_id"], part="day", part_of="date_format(slot, 'yyyy-MM-dd')")
+    counted = ads.slots(clicks.withWatermark("ts", late), slide)
+    return Job(started(counted, lambda df, batch: table.write(df, batch), folder, "trend", "update", every), {"trend": Trend(table, length, slide)})
