@@ -3,8 +3,10 @@
 Notices and headings of licences are templates. What is compared with them are units of a text: runs
 of up to `RUN` neighbouring segments (cut at line ends and after sentences, so a header may be
 wrapped), paragraphs (cut at lines without a letter or digit, such as a lone comment mark), and the
-whole text of a licence file. The best unit counts. An SPDX line names its licence itself and goes
-before all. A file without a licence of its own takes that of the licence file in its directory, or
+whole text of a licence file. Grants that licences share decide nothing between them: of the templates that
+some unit reaches, those that tell more (`TELLS`) go first, such as the clause that only the longer licence
+has, then the best cosine counts. Units that deny a licence are skipped. An SPDX line names its licence
+itself, as a whole expression, and goes before all. A file without a licence of its own takes that of the licence file in its directory, or
 else in the nearest directory above.
 
 A term's document frequency is taken over all documents; terms that no template has get the weight
@@ -51,10 +53,15 @@ NOTICES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("MIT", "The MIT License"),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT-0", "MIT No Attribution"),
+    ("MIT-0", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.'),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -74,10 +81,23 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Where a text has several notices, one that tells more goes before others: 2 for what only one licence has, 1 for
+#: what a licence has and a longer one adds to, 0 for the rest, such as grants that several licences share.
+TELLS = {
+    "BSD 2-Clause License": 2, "BSD 3-Clause License": 2, "MIT No Attribution": 2,
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": 2,
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.": 1,
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.": 1,
+}
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 SEGMENT_END, BLANK, RUN = r"\n|(?<=[.!?])\s+", r"\n[^\p{L}\p{N}\n]*\n", 4
-SPDX = r"SPDX-License-Identifier:[ \t]*\(?([0-9A-Za-z.+-]+)"
+#: A unit that says so is no notice: "not licensed under", "never been released under".
+DENIED = r"(?i)\b(not|never|no longer)\s+((been|being|be|currently|yet)\s+)?(licen[sc]ed|released|distributed)\b"
+_ONE = r"\(*[0-9A-Za-z](?:[0-9A-Za-z.+-]*[0-9A-Za-z+])?\)*"
+SPDX = rf"SPDX-License-Identifier:[ \t]*({_ONE}(?:[ \t]+(?:OR|AND|WITH|or|and|with)[ \t]+{_ONE})*)"
 COSINE = 0.75
+#: Characters beyond which a unit isn't skipped for one denial somewhere in it.
+LONG_UNIT = 1000
 #: Files with a licence, or directories with one, that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -89,6 +109,17 @@ def all_templates(templates: Mapping[str, str] | Iterable[tuple[str, str]] | Non
     return list(templates.items() if isinstance(templates, Mapping) else templates)
 
 
+def tells(text: str) -> int:
+    return TELLS.get(text, 0)
+
+
+def expression(text: Column) -> Column:
+    """The whole expression of the first SPDX line, with single spaces, or ''; brackets that don't pair are left out."""
+    found = F.regexp_replace(F.regexp_extract(text, SPDX, 1), r"[ \t]+", " ")
+    count = lambda mark: F.length(found) - F.length(F.replace(found, F.lit(mark), F.lit("")))
+    return F.when(count("(") == count(")"), found).otherwise(F.translate(found, "()", ""))
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -147,6 +178,7 @@ def units(texts: DataFrame, cues: set[str]) -> DataFrame:
     parts = F.filter(F.split("text", BLANK), has)
     whole = F.when(F.coalesce(F.col("file").rlike(LICENCE_FILE), F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
     each = split.select("row_no", F.explode(F.array_distinct(F.concat(runs, parts, whole))).alias("unit"))
+    each = each.filter(~F.col("unit").rlike(DENIED) | (F.length("unit") > LONG_UNIT))
     return each.select("row_no", F.xxhash64("unit").alias("unit"), F.explode(F.array(terms(F.col("unit")))).alias("terms"))
 
 
@@ -170,11 +202,12 @@ def own_licences(texts: DataFrame, templates: list[tuple[str, str]], least: floa
     sums = sums.groupBy("row_no", "unit", "p.k").agg(F.sum(F.col("w") * F.col("p.weight")).alias("dot"))
     is_norm = F.col("k") < 0
     dotted = sums.groupBy("row_no", "unit").agg(F.sqrt(F.max(F.when(is_norm, F.col("dot")))).alias("norm"), F.collect_list(F.when(~is_norm, F.struct("k", "dot"))).alias("dots"))
-    name = F.array(*[F.lit(licence) for licence, _ in templates])
-    best = F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["dot"] / F.col("norm"), 9).alias("cosine"), F.get(name, d["k"]).alias("licence"))))
-    found = dotted.select("row_no", best.alias("best")).groupBy("row_no").agg(F.max("best").alias("best"))
-    found = found.select("row_no", "best.cosine", "best.licence").filter(F.col("cosine") >= least)
-    tag = texts.select("row_no", F.lit(1.0).alias("cosine"), F.regexp_extract("text", SPDX, 1).alias("licence")).filter("licence <> ''")
+    name, more = F.array(*[F.lit(licence) for licence, _ in templates]), F.array(*[F.lit(tells(t)) for _, t in templates])
+    each = F.transform("dots", lambda d: F.struct(F.get(more, d["k"]).alias("tells"), F.round(d["dot"] / F.col("norm"), 9).alias("cosine"), F.get(name, d["k"]).alias("licence")))
+    best = F.array_max(F.filter(each, lambda x: x["cosine"] >= least))
+    found = dotted.select("row_no", best.alias("best")).filter("best is not null").groupBy("row_no").agg(F.max("best").alias("best"))
+    found = found.select("row_no", "best.cosine", "best.licence")
+    tag = texts.select("row_no", F.lit(1.0).alias("cosine"), expression(F.col("text")).alias("licence")).filter("licence <> ''")
     both = found.select("row_no", F.struct(F.lit(0).alias("tag"), "cosine", "licence").alias("best")).union(tag.select("row_no", F.struct(F.lit(1), "cosine", "licence")))
     return both.groupBy("row_no").agg(F.max("best").alias("best")).select("row_no", "best.cosine", "best.licence")
 

@@ -102,7 +102,7 @@ QUERIES = {
     "op13_whitening": op13,
 }
 
-TEMPLATES = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(licenses.all_templates()))
+TEMPLATES = ", ".join(f"({i}, '{k}', '{t}', {licenses.tells(t)})" for i, (k, t) in enumerate(licenses.all_templates()))
 SQL = {
     "op6_line_windows": r"""
 with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
@@ -164,8 +164,8 @@ select l.doc_id, l.lang, l.source, n_words, word_chars, n_symbols, n_dup_lines,
   and coalesce(word_length <= length_high, true) and coalesce(word_length >= length_low, true) as kept
 from l left join g on g.level = l.level and (l.level = 'all' or g.lang is not distinct from l.lang) and (l.level <> 'source' or g.source is not distinct from l.source)""",
     "op9_license_scan": rf"""
-with tw as (select tid, licence, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+')) as term
-  from (values {TEMPLATES}) as t(tid, licence, body)),
+with templates as (select * from (values {TEMPLATES}) as t(tid, licence, body, tells)),
+tw as (select tid, licence, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+')) as term from templates),
 tt as (select tid, licence, term, count(*) as tf from tw group by all),
 d as (select row_number() over () as rid, doc_id, text, array_to_string(list_concat([source],
   ['a' || doc_id % 7, 'b' || doc_id // 7 % 5, 'c' || doc_id // 35 % 3][1:doc_id % 4], [case when doc_id % 20 = 0 then 'LICENSE' else doc_id || '.txt' end]), '/') as path from documents),
@@ -179,16 +179,17 @@ e as (select rid, segments, unnest(range(1, len(segments) + 1)) as j from s),
 x as (select rid, array_to_string(segments[j:j + k - 1], ' ') as unit from e, range(1, {licenses.RUN + 1}) as r(k) where j + k - 1 <= len(segments)
   union all select rid, unnest(regexp_split_to_array(text, '{licenses.BLANK}')) from d
   union all select rid, text from f where regexp_matches(path, '{licenses.LICENCE_FILE}')),
-u as (select row_number() over () as uid, rid, unit from (select distinct rid, unit from x)),
+u as (select row_number() over () as uid, rid, unit from (select distinct rid, unit from x) where not regexp_matches(unit, '{licenses.DENIED}') or length(unit) > {licenses.LONG_UNIT}),
 sw as (select uid, unnest(regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+')) as term from u),
 st as (select uid, term, count(*) as tf from sw group by all),
 sn as (select uid, sqrt(sum(pow(tf * coalesce(idf, ln(n + 1) + 1), 2))) as norm from st left join i using (term), n group by uid),
 c as (select uid, tid, licence, sum(st.tf * idf * tt.tf * idf) as dot from st join i using (term) join tt using (term) group by uid, tid, licence),
-b as (select u.rid, licence, round(dot / sn.norm / tn.norm, 9) as cosine, row_number() over (partition by u.rid order by round(dot / sn.norm / tn.norm, 9) desc, licence desc) as k
-  from c join sn using (uid) join tn using (tid) join u using (uid)),
-tags as (select rid, regexp_extract(text, '{licenses.SPDX}', 1) as tag from d),
+r0 as (select u.rid, c.licence, tells, round(dot / sn.norm / tn.norm, 9) as cosine from c join sn using (uid) join tn using (tid) join u using (uid) join templates using (tid)),
+b as (select rid, licence, cosine, row_number() over (partition by rid order by tells desc, cosine desc, licence desc) as k from r0 where cosine >= {licenses.COSINE}),
+t0 as (select rid, regexp_replace(regexp_extract(text, '{licenses.SPDX}', 1), '[ \t]+', ' ', 'g') as tag from d),
+tags as (select rid, case when length(replace(tag, '(', '')) = length(replace(tag, ')', '')) then tag else translate(tag, '()', '') end as tag from t0),
 own as (select rid, case when tag <> '' then tag else licence end as licence, case when tag <> '' then 1.0 else cosine end as cosine
-  from tags left join (select * from b where k = 1 and cosine >= {licenses.COSINE}) using (rid) where tag <> '' or licence is not null),
+  from tags left join (select * from b where k = 1) using (rid) where tag <> '' or licence is not null),
 g as (select dir as holder, path as file, licence, row_number() over (partition by dir order by cosine desc, path, licence) as k
   from f join own using (rid) where regexp_matches(path, '{licenses.LICENCE_FILE}')),
 r as (select f.dir, file, licence, row_number() over (partition by f.dir order by length(holder) desc) as k

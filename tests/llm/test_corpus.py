@@ -691,7 +691,7 @@ def test_notices_however_they_are_written(spark):
     made = [
         ("a/x.py", f"# Copyright 2020\n#\n{wrap(notice['Apache-2.0'][1], 9, '# ')}\n#\n{code}", "Apache-2.0"), ("b/LICENSE", mit, "MIT"), ("c/COPYING", gpl, "GPL-3.0"), ("d/LICENSE", apache, "Apache-2.0"),
         ("e/y.c", f"/*\n{wrap(licenses.TEMPLATES['GPL-3.0'], 8, ' * ')}\n */\n{code}", "GPL-3.0"), ("f/z.c", f"{code}\n{wrap(licenses.TEMPLATES['BSD-3-Clause'], 6, '// ')} \n{code}", "BSD-3-Clause"),
-        ("g/s.rs", f"// SPDX-License-Identifier: Zlib\n{code}", "Zlib"), ("h/t.rs", f"// SPDX-License-Identifier: (MIT OR Apache-2.0)\n{code}", "MIT"), ("i/LICENSE", wrap(notice["ISC"][0], 11, ""), "ISC"),
+        ("g/s.rs", f"// SPDX-License-Identifier: Zlib\n{code}", "Zlib"), ("h/t.rs", f"// SPDX-License-Identifier: (MIT OR Apache-2.0)\n{code}", "(MIT OR Apache-2.0)"), ("i/LICENSE", wrap(notice["ISC"][0], 11, ""), "ISC"),
         ("j/UNLICENSE", notice["Unlicense"][0] + "\n\nAnyone is free to use it.", "Unlicense"), ("k/v.py", f"{wrap(notice['AGPL-3.0'][1], 10, '# ')}\n{code}", "AGPL-3.0"), ("l/w.py", f"{wrap(notice['LGPL-3.0'][1], 10, '# ')}\n{code}", "LGPL-3.0"),
         ("m/n.txt", "We drove with a licence to the public house.\nThe software was general.\n" * 50, None), ("n/code.py", code * 100, None),
     ]
@@ -701,6 +701,42 @@ def test_notices_however_they_are_written(spark):
     assert {r.path: r.licence for r in found} == {p: w for p, _, w in made} and all(r[c] == c for r in found for c in names)
 
 
+def test_licences_that_share_text(spark):
+    """Whole files of licences whose grants are the same or nearly so, with and without headings; expressions; denials."""
+    copyright = "Copyright (c) 2019, Some Holder\nAll rights reserved.\n\n"
+    grant = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    source = "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+    binary = "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    neither = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+    as_is = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.\n'
+    notice = dict(licenses.NOTICES[::-1])
+    texts_of = {}
+    for k, t in licenses.NOTICES:
+        texts_of.setdefault(k, []).append(t)
+    mit, mit0, keep = texts_of["MIT"][1], texts_of["MIT-0"][1], texts_of["MIT"][2]
+    wrap = lambda t, n=10: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    gnu = {k: f"{' ' * 20}{t.split(' Version')[0]}\n{' ' * 23}Version{t.split(' Version')[1]}\n\n Copyright (C) Somebody\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n" for k, t in licenses.NOTICES if t.startswith("GNU ")}
+    also = "The GNU General Public License does not permit this; use the GNU Lesser General Public License instead of this License.\n"
+    line = "x SPDX-License-Identifier: {}\ncode"
+    made = [
+        ("BSD 2-Clause License\n\n" + copyright + grant + source + binary + as_is, "BSD-2-Clause"), (copyright + grant + source + binary + as_is, "BSD-2-Clause"),
+        ("BSD 3-Clause License\n\n" + copyright + grant + source + binary + neither + as_is, "BSD-3-Clause"), (copyright + grant + source + binary + neither + as_is, "BSD-3-Clause"),
+        ("MIT License\n\n" + copyright + wrap(mit) + "\n\n" + wrap(keep) + "\n\n" + as_is, "MIT"), (copyright + wrap(mit) + "\n\n" + wrap(keep) + "\n\n" + as_is, "MIT"),
+        ("MIT No Attribution\n\n" + copyright + wrap(mit0) + "\n\n" + as_is, "MIT-0"), (copyright + wrap(mit0) + "\n\n" + as_is, "MIT-0"),
+        ("ISC License\n\n" + copyright + wrap(notice["ISC"]) + "\n\n" + as_is, "ISC"), ("Zero-Clause BSD\n\n" + copyright + wrap(notice["0BSD"]) + "\n\n" + as_is, "0BSD"),
+        *[(t + also, k) for k, t in gnu.items()],
+        *[(wrap(t), k) for k, t in licenses.NOTICES if t.startswith("This program is free")],
+        (line.format("MIT."), "MIT"), (line.format("Apache-2.0 OR  MIT"), "Apache-2.0 OR MIT"), (line.format("GPL-2.0-only WITH Classpath-exception-2.0."), "GPL-2.0-only WITH Classpath-exception-2.0"),
+        (line.format("(MIT AND BSD-2-Clause) OR GPL-2.0+"), "(MIT AND BSD-2-Clause) OR GPL-2.0+"), ("(SPDX-License-Identifier: MIT)", "MIT"), (line.format("LicenseRef-own-1.2 and code"), "LicenseRef-own-1.2 and code"),
+        ("Not licensed under the Apache License, Version 2.0", None), ("This file is not released under the MIT License.", None), ("It has never been licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", "MIT"),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/LICENSE", t, w) for i, (t, w) in enumerate(made)], "id int, path string, text string, want string")
+    filler = spark.createDataFrame([(1000 + i, f"e/{i}.txt", f"words of all kinds {i} and the other of this in use for source", None) for i in range(60)], df.schema)
+    found = licenses.scan(df.union(filler)).collect()
+    assert {r.id: r.licence for r in found if r.id < 1000} == {i: w for i, (_, w) in enumerate(made)}
+    assert all(r.licence is None for r in found if r.id >= 1000)
+
+
 def test_every_window_with_two_errors_is_hit():
     from itertools import combinations
 
