@@ -1,14 +1,19 @@
 """Personal data: every entity gets a keyed surrogate of its own kind and shape.
 
-Found are e-mail addresses, telephone numbers, card numbers that pass the Luhn check, IPv4 and IPv6
-addresses, social security numbers, secrets (long hex strings, access keys with a known prefix) and
-persons: names of one to four words after a title, with `Mc`, `O'`, `van` and the like. In a text
-with such a name the same full name and the same family name are found without a title, too. Names in
-scripts without case, and names that no title introduces anywhere in the text, are not found.
+Found are e-mail addresses, telephone numbers, card numbers that pass the Luhn check, bank accounts (IBAN)
+that pass theirs, IPv4 and IPv6 addresses, social security numbers, secrets (long hex strings, access keys with a
+known prefix) and persons: names of one to four words after a title or several, with initials, `Mc`, `O'`, `van`
+and the like, or two words in capitals after a title in capitals. White space is any, and a title
+may be at the end of a line. In a text with such a name the same full name, its family name and its first given
+name are found without a title, too; a given name of two persons counts as the first one's. Names in
+scripts without case, and names that no title introduces anywhere in the text, are not found. Telephone numbers
+begin with a plus or 00, have an area code with a nought or in brackets, are of the shape 555-123-4567,
+or follow a word such as `tel`; other groups of digits, such as years, are not.
 
 A surrogate is drawn from a keyed hash of the entity's canonical form: letters stay letters of the
-same script and case, digits stay digits, hex stays hex, separators and known prefixes stay; card
-numbers still pass the Luhn check, addresses stay valid. The canonical form has no title, separators
+same script and case, digits stay digits, hex stays hex, separators and known prefixes stay; cards keep their issuer
+and telephones and accounts their country; cards and accounts still pass their checks; addresses
+stay valid and in their private range, while that has any left. The canonical form has no title, separators
 or case where these don't distinguish, so one entity gets one surrogate however it is written.
 
 A person's given and family names have surrogates of their own, the family name one for all who bear
@@ -56,9 +61,33 @@ PARTICLES = ["van", "von", "de", "der", "den", "da", "di", "la", "le", "dos", "d
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-"]
 
 UPPER, LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΆΈ-ΏΑ-Ω", "a-zß-öø-ÿа-яёάέ-ώα-ω"
+SPACE = r"[^\S\n]+"
+#: White space that may end a line, but no paragraph.
+GAP = r"(?:[^\S\n]+(?:\n[^\S\n]*)?|\n[^\S\n]*)"
 PART = rf"(?:(?:Mc|Mac|O['’]|D['’])(?=[{UPPER}]))?[{UPPER}][{LOWER}]+"
 NAME = rf"{PART}(?:-{PART})?"
-NAMES = rf"{NAME}(?:[ ]{NAME}|(?:[ ](?:{'|'.join(PARTICLES)}))+[ ]{NAME}){{0,3}}"
+INITIALS = rf"[{UPPER}]\.(?:[^\S\n]?[{UPPER}]\.)*"
+NAMES = rf"(?:{INITIALS}{SPACE})?{NAME}(?:{SPACE}(?:{INITIALS}{SPACE})?{NAME}|(?:{SPACE}(?:{'|'.join(PARTICLES)}))+{SPACE}{NAME}){{0,3}}"
+CAPITALS = rf"[{UPPER}]{{2,}}(?:[-'’][{UPPER}]{{2,}})?"
+ALL_TITLES = [t for v in TITLES.values() for t in v]
+DEGREES = r"(?:-Ing\.)?(?:[^\S\n]*(?:med|phil|rer|nat|jur|ing|pol|oec|vet|dent|habil|h|c)\.)*"
+INTRODUCED = [
+    re.compile(rf"(?<!\w)((?:(?:{'|'.join(ALL_TITLES)})\.?{DEGREES}{GAP})+)({NAMES})(?!\w)"),
+    re.compile(rf"(?<!\w)((?:(?:{'|'.join(t.upper() for t in ALL_TITLES)})\.?{GAP})+)({CAPITALS}(?:{SPACE}{CAPITALS})?)(?!\w)"),
+]
+#: Country codes of telephones with one or two digits; all others have three.
+COUNTRIES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+#: Telephone numbers, the number as the group: with a country, with an area code, of American shape, after a word.
+PHONES = [
+    re.compile(r"(?<![\w+])((?:\+|00)[1-9](?:[ ./-]?\(?\d+\)?)+)(?![\w-])"),
+    re.compile(r"(?<![\w+])(\(0?\d{2,4}\)[ ./-]?\d{3,4}[ .-]?\d{3,5})(?![\w-])"),
+    re.compile(r"(?<![\w+.,/-])(0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-])"),
+    re.compile(r"(?<![\w+.,-])(\d{3}([.-])\d{3}\2\d{4})(?![\w-])"),
+    re.compile(r"(?i)(?<!\w)(?:tel|telephone|phone|call|fax|mobile|cell|mobil|telefon|téléphone|teléfono|móvil)\.?:?[^\S\n]{1,2}(\(?\d{2,5}\)?(?:[ ./-]?\d{2,5}){1,3})(?![\w-])"),
+]
+#: What every telephone number has; texts without it are not searched for any.
+DIGITS = re.compile(r"\d[\d ()./-]{5,}")
+YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 HEX4 = r"[0-9A-Fa-f]{1,4}"
 KINDS = {
@@ -67,15 +96,15 @@ KINDS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "ip6": rf"(?<![\w:.])(?:(?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}:){{1,6}}(?::{HEX4}){{1,6}}|(?:{HEX4}:){{2,7}}:)(?![\w:.])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d.]\d|\d)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?!\w)",
     "card": r"(?<![\d-])(?:3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\d-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?![\w-])",
-    "person": rf"(?<!\w)({'|'.join(t for v in TITLES.values() for t in v)})\.?[ ]({NAMES})(?!\w)",
+    "phone": PHONES[0].pattern,
+    "person": INTRODUCED[0].pattern,
 }
 FINDERS = {k: re.compile(p) for k, p in KINDS.items()}
 #: What a text must contain for a kind to be searched in it.
-HINTS = {"email": ["@"], "token": PREFIXES, "ip6": [":"], "ip": ["."], "ssn": ["-"], "person": [t for v in TITLES.values() for t in v]}
-BARE = re.compile(rf"(?<!\w){NAME}(?!\w)")
+HINTS = {"email": ["@"], "token": PREFIXES, "ip6": [":"], "ip": ["."], "ssn": ["-"], "person": [*ALL_TITLES, *map(str.upper, ALL_TITLES)]}
 #: First and last letters of scripts, small ones where there is case.
 SCRIPTS = ["az", "ая", "αω", "աֆ", "את", "ابي", "अह", "กฮ", "აჰ", "ぁん", "ァン", "가힣", "一龥"]
 #: Entities with their surrogates that may be broadcast, and rows to leave alone or change; more are joined by a shuffle.
@@ -88,12 +117,47 @@ def luhn(digits: str) -> bool:
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def sums_up(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def cased(word: str) -> str:
+    """A word in capitals as it is usually written."""
+    return word.title() if len(word) > 1 and word.isupper() and "." not in word else word
+
+
 def canonical(kind: str, found: str) -> str:
-    if kind in ("card", "phone", "ssn"):
+    if kind == "phone":
+        digits = re.sub(r"\D", "", found)
+        return "+" + digits.removeprefix("00") if found.startswith(("+", "00")) else digits
+    if kind in ("card", "ssn"):
         return re.sub(r"\D", "", found)
+    if kind == "iban":
+        return found.replace(" ", "")
+    if kind in ("given", "family"):
+        return " ".join(map(cased, found.split()))
     return found.lower() if kind in ("email", "secret", "ip6") else found
 
 
+def phones(text: str) -> list[tuple[int, int, str, str, str, str]]:
+    out = []
+    for n, finder in enumerate(PHONES if DIGITS.search(text) else ()):
+        for m in finder.finditer(text):
+            digits = re.sub(r"\D", "", m[1])
+            if 7 <= len(digits) - 2 * (n == 0 and m[1][0] == "0") <= 15 and not (n in (2, 4) and YEAR.search(m[1])):
+                out.append((*m.span(1), "phone", m[1], canonical("phone", m[1]), "n"))
+    return apart(sorted(out, key=lambda x: (x[0], -x[1])))
+
+
+def apart(finds: list[tuple]) -> list[tuple]:
+    """The finds that don't begin before an earlier one ends."""
+    out: list[tuple] = []
+    for x in finds:
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
+
+
 def divided(name: str) -> tuple[str, str]:
     """Given and family names; particles belong to the family name, and so does a name of one word."""
     words = name.split(" ")
@@ -101,34 +165,43 @@ def divided(name: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
-def gender_of(title: str, given: str) -> str:
-    first = given.split(" ")[0]
-    own = [g for g in "mf" if title in TITLES[g]] or [g for g, script in GIVEN if first in GIVEN[g, script]]
+def gender_of(titles: str, given: str) -> str:
+    first, words = given.split(" ")[0], {cased(w) for w in re.findall(r"\w+", titles)}
+    own = [g for g in "mf" if words & set(TITLES[g])] or [g for g, script in GIVEN if first in GIVEN[g, script]]
     return own[0] if own else "n"
 
 
 def persons(text: str) -> list[tuple[int, int, str, str, str, str]]:
-    """Names that a title introduces, and these and their family names wherever else they are in the text."""
+    """Names that a title introduces, and these, their family and first given names wherever else they are in the text."""
     genders: dict[str, str] = {}
-    for m in FINDERS["person"].finditer(text):
-        given, family = divided(m[2])
-        if genders.get(m[2], "n") == "n":
-            genders[m[2]] = gender_of(m[1], given)
-        genders.setdefault(family, "n")
-    by_last: dict[str, list[str]] = {}
-    for name in sorted(genders, key=len, reverse=True):
-        by_last.setdefault(name.split(" ")[-1], []).append(name)
+    for finder in INTRODUCED:
+        for m in finder.finditer(text):
+            name = canonical("family", m[2])
+            if genders.get(name, "n") == "n":
+                genders[name] = gender_of(m[1], divided(name)[0])
+    forms: dict[str, tuple[str, str]] = {}
+    for name in genders:
+        forms[name] = ("full", name)
+    for name in genders:
+        forms.setdefault(divided(name)[1], ("family", divided(name)[1]))
+    for name in genders:
+        first = divided(name)[0].split(" ")[0]
+        if len(first) > 2 and "." not in first:
+            forms.setdefault(first, ("given", name))
+    if not forms:
+        return []
+    spelt = {v for form in forms for v in (form, form.upper())}
+    known = re.compile(r"(?<![\w-])(?:" + "|".join(GAP.join(map(re.escape, v.split(" "))) for v in sorted(spelt, key=lambda v: (-len(v), v))) + r")(?![\w-])")
     out = []
-    for m in BARE.finditer(text) if genders else ():
-        for name in by_last.get(m[0], ()):
-            s = m.end() - len(name)
-            if s >= 0 and text.startswith(name, s) and not re.match(r"\w", text[s - 1 : s]):
-                given, family = divided(name)
-                if given:
-                    out.append((s, s + len(given), "given", given, name, genders[name]))
-                    s += len(given) + 1
-                out.append((s, m.end(), "family", family, family, "n"))
-                break
+    for m in known.finditer(text):
+        how, name = forms[canonical("family", m[0])] if canonical("family", m[0]) in forms else forms[next(f for f in forms if f.upper() == " ".join(m[0].split()))]
+        given, family = divided(name)
+        words = [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"\S+", m[0])]
+        n = len(words) if how == "given" else len(given.split()) if how == "full" else 0
+        for kind, some, canon, gender in (("given", words[:n], name, genders.get(name, "n")), ("family", words[n:], family, "n")):
+            if some:
+                s, e = some[0][0], some[-1][1]
+                out.append((s, e, kind, text[s:e], canon, gender))
     return out
 
 
@@ -139,11 +212,11 @@ def found_in(text: str) -> list[tuple[int, int, str, str, str, str]]:
     for kind, finder in FINDERS.items():
         if not any(h in text for h in HINTS.get(kind, [""])):
             continue
-        if kind == "person":
-            finds = persons(text)
+        if kind in ("person", "phone"):
+            finds = persons(text) if kind == "person" else phones(text)
         else:
             finds = [(*m.span(), kind, m[0], canonical(kind, m[0]), "n") for m in finder.finditer(text)]
-            finds = [x for x in finds if kind != "ip6" or re.search(r"\d", x[4])]
+            finds = [x for x in finds if (kind != "ip6" or re.search(r"\d", x[4])) and (kind != "iban" or sums_up(x[4]))]
         own, at = [], 0
         for x in finds:
             while at < len(taken) and taken[at][1] <= x[0]:
@@ -185,12 +258,24 @@ def given_names(canon: str, scope: str, gender: str, attempt: int, draw: Iterato
     script = "cyrillic" if re.search("[А-яЁё]", own) else "greek" if re.search("[Ά-ώ]", own) else "latin"
     pool = GIVEN.get((gender, script)) or GIVEN["m", script] + GIVEN["f", script]
     while True:
-        new = [pool[next(draw) % len(pool)] for _ in own.split(" ")]
-        new[-1] = "-".join([new[-1], *[pool[next(draw) % len(pool)] for _ in range(attempt // LONGER)]])
+        new = ["".join(like(c, draw) for c in w) if "." in w else pool[next(draw) % len(pool)] for w in own.split(" ")]
+        more = [pool[next(draw) % len(pool)] for _ in range(attempt // LONGER)]
+        new[-1] = new[-1] + "".join(f"{x[0]}." for x in more) if "." in new[-1] else "-".join([new[-1], *more])
         if " ".join(new) != own:
             return " ".join(new)
 
 
+def private(address: str) -> list[str]:
+    """The leading octets that make an address private, local or shared."""
+    a, b = address.split(".")[:2]
+    pair = (a, b) in (("192", "168"), ("169", "254")) or a == "172" and 16 <= int(b) < 32 or a == "100" and 64 <= int(b) < 128
+    return [a] if a in ("10", "127", "0") else [a, b] if pair else []
+
+
+def country(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRIES), digits[:3])
+
+
 def surrogate(key: str, kind: str, canon: str, attempt: int, scope: str = "", gender: str = "n") -> str:
     """The canonical surrogate of a canonical entity."""
     draw = draws(key, kind, canon, attempt)
@@ -198,7 +283,11 @@ def surrogate(key: str, kind: str, canon: str, attempt: int, scope: str = "", ge
     if kind == "given":
         return given_names(canon, scope, gender, attempt, draw)
     if kind == "ip":
-        return ".".join(str(1 + next(draw) % 254) for _ in range(4))
+        own = private(canon) if attempt < 2 * LONGER else []
+        while True:
+            new = [*own, *[str(1 + next(draw) % 254) for _ in range(4 - len(own))]]
+            if own or not private(".".join(new)) and int(new[0]) < 224:
+                return ".".join(new)
     if kind == "email":
         local, domain = canon.split("@")
         *labels, last = domain.split(".")
@@ -209,20 +298,33 @@ def surrogate(key: str, kind: str, canon: str, attempt: int, scope: str = "", ge
         start = next(p for p in PREFIXES if canon.startswith(p))
         return start + "".join(like(c, draw) for c in canon[len(start) :]) + longer("0")
     if kind == "card":
-        out = "".join(like(c, draw) for c in canon[:-1])
+        issuer = {"3": 2, "5": 2, "6": 4, "2": 4}.get(canon[0], 1)
+        out = canon[:issuer] + "".join(like(c, draw) for c in canon[issuer:-1])
         return next(out + str(d) for d in range(10) if luhn(out + str(d)))
+    if kind == "iban":
+        rest = "".join(like(c, draw) for c in canon[4:])
+        return next(x for n in range(2, 99) if sums_up(x := f"{canon[:2]}{n:02d}{rest}"))
     if kind in ("phone", "ssn"):
-        return "".join(like(c, draw) for c in canon) + longer("0")
+        keep = 1 + len(country(canon[1:])) if canon[0] == "+" else canon[0] == "0"
+        return canon[:keep] + "".join(like(c, draw) for c in canon[keep:]) + longer("0")
     return " ".join(w if w in PARTICLES else "".join(like(c, draw) for c in w) for w in canon.split(" ")) + longer("a")
 
 
 def shaped(kind: str, canon: str, written: str) -> str:
     """A canonical surrogate in the shape of what it replaces."""
-    if kind in ("card", "phone", "ssn"):
-        digits = iter(canon)
-        return re.sub(r"\d", lambda _: next(digits), written) + "".join(digits)
+    if kind in ("card", "phone", "ssn", "iban"):
+        signs = iter(canon.removeprefix("+"))
+        begin = 2 if kind == "phone" and written.startswith("00") else 0
+        return written[:begin] + re.sub(r"[0-9A-Z]" if kind == "iban" else r"\d", lambda _: next(signs), written[begin:]) + "".join(signs)
     if kind in ("email", "secret", "ip6"):
         return canon.upper() if written.isupper() else canon
+    if kind in ("given", "family"):
+        new, parts = canon.split(" "), re.split(r"(\s+)", written)
+        words = len(parts) // 2 + 1
+        if words <= len(new):  # a given name may stand for all of a person's
+            parts[::2] = new[:words]
+            canon = "".join(parts)
+        return canon.upper() if written.isupper() and len(written) > 1 and "." not in written else canon
     return canon
 
 
@@ -241,7 +343,7 @@ def finds(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(b.column(2).to_pylist()):
                 if text and (own := found_in(text)):
                     keep.append(i)
-                    spans.append([dict(zip(FOUND, (s, e, k, w, c, c[len(w) + 1 :] if k == "given" else "", g), strict=True)) for s, e, k, w, c, g in own])
+                    spans.append([dict(zip(FOUND, (s, e, k, w, c, divided(c)[1] if k == "given" else "", g), strict=True)) for s, e, k, w, c, g in own])
             some = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array(spans, kind)], ["doc_id", "row_key", "spans"])
 
