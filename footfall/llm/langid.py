@@ -123,12 +123,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     if often:
         share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in often.items() for x in p]), F.col("lang")), F.lit(1.0))
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1_000_000)) < share * 1_000_000)
-    found = counted(rows.select("lang", "text")).filter("slot > 0").collect()  # languages x slots at most
-    langs = sorted({r["lang"] for r in found})
-    place = {k: i for i, k in enumerate(langs)}
+    packed = counted(rows.select("lang", "text")).filter("slot > 0").groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c"))  # BUCKETS entries at most
+    found = packed.select("lang", F.col("c.slot").alias("slots"), F.col("c.n").alias("counts")).toArrow().sort_by("lang")  # a row a language, as arrays of numbers
+    langs = found["lang"].to_pylist()
     matrix = np.full((len(langs), BUCKETS), 0.5)
-    for r in found:
-        matrix[place[r["lang"]], r["slot"]] += r["n"]
+    for own, slots, counts in zip(matrix, found["slots"], found["counts"], strict=True):
+        own[slots.values.to_numpy()] += counts.values.to_numpy()
     matrix[:, 0] = 0
     if langs:
         matrix[:, 1:] = np.log(matrix[:, 1:] / matrix[:, 1:].sum(1, keepdims=True))
