@@ -10,8 +10,8 @@ nothing that the check accepts.
 An item shorter than the window must match whole. With `TOLERANT` tokens or more it may have as many
 substitutions; then one of its first three runs of three tokens is intact, so these runs are its
 seeds, by a third mask that ignores nothing and is searched only if there are such items. Items of
-`LEAST` tokens or more, but fewer than that, must match exactly; still shorter ones are no evidence
-and are never reported.
+`least` tokens or more, but fewer than that, must match exactly; still shorter ones are no evidence
+and aren't reported. `least` may be 1: items of one or two tokens are found by these tokens alone.
 
 All masks begin with two selected tokens. Where the items have few different pairs there, other
 places of a text are passed over before anything else is hashed.
@@ -37,6 +37,8 @@ WINDOW, ERRORS, TOLERANT, LEAST = 13, 2, 9, 5
 SPAN = 1 + max(m[-1] for m in MASKS)
 #: Benchmark seeds that may be broadcast (some 30 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Diagonals of one text and item that are compared at once.
+DIAGONALS = 64
 #: Different first pairs that are written into the plan (8 bytes each); with more, all places are hashed.
 MOST_PAIRS = 50_000
 
@@ -55,9 +57,9 @@ def coded(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(*keep, once(F.transform(tokens(text), lambda w: F.xxhash64(w))).alias("coded"))
 
 
-def items(benchmark: DataFrame) -> DataFrame:
+def items(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(item: tokens' hashes, ids, item_no): the different items."""
-    own = coded(benchmark, "item_id").filter(F.size("coded") >= LEAST)
+    own = coded(benchmark, "item_id").filter(F.size("coded") >= max(1, least))
     named = own.groupBy(F.col("coded").alias("item")).agg(F.collect_set(F.struct("item_id")).alias("ids"))
     return named.withColumn("item_no", F.xxhash64("item"))
 
@@ -99,9 +101,28 @@ def seeds(texts: DataFrame, pairs: list[int] | None, masks: list[int]) -> DataFr
     return at.select("row_no", "place", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def of_few_tokens(rows: DataFrame, bench: DataFrame) -> DataFrame:
+    """(doc_id, row_no, item_id, matched, aligned) for items of one or two tokens: the different tokens and pairs of each text, joined with them."""
+    single = F.transform("coded", lambda a: F.array(a))
+    pairs = F.zip_with("coded", F.slice("coded", 2, F.greatest(F.size("coded"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.array(a, b)))
+    runs = coded(rows, "doc_id", "row_no").dropDuplicates(["row_no"]).select("doc_id", "row_no", F.explode(F.array_distinct(F.concat(single, pairs))).alias("item"))
+    met = runs.filter("item is not null").join(bench, "item").select("doc_id", "row_no", F.explode("ids").alias("id"), F.size("item").alias("n"))
+    return met.select("doc_id", "row_no", "id.item_id", F.col("n").alias("matched"), F.col("n").alias("aligned"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, row_no, item_id, matched, aligned) of each diagonal that counts; row_no is the hash of doc_id and text."""
-    bench = durable(items(benchmark))
+    bench = durable(items(benchmark, least))
+    few_tokens = len(SHORT_MASK)
+    if least < few_tokens:
+        small, bench = bench.filter(F.size("item") < few_tokens), bench.filter(F.size("item") >= few_tokens)
+        rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_no"))
+        return searched(docs, bench).unionByName(of_few_tokens(rows, small))
+    return searched(docs, bench)
+
+
+def searched(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The same for items of as many tokens as the shortest mask has, or more."""
     own = durable(sown(bench))
     hint = F.broadcast if own.count() <= MOST_BROADCAST else lambda x: x
     masks = sorted(r["n"] for r in own.select("n").distinct().collect()) or [0]
@@ -123,6 +144,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         n = F.least(F.size("item"), F.size("coded") - d) - start
         return F.zip_with(F.slice("item", start + 1, n), F.slice("coded", start + d + 1, n), lambda a, b: (a == b).cast("int"))
 
+    portions = F.transform(F.sequence(F.lit(0), F.floor((F.size("diagonals") - 1) / DIAGONALS).cast("int")), lambda i: F.slice("diagonals", i * DIAGONALS + 1, F.lit(DIAGONALS)))
+    texts = texts.withColumn("diagonals", F.explode(portions))  # a repeated token has as many diagonals as both texts have places
     lines = texts.select("doc_id", "row_no", "ids", F.size("item").alias("size"), F.explode(F.transform("diagonals", equal)).alias("equal"))
     width = F.least(F.lit(WINDOW), F.col("size"))
     wrong = F.when(F.col("size") >= TOLERANT, ERRORS).otherwise(0)
@@ -133,14 +156,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row_no", "id.item_id", "matched", "aligned")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, matched, aligned): most tokens matched on one diagonal, of those aligned there."""
-    return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("aligned").alias("aligned"))
+    return matches(docs, benchmark, least).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("aligned").alias("aligned"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """docs without the rows whose own text overlaps any item, whatever their ids."""
-    bad = durable(matches(docs, benchmark).select(F.col("row_no").alias("bad row")).distinct())
+    bad = durable(matches(docs, benchmark, least).select(F.col("row_no").alias("bad row")).distinct())
     keyed = plain(docs, "doc_id", "text").withColumn("own row", F.xxhash64("doc_id", "text"))
     kept = keyed.join(F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad, F.col("own row") == F.col("bad row"), "left_anti")
     return named_as(kept, docs, "doc_id", "text")

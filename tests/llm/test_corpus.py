@@ -887,6 +887,32 @@ def test_short_and_long_items(spark):
     assert next((r.matched, r.aligned) for r in found if r.item_id == len(items) - 1) == (9_999, 10_000)
 
 
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_items_of_any_length(spark, least):
+    """Items of one to five tokens by a parameter, in texts that are shorter, equal and longer, whatever repeats."""
+    items = ["one", "Two words", "now three words", "and here are four", "with five tokens in it", "one", "..."]
+    made = ["one", "ONE two words", "words two", "now three words and here are four", "with five tokens in it", "two two words words", None, "", "one one one", "no such"]
+    found = decontam.overlaps(frame(spark, made), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), least)
+    word = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    want = {(d, i, len(own), len(own)) for d, t in enumerate(made) for i, x in enumerate(items) if (own := word(x)) and len(own) >= least and any(word(t)[k : k + len(own)] == own for k in range(len(word(t))))}
+    assert {tuple(r) for r in found.select("doc_id", "item_id", "matched", "aligned").collect()} == want
+
+
+def test_one_repeated_word(spark):
+    """A text and an item of one word: every diagonal is compared, in portions, with no row that holds all."""
+    bench = spark.createDataFrame([(1, " ".join(["same"] * 300)), (2, "a b " * 40)], "item_id long, text string")
+    found = decontam.overlaps(frame(spark, [" ".join(["same"] * 4000), "a b " * 500, "a c " * 500]), bench)
+    assert {tuple(r) for r in found.select("doc_id", "item_id", "matched", "aligned").collect()} == {(0, 1, 300, 300), (1, 2, 80, 80)}
+
+
+def test_many_languages(spark):
+    """Each of 300 languages has words of its own; the driver gets one row for each."""
+    docs = spark.createDataFrame([(i, f"{chr(0x4E00 + 3 * (i % 300))}{chr(0x4E01 + 3 * (i % 300))} " * 8, f"l{i % 300:03d}", "s", 9) for i in range(600)], DOC)
+    model = langid.train(docs)
+    assert model[0] == sorted(f"l{i:03d}" for i in range(300)) and model[1].shape[0] == 300
+    assert all(r.lang == r.lang_pred for r in langid.predict(docs, model).collect())
+
+
 def test_places_are_searched_without_the_list_of_pairs(spark, docs, sf_dir, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = rows(decontam.overlaps(docs, bench))
