@@ -22,6 +22,7 @@ def test_same_rows(spark, sf_dir, con, name):
     oracle.assert_same(QUERIES[name](spark, sf_dir), SQL[name], con)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_others_run(spark, sf_dir):
+    """Queries without SQL; at present there are none, which would count as a skipped test."""
+    for name in sorted(set(QUERIES) - set(SQL)):
+        assert QUERIES[name](spark, sf_dir).count() > 0, name
