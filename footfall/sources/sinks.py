@@ -42,9 +42,10 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    """A table of the session's catalog."""
-    df.write.mode("append").saveAsTable(name)
+def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """A table of the session's catalog, in the warehouse or in a folder of its own."""
+    writer = df.write.mode("append")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
