@@ -44,6 +44,8 @@ END, START = 1, 2
 BLOCK, SHARD, FAN = 8_000_000, 1_000_000, 16_384
 #: So many equal rows go to blocks of their own, and so many of them to each block; and the most keys of such rows that are broadcast.
 REPEATS, MOST_BROADCAST = 1000, 200_000
+#: Parts by hash in which the blocks of repeated rows are numbered.
+PARTS = 1024
 #: Folds of a block: training, training and held out for the weights, not learned from.
 LEARN, WEIGH, OTHER = 0, 1, 2
 CLASSES = 48  # of contexts' frequencies: powers of two
@@ -65,9 +67,12 @@ def unsqueezed(b: bytes) -> np.ndarray:
 def repeated(docs: DataFrame) -> DataFrame:
     """(copy_of, first, many): for rows that repeat often, their hash and which blocks are theirs."""
     often = docs.groupBy(F.xxhash64("doc_id", "text").alias("copy_of")).agg(F.ceil(F.count("*") / REPEATS).alias("many"))
-    often = durable(often.filter("many > 1"))
-    upto = F.sum("many").over(W.partitionBy(F.lit(0)).orderBy("copy_of"))  # at most one row for every thousand documents
-    return durable(often.select("copy_of", (upto - F.col("many")).alias("first"), "many"))
+    often = durable(often.filter("many > 1").withColumn("part", F.pmod("copy_of", F.lit(PARTS))))
+    before = F.sum("sum").over(W.orderBy("part")) - F.col("sum")  # over PARTS rows at most
+    begins = often.groupBy("part").agg(F.sum("many").alias("sum")).select("part", before.alias("before"))
+    upto = F.sum("many").over(W.partitionBy("part").orderBy("copy_of"))
+    numbered = often.withColumn("first", upto - F.col("many")).join(F.broadcast(begins), "part")
+    return durable(numbered.select("copy_of", (F.col("before") + F.col("first")).alias("first"), "many"))
 
 
 def dealt(docs: DataFrame, held_out: Column, tree: Exchange, often: DataFrame) -> DataFrame:

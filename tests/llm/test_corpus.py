@@ -919,3 +919,12 @@ def test_places_are_searched_without_the_list_of_pairs(spark, docs, sf_dir, monk
     monkeypatch.setattr(decontam, "MOST_PAIRS", 3)
     monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
     assert rows(decontam.overlaps(docs, bench)) == want and want
+
+
+def test_blocks_of_repeats_are_numbered_without_gaps(spark, monkeypatch):
+    """Rows that repeat often get ranges of blocks that follow each other, over all parts."""
+    monkeypatch.setattr(lm, "REPEATS", 3)
+    docs = spark.range(40).select((F.col("id") % 9).alias("doc_id"), F.lit("t").alias("text")).union(spark.range(100, 104).select("id", F.lit("once")))
+    found = sorted((r["first"], r["many"]) for r in lm.repeated(docs).collect())
+    assert [f for f, _ in found] == [sum(m for _, m in found[:i]) for i in range(len(found))]
+    assert sorted(m for _, m in found) == [2] * 9 and lm.repeated(docs.limit(0)).count() == 0
