@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, durable, named_as, plain
-from .pivots import MOST_BROADCAST, Search, deal, distance_for, joined, pivot_table, sampled_masks
+from .pivots import MOST_BROADCAST, Search, deal, distance_for, joined, pivot_table, sampled_masks, shares_of
 from .prints import fingerprint, shingle_hashes
 
 #: Lanes of the fingerprints, references of their pivot tables, and the limit of the pivot test: it
@@ -127,7 +127,9 @@ def linked(members: DataFrame, similarity: float, *task: str) -> DataFrame:
 def search(nodes: DataFrame, n: int, similarity: float, recall: float) -> Search:
     """The candidates' search over nodes (node, size, fp0, ...), of which there are n."""
     table = pivot_table(nodes, LANES, REFERENCES)
-    return Search(table, sampled_masks(similarity, n, LANES, recall), distance_for(similarity, LANES), LIMIT, similarity)
+    masks = lambda n, seen, fixed=None: sampled_masks(similarity, n, LANES, seen, fixed=fixed)
+    finer = lambda mask, many: masks(many, 1 - (1 - recall) / 6, mask)
+    return Search(table, masks(n, recall), distance_for(similarity, LANES), finer, LIMIT, similarity)
 
 
 def near_sets(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, recall: float, chunk: int = CHUNK) -> DataFrame:
@@ -159,7 +161,8 @@ def near_sets(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float,
     bins = durable(first.groupBy("key").agg(F.ceil(F.sum("weight") / chunk).alias("bins")))
     first = first.join(bins, "key").withColumn("bin", F.pmod(F.xxhash64("node", F.lit(3)), F.col("bins")))
     edges = durable(edges.union(linked(first.join(known, "node"), similarity, "key", "bin")))
-    dealt = deal(durable(members(components(edges))), chunk)
+    apart = durable(members(components(edges)))
+    dealt = deal(apart, chunk, durable(shares_of(apart)))
     return edges.union(linked(dealt.join(known, "node"), similarity, "key", "lo", "hi"))
 
 

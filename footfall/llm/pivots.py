@@ -13,12 +13,18 @@ compared with its first one; members that are joined by then need no comparison
 only the rest is dealt in chunks, compared among themselves and with the others. Each pair of chunks
 is one bounded task, and a dense group of any size costs a number of comparisons in proportion to it.
 What large buckets have joined isn't compared again in small ones.
+
+A bucket in which so many are left that each would go to more chunks than there are finer masks is
+crowded. It is split by finer masks over the bits that its own mask leaves free, made by the same rule
+for its size, so its rows grow with the number of these masks and not with the square of the bucket.
+Small and large finer buckets are treated as above.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +40,8 @@ SMALL, CHUNK = 64, 512
 PIVOTS = 32
 #: Keys of large buckets that may be broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
-#: The most bits of a sampled mask: with them 365 masks reach the recall at similarity 0.8 (from 3 * 10^8 texts on), and buckets grow beyond.
+#: The most bits of a sampled mask: with them 365 masks reach the recall at similarity 0.8 (from 3 * 10^8 texts on); beyond, buckets grow
+#: (some 60 unrelated ones at 10^9 texts, 600 at 10^10), and finer masks split those that are crowded.
 WIDEST = 24
 
 
@@ -42,17 +49,24 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def covering_masks(distance: int, n: int, bits: int = 64) -> list[list[int]]:
+def free_bits(bits: int, fixed: list[int]) -> list[int]:
+    """Places of the bits that a mask of some lanes leaves free."""
+    return [i for i in range(bits) if not (fixed and fixed[i // 64] >> (i % 64) & 1)]
+
+
+def covering_masks(distance: int, n: int, bits: int = 64, fixed: list[int] | None = None) -> list[list[int]]:
     """Masks such that any two fingerprints within `distance` bits agree on at least one of them.
 
     The number of blocks grows with n, the number of distinct fingerprints, so that a bucket holds a
-    few unrelated ones however large the input is; there are at most C(2d + 2, d) masks.
+    few unrelated ones however large the input is; there are at most C(2d + 2, d) masks. For n
+    fingerprints that agree on the mask `fixed` they cover the other bits.
     """
+    free = free_bits(bits, fixed or [])
     blocks = distance + 2
-    while n / 2 ** (bits * (blocks - distance) / blocks) > 4 and blocks < 2 * distance + 2:
+    while n / 2 ** (len(free) * (blocks - distance) / blocks) > 4 and blocks < 2 * distance + 2:
         blocks += 1
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    part = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    part = [sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return [[sum(part[i] for i in keep)] for keep in combinations(range(blocks), blocks - distance)]
 
 
@@ -67,23 +81,31 @@ def distance_for(similarity: float, lanes: int, deviations: float = 2.3) -> int:
     return math.ceil(total * share + deviations * math.sqrt(total * share * (1 - share)))
 
 
-def sampled_masks(similarity: float, n: int, lanes: int, recall: float = 0.97, seed: int = 7) -> list[list[int]]:
-    """Random sets of bits, so large that a bucket holds some 16 to 32 unrelated ones.
-
-    As many as give pairs of just that similarity the recall, over the distribution of the bits in
-    which they differ. At similarity 0.8 they are 24 at 50,000 texts, 124 at 10^7 and 235 at 10^8.
-    """
-    width = min(WIDEST, max(10, math.ceil(math.log2(max(2, n))) - 5))
-    total, share = 64 * lanes, bits_for(similarity)
+@cache
+def masks_needed(similarity: float, width: int, total: int, recall: float) -> int:
+    """How many random masks of that width over `total` bits give pairs of just that similarity the recall."""
+    share = bits_for(similarity)
     odds = [math.exp(math.lgamma(total + 1) - math.lgamma(d + 1) - math.lgamma(total - d + 1) + d * math.log(share) + (total - d) * math.log(1 - share)) for d in range(total - width)]
     agree = [math.prod((total - d - i) / (total - i) for i in range(width)) for d in range(total - width)]
     count = 1
     while sum(p * (1 - a) ** count for p, a in zip(odds, agree, strict=True)) > 1 - recall:
         count += 1
+    return count
+
+
+def sampled_masks(similarity: float, n: int, lanes: int, recall: float = 0.97, seed: int = 7, fixed: list[int] | None = None) -> list[list[int]]:
+    """Random sets of bits, so large that a bucket holds some 16 to 32 unrelated ones.
+
+    As many as give pairs of just that similarity the recall, over the distribution of the bits in
+    which they differ. At similarity 0.8 they are 24 at 50,000 texts, 124 at 10^7, 235 at 10^8, and
+    365 from 3 * 10^8 on. For n fingerprints that agree on the mask `fixed` they are of the other bits.
+    """
+    width = min(WIDEST, max(10, math.ceil(math.log2(max(2, n))) - 5))
+    free = free_bits(64 * lanes, fixed or [])
     rng = np.random.default_rng(seed)
     out = []
-    for _ in range(count):
-        picked = sum(1 << int(i) for i in rng.choice(total, width, replace=False))
+    for _ in range(masks_needed(similarity, width, len(free), recall)):
+        picked = sum(1 << free[i] for i in rng.choice(len(free), width, replace=False))
         out.append([picked >> (64 * k) & MASK64 for k in range(lanes)])
     return out
 
@@ -113,18 +135,20 @@ class Search:
     """Pairs of table's rows (node, fp0, ..., p0, ..., and size, if sizes count) within `distance` bits.
 
     `limit` is that of the pivot test; `alike` is the least ratio of two rows' sizes, if given.
+    `finer` gives the masks that split a crowded bucket of a mask and a number of rows.
     """
 
-    def __init__(self, table: DataFrame, masks: list[list[int]], distance: int, limit: int | None = None, alike: float = 0.0):
-        self.table, self.distance, self.alike = table, distance, alike
+    def __init__(
+        self, table: DataFrame, masks: list[list[int]], distance: int, finer: Callable[[list[int], int], list[list[int]]], limit: int | None = None, alike: float = 0.0, chunk: int = CHUNK
+    ):
+        self.table, self.masks, self.distance, self.finer, self.alike, self.chunk = table, masks, distance, finer, alike, chunk
         self.limit = distance if limit is None else limit
         self.lanes = [c for c in table.columns if c.startswith("fp")]
         self.pivots = [c for c in table.columns if c.startswith("p") and c[1:].isdigit()]
         self.family = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(self.lanes, mask, strict=True)]) for t, mask in enumerate(masks)]
-        self.keyed = table.withColumn("key", F.explode(F.array(*self.family)))
+        self.keyed = table.select("*", F.posexplode(F.array(*self.family)).alias("family", "key"))
         counted = self.keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
         self.large = durable(counted.filter(F.col("n") > SMALL))
-        self.hint = F.broadcast if self.large.count() <= MOST_BROADCAST else lambda x: x
 
     def discarded(self, x: str, y: str) -> Column:
         """Whether any coordinate differs by more than the limit."""
@@ -146,49 +170,91 @@ class Search:
     def links(self) -> DataFrame:
         """(a, b): edges whose components are those of all pairs; they may repeat."""
         if self.large.isEmpty():
-            return self.pairs(self.keyed.withColumn("part", F.col("node")))
+            return self.pairs(self.keyed.withColumn("part", F.col("node")), self.large)
         stars = lambda parts: parts.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         parts = components(durable(self.led()))
         parts = components(durable(stars(parts).union(self.apart(parts))))
         known = self.table.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        return stars(parts).union(self.pairs(known.withColumn("key", F.explode(F.array(*self.family)))))
+        return stars(parts).union(self.pairs(known.withColumn("key", F.explode(F.array(*self.family))), self.large))
 
-    def pairs(self, keyed: DataFrame) -> DataFrame:
-        """(a, b), a > b: pairs of small buckets, of different parts; they may repeat."""
-        few = keyed.join(self.hint(self.large.select("key")), "key", "left_anti")
+    def pairs(self, keyed: DataFrame, large: DataFrame) -> DataFrame:
+        """(a, b), a > b: pairs of buckets that aren't large, of different parts; they may repeat."""
+        few = keyed.join(hinted(large.select("key")), "key", "left_anti")
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
         return few.alias("x").join(few.alias("y"), met & self.near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def led(self) -> DataFrame:
         """(a, b): members of large buckets near the first one there."""
         first = self.large.select("key", F.col("first").alias("node")).join(self.table, "node")
-        members = self.keyed.join(self.hint(self.large.select("key")), "key", "left_semi")
+        members = self.keyed.join(hinted(self.large.select("key")), "key", "left_semi")
         both = members.alias("x").join(first.alias("y"), F.col("x.key") == F.col("y.key"))
         return both.filter((F.col("x.node") != F.col("y.node")) & self.near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
     def apart(self, parts: DataFrame) -> DataFrame:
         """(a, b): pairs of large buckets that join, by any chain of them, what no component of parts (node, component) joins yet."""
         known = self.table.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        keys = self.keyed.select("key", "node").join(self.hint(self.large.select("key")), "key", "left_semi")
-        dealt = deal(durable(keys.join(known, "node").withColumn("weight", F.lit(1))), CHUNK)
+        keys = self.keyed.select("key", "family", "node").join(hinted(self.large.select("key")), "key", "left_semi")
+        members = durable(keys.join(known, "node").withColumn("weight", F.lit(1)))
+        shares = durable(shares_of(members))
+        masks, crowded = self.crowded(shares)
+        if crowded is None:
+            return self.dealt(members, shares).distinct()
+        rest = self.dealt(members, shares.join(hinted(crowded), "key", "left_anti"))
+        fine = self.split(members.join(hinted(crowded), "key", "left_semi"), masks)
+        large = durable(fine.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL))
+        found = rest.union(self.pairs(fine, large))
+        if not large.isEmpty():
+            of_large = fine.join(hinted(large.select("key")), "key", "left_semi")
+            found = found.union(self.dealt(of_large, durable(shares_of(of_large))))
+        return found.distinct()
+
+    def crowded(self, shares: DataFrame) -> tuple[list[list[list[int]]], DataFrame | None]:
+        """(finer masks of each mask, keys whose members would go to more chunks than there are finer masks, if any)."""
+        most = shares.filter(F.col("others") > self.chunk).agg(F.max(F.col("mains") + F.col("others"))).first()[0]
+        if most is None:
+            return [], None
+        masks = [self.finer(mask, most) for mask in self.masks]
+        keys = durable(shares.filter(F.col("others") > self.chunk * max(map(len, masks))).select("key"))
+        return masks, None if keys.isEmpty() else keys
+
+    def split(self, members: DataFrame, masks: list[list[list[int]]]) -> DataFrame:
+        """Members by the keys of the finer masks of their families; the table of masks is as large as the number of masks is."""
+        cells = [(f, i, *map(signed, mask)) for f, each in enumerate(masks) for i, mask in enumerate(each)]
+        own = [f"mask of {c}" for c in self.lanes]
+        table = members.sparkSession.createDataFrame(cells, "family int, finer int, " + ", ".join(f"`{c}` long" for c in own))
+        key = F.xxhash64("key", "finer", *[F.col(c).bitwiseAND(F.col(m)) for c, m in zip(self.lanes, own, strict=True)])
+        return members.join(F.broadcast(table), "family").withColumn("key", key).select(*members.columns)
+
+    def dealt(self, members: DataFrame, shares: DataFrame) -> DataFrame:
+        """(a, b): pairs of members (key, node, part, weight, ...) of one key, dealt by pairs of chunks."""
         cols = ["key", "lo", "hi", "node", "part", *self.lanes, *self.pivots, *(["size"] if self.alike else [])]
         run = compared(self.distance, self.limit, self.alike, self.lanes, self.pivots)
         # dealt by the pair of chunks: left to itself, Spark keeps a key's pairs together, where the join has put them
-        return dealt.select(*cols).repartition("key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+        return deal(members, self.chunk, shares).select(*cols).repartition("key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
+def hinted(keys: DataFrame) -> DataFrame:
+    """Keys to be broadcast if they are few enough; they are counted, so they should be cut from their lineage."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
 
 
-def deal(members: DataFrame, most: int) -> DataFrame:
+def shares_of(members: DataFrame) -> DataFrame:
+    """(key, main, mains, others) of members (key, part, weight): the part of most weight, its weight, and the others'; keys of one part go."""
+    count = members.groupBy("key", "part").agg(F.sum("weight").alias("n"))
+    count = count.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("mains"), (F.sum("n") - F.max("n")).alias("others"))
+    return count.filter("others > 0")
+
+
+def deal(members: DataFrame, most: int, shares: DataFrame) -> DataFrame:
     """members (key, node, part, weight, ...) by pairs of chunks (key, lo, hi), so that members of a key in different parts meet.
 
     A chunk has a weight of about `most`. Members of a key's main part, the one of most weight, don't
-    meet each other; the others meet everyone. A key of one part is not dealt at all.
+    meet each other; the others meet everyone. A key that `shares` hasn't got is not dealt at all.
     """
-    count = members.groupBy("key", "part").agg(F.sum("weight").alias("n"))
-    count = count.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("mains"), (F.sum("n") - F.max("n")).alias("others"))
     chunks = lambda n: F.ceil(F.col(n) / most).cast("int")
     met = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
     upto = lambda n: F.sequence(F.lit(0), chunks(n) - 1)
-    dealt = members.join(durable(count.filter("others > 0")), "key").withColumn("own", F.col("part") == F.col("main"))
+    dealt = members.join(shares, "key").withColumn("own", F.col("part") == F.col("main"))
     place = F.pmod(F.xxhash64("node", F.lit(5)), F.when(F.col("own"), chunks("mains")).otherwise(chunks("others"))).cast("int")
     dealt = dealt.withColumn("place", place)
     beside = F.transform(upto("others"), lambda j: met(F.least(j, F.col("place")), F.greatest(j, F.col("place"))))

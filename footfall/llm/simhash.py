@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import components, durable
 from .nearcopies import drop_near_duplicates as drop_near_duplicates
-from .pivots import Search, covering_masks, pivot_table
+from .pivots import CHUNK, Search, covering_masks, pivot_table
 from .prints import fingerprint, shingle_hashes
 
 
@@ -43,10 +43,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str
     return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
-def links(reps: DataFrame, names: list[str], distance: int, masks: list[list[int]]) -> DataFrame:
+def links(reps: DataFrame, names: list[str], distance: int, masks: list[list[int]], chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between the numbers `rep` of different fingerprints; their components are those of all pairs within the distance."""
     table = pivot_table(reps.select(F.col("rep").alias("node"), *names), len(names))
-    return Search(table, masks, distance).links()
+    finer = lambda mask, n: covering_masks(distance, n, fixed=mask)
+    return Search(table, masks, distance, finer, chunk=chunk).links()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

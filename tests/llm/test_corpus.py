@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from footfall.llm import common, decontam, langid, licenses, linededup, lm, mixing, pii, quality, queries, simhash, urlfilter
+from footfall.llm import common, decontam, langid, licenses, linededup, lm, mixing, nearcopies, pii, pivots, quality, queries, simhash, urlfilter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,6 +109,62 @@ def test_large_buckets_lose_no_link(spark):
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    """Many unrelated fingerprints share 32 bits: rows grow with the finer masks, not with the square, and no link is lost."""
+    rng = np.random.default_rng(3)
+    prints = [int(x) for x in rng.integers(0, 2**31, 3000)]
+    prints += [p ^ sum(1 << int(b) for b in rng.choice(31, k, replace=False)) for k in (1, 2, 3, 4, 5) for p in prints[:200]]
+    prints = list(dict.fromkeys(p << 32 | 0x1234ABCD for p in prints))
+    seen, split = [], pivots.Search.split
+
+    def counted(self, members, masks):
+        out = split(self, members, masks)
+        seen.append((members.count(), out.count(), max(map(len, masks))))
+        return out
+
+    monkeypatch.setattr(pivots.Search, "split", counted)
+    reps = spark.createDataFrame(list(enumerate(prints)), "rep long, fp0 long")
+    edges = simhash.links(reps, ["fp0"], 4, simhash.covering_masks(4, len(prints)), chunk=16)
+    found = dict(rows(common.components(edges)))
+    of = np.array(prints, np.uint64)
+    parts, todo = {}, list(range(len(prints)))
+    for first in todo:
+        reached = [] if first in parts else [first]
+        for i in reached:
+            if i not in parts:
+                parts[i] = first
+                reached += np.flatnonzero(np.bitwise_count(of ^ of[i]) <= 4).tolist()
+    assert {i: found.get(i, i) for i in todo} == parts
+    assert len(set(parts.values())) > 1000 and len(seen) == 1
+    assert seen[0][1] == seen[0][0] * seen[0][2] and seen[0][2] <= 15
+
+
+def test_crowded_buckets_of_long_fingerprints(spark):
+    """Finer random masks keep the recall of pairs of the threshold within a bucket that all share."""
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2, (2000, 256), dtype=np.uint8)
+    one[:, :64] = 1
+    two = one[:300] ^ (rng.random((300, 256)) < pivots.bits_for(0.8)) * (np.arange(256) >= 64)
+    lanes = np.packbits(np.concatenate([one, two]).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    nodes = spark.createDataFrame([(i, 100, *map(int, r)) for i, r in enumerate(lanes)], "node long, size int, fp0 long, fp1 long, fp2 long, fp3 long")
+    table = pivots.pivot_table(nodes, 4, nearcopies.REFERENCES)
+    finer = lambda mask, n: pivots.sampled_masks(0.8, n, 4, 0.995, fixed=mask)
+    search = pivots.Search(table, [[(1 << 24) - 1, 0, 0, 0]], pivots.distance_for(0.8, 4), finer, nearcopies.LIMIT, 0.8, chunk=16)
+    assert search.crowded(pivots.shares_of(search.keyed.withColumn("part", F.col("node")).withColumn("weight", F.lit(1))))[1].count() == 1
+    part = dict(rows(common.components(search.links())))
+    assert sum(part.get(i, i) == part.get(2000 + i, 2000 + i) for i in range(300)) >= 285
+    assert len(set(part.values())) >= 280
+
+
+def test_numbers_of_masks():
+    """The figures that README and docstrings give; masks never touch the bits that are fixed already."""
+    assert {n: len(pivots.sampled_masks(0.8, n, 4)) for n in (50_000, 230_000, 10**7, 10**8, 3 * 10**8, 10**12)} == {50_000: 24, 230_000: 36, 10**7: 124, 10**8: 235, 3 * 10**8: 365, 10**12: 365}
+    assert len(pivots.covering_masks(4, 10**12)) == 210
+    for first in (pivots.covering_masks(4, 10**9)[0], pivots.covering_masks(4, 100)[-1]):
+        for fixed, masks in ((first, pivots.covering_masks(4, 10**6, fixed=first)), ([*first, 0, 5, 0], pivots.sampled_masks(0.8, 10**6, 4, fixed=[*first, 0, 5, 0]))):
+            assert len(masks) <= 210 and not any(a & b for m in masks for a, b in zip(m, fixed, strict=True))
+
+
 def test_components_of_chains_and_loops(spark):
     chain = [(i, i + 1) for i in range(40)] + [(7, 7), (3, 2), (100, 101), (101, 100)]
     found = dict(rows(common.components(spark.createDataFrame(chain, "a long, b long"))))
