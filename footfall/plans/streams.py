@@ -38,9 +38,9 @@ def in_files(df: DataFrame, folder: str, at: str, mark: int, order: tuple[int, .
     return sources.parquet_stream(spark, f"{folder}/*", maxFilesPerTrigger="1")
 
 
-def read_to_end(stream: DataFrame, folder: str) -> DataFrame:
+def read_to_end(stream: DataFrame, folder: str, tables: bool = False) -> DataFrame:
     path = f"{folder}/out"
-    behaviour.appended(stream, path).awaitTermination()
+    behaviour.appended(stream, path, tables=tables).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path).filter("user_id >= 0")
 
 
@@ -58,7 +58,7 @@ def t_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = sinks.shared_folder(spark)
     clicks = sources.ad_clicks(spark, sf_dir).select("user_id", "ad_id", "ts")
     stream = in_files(clicks, f"{folder}/in", "ts", -1)
-    found = read_to_end(behaviour.listings(stream, THRESHOLD, LASTS), folder)
+    found = read_to_end(behaviour.listings(stream, THRESHOLD, LASTS), folder, tables=True)
     return found.withColumns({"at": X.time_text("at"), "until": X.time_text("until")})
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import oracle
 from pyspark.sql import functions as F
 
 from footfall import sources
 from footfall.operators import visits
+from footfall.plans import streams
 from footfall.streaming import behaviour
 
 START = datetime(2024, 1, 1, 8)
@@ -98,6 +100,18 @@ def test_listing_state_goes_with_time(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("event = 'released' and user_id < 9").count() == 8
 
 
+def test_listings_in_a_session_with_the_default_store(spark, sf_dir):
+    """The query brings the store that it needs; the session keeps its own."""
+    before = spark.conf.get(behaviour.STORE)
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(behaviour.STORE, default)
+    try:
+        oracle.assert_same(streams.t_listings(spark, sf_dir), streams.SQL["t_expiring_listings"], oracle.connect(sf_dir))
+        assert spark.conf.get(behaviour.STORE) == default
+    finally:
+        spark.conf.set(behaviour.STORE, before)
+
+
 def test_purchases_with_clicks_from_both_sides(spark, tmp_path):
     bought, clicked = "user_id long, purchase_id long, bought_at timestamp", "user_id long, click_id long, clicked_at timestamp"
     purchases = [[(1, 10, at(60)), (2, 11, at(61)), (None, 12, at(62))], [(1, 13, at(70)), (3, 14, at(200))], [(-1, 0, at(5000))], [(-1, 0, at(9000))]]
