@@ -28,14 +28,15 @@ def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ts", X.time_text("ts"))
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The clicks as a stream of four files, one to a micro-batch, and a new folder for a job's tables."""
+def streamed(spark: SparkSession, sf_dir: str, rows: int = sinks.FILE_ROWS) -> tuple[DataFrame, str]:
+    """The clicks as a stream of four micro-batches, each of the same number of files, and a new folder for a job's tables."""
     folder = sinks.shared_folder(spark)
-    clicks = sources.ad_clicks(spark, sf_dir)
     part = F.least((F.dayofmonth("ts") - 1) / DAYS, F.lit(3)).cast("int")
+    parts = sinks.by_part(sources.ad_clicks(spark, sf_dir), part, f"{folder}/rows")
+    n = sinks.files_of_parts(parts, rows)
     for i in range(4):
-        clicks.filter(part == i).coalesce(1).write.parquet(f"{folder}/clicks/{i}")
-    return sources.parquet_stream(spark, f"{folder}/clicks/*", maxFilesPerTrigger="1"), folder
+        sinks.in_files(parts.filter(F.col("part of") == i).drop("part of"), f"{folder}/clicks/{i}", n)
+    return sources.parquet_stream(spark, f"{folder}/clicks/*", maxFilesPerTrigger=str(n)), folder
 
 
 def windows(trend: DataFrame) -> DataFrame:

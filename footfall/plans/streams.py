@@ -24,18 +24,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.parquet(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def in_files(df: DataFrame, folder: str, at: str, mark: int, order: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
-    """The rows as a stream of a file for every eight days, and two more with a row of user `mark` each, long after all.
+def in_files(df: DataFrame, folder: str, at: str, mark: int, order: tuple[int, ...] = (0, 1, 2, 3), rows: int = sinks.FILE_ROWS) -> DataFrame:
+    """The rows as a stream of a micro-batch for every eight days, and two more with rows of user `mark` only, long after all.
 
-    The first of these moves the watermark past all rows; timers fire with the batch of the second.
+    The first of these moves the watermark past all rows; timers fire with the batch of the second. Each micro-batch
+    is the same number of files, so that many tasks write and read it.
     """
     spark, part = df.sparkSession, F.least((F.dayofmonth(at) - 1) / DAYS, F.lit(3)).cast("int")
+    parts = sinks.by_part(df, part, f"{folder}.rows")
+    n = sinks.files_of_parts(parts, rows)
     for i, k in enumerate(order):
-        df.filter(part == k).coalesce(1).write.parquet(f"{folder}/{i}")
+        sinks.in_files(parts.filter(F.col("part of") == k).drop("part of"), f"{folder}/{i}", n)
+    last = parts.agg(*[F.max(c).alias(c) for c in df.columns])
     for i in (1, 2):
-        end = df.agg(*[F.max(c).alias(c) for c in df.columns]).withColumns({at: F.col(at) + F.expr(f"interval {30 * i} days"), "user_id": F.lit(mark).cast("long")})
-        end.write.parquet(f"{folder}/{len(order) + i}")
-    return sources.parquet_stream(spark, f"{folder}/*", maxFilesPerTrigger="1")
+        end = last.withColumns({at: F.col(at) + F.expr(f"interval {30 * i} days"), "user_id": F.lit(mark).cast("long")})
+        spark.range(0, n, 1, n).join(F.broadcast(end)).drop("id").write.parquet(f"{folder}/{len(order) + i}")  # a row in each of n files
+    return sources.parquet_stream(spark, f"{folder}/*", maxFilesPerTrigger=str(n))
 
 
 def read_to_end(stream: DataFrame, folder: str, tables: bool = False) -> DataFrame:

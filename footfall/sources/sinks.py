@@ -8,7 +8,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+#: Rows of a file, about, of a stream's input.
+FILE_ROWS = 250_000
+
+
+def by_part(df: DataFrame, part: Column, path: str) -> DataFrame:
+    """df written with a folder for each value of `part`, and read again, with the column `part of`."""
+    rows = df.withColumn("part of", part)
+    rows.write.partitionBy("part of").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def files_of_parts(rows: DataFrame, most: int = FILE_ROWS) -> int:
+    """How many files of about `most` rows the largest part needs."""
+    largest = rows.groupBy("part of").count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-largest // most))
+
+
+def in_files(df: DataFrame, path: str, n: int) -> None:
+    """A folder of exactly n files, written by as many tasks; files without rows make up the number."""
+    spark = df.sparkSession
+    df.repartition(n).write.parquet(path)
+    for _ in range(n - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+        spark.createDataFrame([], df.schema).write.mode("append").parquet(path)
+
+
 def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Parquet files added to a folder, one subfolder for each value of `by`."""
     writer = df.write.mode("append")

@@ -112,6 +112,18 @@ def test_listings_in_a_session_with_the_default_store(spark, sf_dir):
         spark.conf.set(behaviour.STORE, before)
 
 
+def test_a_micro_batch_is_many_files_of_one_part(spark, tmp_path):
+    """A part's rows are dealt to several files, as many for each part, also for one with few rows or none; batches don't mix parts."""
+    df = spark.range(3000).select((F.col("id") + 1).alias("user_id"), F.timestamp_seconds(F.lit(1704067200) + F.when(F.col("id") % 100 == 0, 10).otherwise(F.when(F.col("id") == 1, 29).otherwise(2)) * 86_400).alias("ts"))
+    stream = streams.in_files(df, str(tmp_path / "in"), "ts", -1, rows=500)
+    files = {f"{i}": len(list((tmp_path / "in" / f"{i}").glob("*.parquet"))) for i in (0, 1, 2, 3, 5, 6)}
+    assert files == dict.fromkeys(files, 6)
+    seen = {}
+    batches = stream.writeStream.foreachBatch(lambda b, i: seen.update({i: {tuple(r) for r in b.select(F.dayofmonth("ts"), F.least("user_id", F.lit(0))).distinct().collect()} | {b.count()}}))
+    batches.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == {0: {(3, 0), 2969}, 1: {(11, 0), 30}, 2: {0}, 3: {(30, 0), 1}, 4: {(29, -1), 6}, 5: {(30, -1), 6}}
+
+
 def test_purchases_with_clicks_from_both_sides(spark, tmp_path):
     bought, clicked = "user_id long, purchase_id long, bought_at timestamp", "user_id long, click_id long, clicked_at timestamp"
     purchases = [[(1, 10, at(60)), (2, 11, at(61)), (None, 12, at(62))], [(1, 13, at(70)), (3, 14, at(200))], [(-1, 0, at(5000))], [(-1, 0, at(9000))]]
