@@ -172,6 +172,19 @@ def test_components_of_chains_and_loops(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    """A long chain needs no rounds while its edges are one task's; the rounds find the same."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(5, 600)] + [(2**62, -5), (-5, 7), (3, 3)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    found = rows(common.components(edges))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert dict(found) == {i: -5 for i in [*range(5, 601), -5, 2**62]} and len(found) == 598
+    assert jobs <= 10
+    monkeypatch.setattr(common, "TASK_EDGES", 0)
+    assert sorted(rows(common.components(edges))) == sorted(found)
+
+
 def test_one_of_each_group_stays(spark):
     rng = np.random.default_rng(5)
     words = [f"v{i}" for i in range(3000)]
