@@ -44,10 +44,14 @@ def parameters(query: Column) -> Column:
     return F.map_from_entries(F.transform(X.let(placed, last), lambda p: F.struct(p["key"], p["value"])))
 
 
+def whole(parts: Column) -> Column:
+    """Whether a line's parts are four, the last one with a `?`."""
+    return F.coalesce((F.size(parts) == 4) & F.get(parts, F.lit(3)).contains("?"), F.lit(False))
+
+
 def readable(line: Column | str) -> Column:
     """Whether the line has four parts, the last one with a `?`."""
-    parts = F.split(X.col(line), r"\^A")
-    return F.coalesce((F.size(parts) == 4) & F.get(parts, F.lit(3)).contains("?"), F.lit(False))
+    return whole(F.split(X.col(line), r"\^A"))
 
 
 def fields(line: Column | str) -> Column:
@@ -55,15 +59,16 @@ def fields(line: Column | str) -> Column:
 
     Null unless the line has four parts, the last one with a `?`.
     """
+    return X.let(F.split(X.col(line), r"\^A"), lambda parts: F.when(whole(parts), fields_of(parts)))
 
-    def read(parts: Column) -> Column:
-        at = lambda i: F.trim(F.get(parts, F.lit(i)))
-        query = F.substring(at(3), F.instr(at(3), "?") + 1, F.length(at(3)))
-        own = F.map_filter(parameters(query), lambda k, v: ~k.isin("ip", "s_time"))
-        known = F.create_map(F.lit("ip"), at(0), F.lit("s_time"), X.server_millis(at(1)).cast("string"))
-        return F.when((F.size(parts) == 4) & at(3).contains("?"), F.map_concat(own, known))
 
-    return X.let(F.split(X.col(line), r"\^A"), read)
+def fields_of(parts: Column) -> Column:
+    """The fields of a readable line's four parts."""
+    at = lambda i: F.trim(F.get(parts, F.lit(i)))
+    query = F.substring(at(3), F.instr(at(3), "?") + 1, F.length(at(3)))
+    own = F.map_filter(parameters(query), lambda k, v: ~k.isin("ip", "s_time"))
+    known = F.create_map(F.lit("ip"), at(0), F.lit("s_time"), X.server_millis(at(1)).cast("string"))
+    return F.map_concat(own, known)
 
 
 def user_agent(ua: Column | str) -> Column:
@@ -142,17 +147,23 @@ def event_name(alias: Column | str) -> Column:
 
 
 def parsed(lines: DataFrame, observation: Observation | None = None) -> DataFrame:
-    """(m: fields) of the readable lines (`value`); an observation gets `lines` and `dropped`."""
+    """(m: fields) of the readable lines (`value`); an observation gets `lines` and `dropped`.
+
+    Unreadable lines go where the parts are exploded. A filter would be pushed below what makes the lines, which
+    would then be made once more for each time that the condition names them, by code too long to be compiled.
+    """
     if observation is not None:
         lines = lines.observe(observation, F.count(F.lit(1)).alias("lines"), F.count_if(~readable("value")).alias("dropped"))
-    return lines.filter(readable("value")).select(fields("value").alias("m"))
+    split = F.filter(F.array(F.split("value", r"\^A")), whole)
+    return lines.select(F.explode(split).alias("parts")).select(fields_of(F.col("parts")).alias("m"))
 
 
 def enriched(lines: DataFrame, ranges: DataFrame, observation: Observation | None = None) -> DataFrame:
     """(row_key, m): fields with browser, system and region added, ready for a sink."""
     read = parsed(lines, observation)
-    read = located(read.withColumn("ip", F.try_element_at("m", F.lit("ip"))), ranges)
-    place, agent = region_parts("region"), user_agent(F.try_element_at("m", F.lit("b_iev")))
+    told = ranges.withColumn("region", region_parts("region"))  # once for each range
+    read = located(read.withColumn("ip", F.try_element_at("m", F.lit("ip"))), told)
+    place, agent = F.coalesce("region", region_parts(F.lit(None).cast("string"))), user_agent(F.try_element_at("m", F.lit("b_iev")))
     more = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in [*((k, place[k]) for k in ("country", "province", "city")), *((k, agent[k]) for k in ("browser", "browser_v", "os", "os_v"))]])
     own = F.map_filter("m", lambda k, v: ~k.isin("country", "province", "city", "browser", "browser_v", "os", "os_v"))
     m = F.map_concat(own, F.map_from_entries(F.filter(more, lambda x: x["value"].isNotNull())))

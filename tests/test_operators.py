@@ -16,6 +16,7 @@ from footfall.functions.registered import register
 from footfall.operators import ads, basics, funnel, logins, logs, products
 from footfall.operators import sessions as ops
 from footfall.params import TaskParams, task
+from footfall.plans import logs as log_plans
 
 START = datetime(2024, 1, 1, 8)
 ACTION = "event_id long, date string, user_id long, session_id string, page_id long, action_time timestamp, search_keyword string, click_category_id long, click_product_id long, order_category_ids string, order_product_ids string, pay_category_ids string, pay_product_ids string, city_id long"
@@ -142,6 +143,15 @@ def test_dropped_lines_are_counted(spark):
     assert seen.get == {"lines": 3, "dropped": 2}
 
 
+def test_lines_are_made_once_and_by_many_tasks(spark, sf_dir):
+    """What makes the lines isn't repeated in a filter below, and one file of events is no one task."""
+    lines = log_plans.visits(spark, sf_dir)
+    assert logs.parsed(lines)._jdf.queryExecution().optimizedPlan().toString().count("Chrome/") == 1
+    assert lines.rdd.getNumPartitions() == log_plans.TASKS_OF_CORE * spark.sparkContext.defaultParallelism > 1
+    odd = spark.createDataFrame([("1^A2^A3^A/x?a=1",), ("1^A2^A3^Ax?",), ("broken",), ("^A^A^A",), ("1^A2^A3^A4?^A5",), (None,)], "value string")
+    assert [r.m.get("a") for r in logs.parsed(odd).collect()] == ["1", None]
+
+
 def test_agents(spark):
     agents = {
         "Mozilla/5.0 (Windows NT 10.0; Win64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Safari/537.36 Edg/120.1": ("Edge", "120.1", "Windows", "Windows NT 10.0"),
