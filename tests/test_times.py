@@ -110,6 +110,38 @@ def test_long_intervals_are_not_cut_up(spark):
     assert df.count() == 399 + 400
 
 
+def written(plan):
+    """Rows that a plan's exchanges wrote, each exchange once."""
+    rows, todo, seen = 0, [plan], set()
+    while todo:
+        p = todo.pop()
+        kind, children = p.getClass().getSimpleName(), p.children()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif kind == "ShuffleExchangeExec" and p.id() not in seen:
+            seen.add(p.id())
+            rows += p.metrics().get("shuffleRecordsWritten").get().value()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+def test_many_lengths_take_few_rows(spark):
+    """Most intervals are moments and the rest has all lengths: each is shuffled a few times, not once for each length, and the pairs that share an interval, and those without length, follow each other."""
+    rng = random.Random(5)
+    lengths = [0] * 3600 + [2**k + rng.randrange(2**k) for k in range(10, 34) for _ in range(50)]
+    rng.shuffle(lengths)
+    data = [("a", f"{i * 7919 % 100_003:09d}_{1_704_067_200_000_000 + b}", b, b + n) for i, n in enumerate(lengths) for b in [rng.randrange(2**36)]]
+    df = spark.createDataFrame(data, "g string, id string, s long, e long").select("g", "id", F.timestamp_micros("s").alias("s"), F.timestamp_micros("e").alias("e"))
+    out = intervals.overlaps(df, "g", "s", "e", "id").select("g", "a", "b", (F.unix_micros("until") - F.unix_micros("from")).alias("micros"))
+    found = out.collect()
+    assert sorted((tuple(r) for r in found), key=str) == sorted((("a", min(i, j), max(i, j), min(e, f) - max(s, t)) for n, (_, i, s, e) in enumerate(data) for _, j, t, f in data[:n] if s <= f and t <= e), key=str)
+    alone, moments = (sum(x.a != y.a and x.b != y.b for x, y in zip(found, found[1:])), sum((x.micros == 0) != (y.micros == 0) for x, y in zip(found, found[1:])))
+    assert alone < len(found) / 5 and moments < len(found) / 5
+    assert written(out._jdf.queryExecution().executedPlan()) < 6 * len(data)
+
+
 @pytest.mark.parametrize("pieces", [1, 5, 40])
 def test_ranks(spark, pieces):
     rng = random.Random(2)
