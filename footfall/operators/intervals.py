@@ -87,10 +87,12 @@ def overlaps(df: DataFrame, by: str, start: str, end: str, id_col: str, base: st
     b, e = micros(start), micros(end)
     rows = df.select(F.col(f"`{by}`").alias("key"), F.col(f"`{id_col}`").alias("id"), b.alias("b"), e.alias("e")).filter("key is not null and id is not null and b <= e")
     length, unit = F.col("e") - F.col("b"), microseconds(base) if base else 1
-    counts = dict(rows.groupBy(level(length, unit, DOUBLINGS if base else 1)).count().collect())  # 64 at most
+    doublings = level(length, unit, DOUBLINGS if base else 1)
+    counts = dict(rows.groupBy(doublings).count().collect())  # 64 at most
     least, looking = (0, {k: sum(n for lower, n in counts.items() if lower <= k) for k in counts}) if base else shortest(counts)
     width, tasks = unit << least, 2 + sum(looking.values()) // TASK_ROWS  # what is dealt to one task may be dealt again by the join
-    rows = rows.withColumn("level", level(length, width, DOUBLINGS))
+    # made from what was counted, as rounded logarithms of other numbers may name a level that wasn't
+    rows = rows.withColumn("level", doublings if base else F.greatest(F.lit(0), F.ceil((doublings - least) / DOUBLINGS)).cast("int"))
     longer = F.filter(F.array(*map(F.lit, sorted(looking))) if looking else F.array().cast("array<int>"), lambda k: k >= F.col("level"))
     seen = rows.withColumn("of", F.explode(longer)).withColumn("wide", F.lit(width) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("of") * DOUBLINGS))
     first = F.floor(F.col("b") / F.col("wide"))

@@ -142,6 +142,16 @@ def test_many_lengths_take_few_rows(spark):
     assert written(out._jdf.queryExecution().executedPlan()) < 6 * len(data)
 
 
+def test_very_long_intervals_just_over_a_power_of_two(spark):
+    """The logarithms of these lengths are rounded, some of them to the power itself."""
+    lengths = [2**k + d for k in range(48, 54) for d in (0, 1, 2)]
+    data = [(f"g{k}", f"v{k}_{i}", 5 * i, 5 * i + n) for k in range(0, len(lengths), 3) for i, n in enumerate(lengths[k : k + 3])] + [("all", f"w{n}", 0, n) for n in lengths]
+    for k in (slice(None), slice(0, 3), slice(6, 9), slice(9, 18)):
+        df = spark.createDataFrame(data[k], "g string, id string, s long, e long").select("g", "id", F.timestamp_micros("s").alias("s"), F.timestamp_micros("e").alias("e"))
+        want = sum(x[0] == y[0] for n, x in enumerate(data[k]) for y in data[k][:n])
+        assert intervals.overlaps(df, "g", "s", "e", "id").count() == want > 0
+
+
 @pytest.mark.parametrize("pieces", [1, 5, 40])
 def test_ranks(spark, pieces):
     rng = random.Random(2)
